@@ -25,8 +25,9 @@ from millrace.operators.graph import connected_components
 from millrace.plans.materialize import materialize
 
 WIDTH, RADIUS, SEED = 3, 3, 42
-#: Fingerprints that a shard is planned for, shards at most (beyond that shards grow), sampled fingerprints a shard.
-SHARD, SHARDS, SAMPLE = 16_384, 4_096, 64
+#: Fingerprints that a shard is planned for, shards of a signature at least and at most (beyond that shards grow), and
+#: sampled fingerprints a shard.
+SHARD, LEAST, SHARDS, SAMPLE = 65_536, 16, 4_096, 64
 #: Fingerprints in a node of a shard's own tree that are compared one by one, and pairs that are compared at a time.
 FLAT, BLOCK = 96, 1 << 20
 
@@ -229,8 +230,8 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     signature within the radius do. ``fps`` (j, fp) should be a written table: it is counted, sampled and read again."""
     spark = fps.sparkSession
     counts = {r["j"]: r["count"] for r in fps.groupBy("j").count().collect()}
-    leaves = {j: max(1, min(SHARDS // 2, -(-n // SHARD))) for j, n in counts.items()}
-    most = SAMPLE * sum(max(16, k) for k in leaves.values())
+    leaves = {j: max(LEAST, min(SHARDS // 2, -(-n // SHARD))) for j, n in counts.items()}
+    most = SAMPLE * sum(leaves.values())
     sample: dict[int, list[int]] = {j: [] for j in counts}
     for r in fps.select("j", "fp").orderBy(F.xxhash64("j", "fp"), "j", "fp").limit(most).collect():
         sample[r["j"]].append(r["fp"])
