@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, simhash, suffix, toxicity
+from millrace.llm import bpe, decontaminate, rules, sharding, simhash, suffix, tokencount, toxicity, urlfilter, warc
 
-BPE_FILE = "byte_bpe_50k.json"
+BPE_FILE, PIECES_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
+#: Rules that come before what is learnt: (verdict, host/path).
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+SHARDS = 8
 
 
 def tokenizer_path(name: str) -> str:
@@ -20,6 +23,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = warc.record_digests(warc.write_archives(pages, "page_id", "url", "html"))
+    kind = pages.schema["page_id"].dataType
+    return found.select(F.expr("nullif(id, 'null')").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to").cast(kind).alias("refers_to"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -29,6 +47,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(table(spark, sf_dir, "documents"), SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("position").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digests(table(spark, sf_dir, "documents"))
 
@@ -44,11 +67,20 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(BPE_FILE))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(PIECES_FILE))
+
+
 QUERIES = {
+    "op1_url_filters": op1_url_filters,
+    "op2_warc": op2_warc,
+    "op3_quality_rules": op3_quality_rules,
     "op4_simhash": op4_simhash,
     "op5_decontaminate": op5_decontaminate,
+    "op6_sharding": op6_sharding,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
+    "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {}
