@@ -47,6 +47,21 @@ def image_key(url: Column) -> Column:
     return F.when(url.rlike(_SHAPE), F.concat(F.lit("https://"), F.lower(part(url, 2)), path, parameters(url, SIZES + CACHES, True))).otherwise(url)
 
 
+def resolve(link: Column, base: Column) -> Column:
+    """A link of a page as an absolute http or https URL: absolute links as they are, others from the page's scheme and
+    host or folder; null for other schemes and for links within the page."""
+    folder = F.regexp_extract(part(base, 3), r"^(.*/)", 1)
+    home = F.concat(part(base, 1), F.lit("://"), part(base, 2))
+    other = link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (F.trim(link) == "") | link.startswith("#")
+    return (
+        F.when(link.rlike("(?i)^https?://"), link)
+        .when(other, F.lit(None).cast("string"))
+        .when(link.startswith("//"), F.concat(part(base, 1), F.lit(":"), link))
+        .when(link.startswith("/"), F.concat(home, link))
+        .otherwise(F.concat(home, F.when(folder == "", "/").otherwise(folder), link))
+    )
+
+
 def media_key(url: Column) -> Column:
     """Identity of a media URL: parameters that sign or expire are dropped, the others sorted, resize paths folded, http
     and https alike."""

@@ -354,10 +354,15 @@ def site_counts(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "pages").groupBy(urls.site(F.col("url")).alias("site")).agg(_n())
 
 
-@query(r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1)) AS link FROM pages) SELECT page_id, link, count(*) AS n FROM l WHERE regexp_matches(link, '^https?://') GROUP BY 1, 2""")
+@query(
+    rf"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1)) AS link FROM pages)
+SELECT page_id, CASE WHEN regexp_matches(link, '^https?://') THEN link ELSE regexp_extract(url, '^([A-Za-z]+)://', 1) || '://' || regexp_extract(url, {_URL}, 1) || link END AS link, count(*) AS n
+FROM l WHERE regexp_matches(link, '^(https?://|/[^/])') GROUP BY 1, 2"""
+)
 def html_links(spark: SparkSession, sf: str) -> DataFrame:
-    links = load(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'<a[^>]*href="([^"]*)"'), F.lit(1))).alias("link"))
-    return links.where(F.col("link").rlike("^https?://")).groupBy("page_id", "link").agg(_n())
+    links = load(spark, sf, "pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(r'<a[^>]*href="([^"]*)"'), F.lit(1))).alias("raw"))
+    absolute = links.where(F.col("raw").rlike("^(https?://|/[^/])")).select("page_id", urls.resolve(F.col("raw"), F.col("url")).alias("link"))
+    return absolute.groupBy("page_id", "link").agg(_n())
 
 
 @query(f"""SELECT CASE WHEN regexp_matches(url, '(?i)\\.(mp4|webm|mov)(?:$|[?#])') THEN 'video' WHEN regexp_matches(url, '(?i)\\.(jpe?g|png|gif)(?:$|[?#])') THEN 'image' END AS kind,
