@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.functions import hashes, media, mime, urls
-from millrace.operators import duplicates, events, inventory
+from millrace.functions import hashes, markup, media, mime, urls
+from millrace.operators import duplicates, events, inventory, selection
 from millrace.sources.tables import load, order_files
 
 QUERIES: dict = {}
@@ -441,3 +441,74 @@ def name_similarity(spark: SparkSession, sf: str) -> DataFrame:
     order = W.partitionBy("p_brand").orderBy("p_partkey")
     pairs = part.select("p_partkey", "p_name", F.lag("p_name").over(order).alias("other")).where("other is not null")
     return pairs.select("p_partkey", similarity("p_name", "other").alias("similarity"))
+
+
+@query("""WITH p AS (SELECT lang, source, doc_id, CASE WHEN n_chars >= 4000 THEN 2 WHEN n_chars >= 1000 THEN 1 ELSE 0 END AS p FROM documents),
+n AS (SELECT lang, p, count(*) AS n FROM p GROUP BY 1, 2), r AS (SELECT lang, p, n, greatest(0, 60 - coalesce(sum(n) OVER (PARTITION BY lang ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS room FROM n),
+a AS (SELECT p.*, n, room, row_number() OVER (PARTITION BY lang, p.p ORDER BY doc_id) AS i FROM p JOIN r USING (lang, p))
+SELECT lang, doc_id FROM a WHERE n <= room OR i <= ceil(room / 2) OR i > n - floor(room / 2)""")
+def budget_selection(spark: SparkSession, sf: str) -> DataFrame:
+    docs = load(spark, sf, "documents").select("lang", "doc_id", "n_chars")
+    priority = F.when(F.col("n_chars") >= 4000, 2).when(F.col("n_chars") >= 1000, 1).otherwise(0)
+    return selection.budgeted(docs, ["lang"], 60, priority, F.col("doc_id")).select("lang", "doc_id")
+
+
+@query("""WITH d AS (SELECT p_partkey AS id, p_partkey * 3 AS x0, CAST(round(p_retailprice * 10) AS BIGINT) AS y0, p_partkey * 3 + p_size * 20 AS x1, CAST(round(p_retailprice * 10) AS BIGINT) + 400 AS y1 FROM part)
+SELECT a.id AS a, count(*) AS n FROM d a JOIN d b ON a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1 GROUP BY 1""")
+def rectangle_overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    x, y = F.col("p_partkey") * 3, F.round(F.col("p_retailprice") * 10).cast("bigint")
+    boxes = load(spark, sf, "part").select(F.col("p_partkey").alias("id"), x.alias("x0"), y.alias("y0"), (x + F.col("p_size") * 20).alias("x1"), (y + 400).alias("y1"))
+    return selection.intersecting(boxes, boxes, cell=512).groupBy("a").agg(_n())
+
+
+@query("""SELECT c_custkey, 4 * CAST(c_acctbal >= 0 AS INT) + 2 * CAST(c_mktsegment <> 'AUTOMOBILE' AS INT) AS score FROM customer ORDER BY score DESC, c_custkey LIMIT 64""")
+def instance_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    score = selection.instance_score(F.col("c_acctbal") < 0, F.col("c_mktsegment") == "AUTOMOBILE")
+    return load(spark, sf, "customer").select("c_custkey", score.alias("score")).orderBy(F.desc("score"), "c_custkey").limit(64)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100")
+def viewport_page(spark: SparkSession, sf: str) -> DataFrame:
+    return selection.page(load(spark, sf, "orders").select("o_orderkey", "o_totalprice"), 101, 150, F.desc("o_totalprice"), F.col("o_orderkey"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 1 THEN 'interrupted' WHEN s_nationkey < 3 THEN 'html' WHEN s_acctbal < 0 THEN 'empty' WHEN s_acctbal * 10 < 2048 THEN 'too-small' END AS failure FROM supplier""")
+def download_checks(spark: SparkSession, sf: str) -> DataFrame:
+    size = F.when(F.col("s_acctbal") < 0, 0).otherwise(F.col("s_acctbal") * 10)
+    state = F.when(F.col("s_suppkey") % 2 == 1, "in_progress").otherwise("complete")
+    kind = F.when(F.col("s_nationkey") < 3, "text/html").otherwise("image/png")
+    failure = selection.download_failure(state, kind, size, F.lit(None).cast("double"), F.lit("image"), F.lit(False), F.lit(True), F.lit(None).cast("string"), F.lit(True))
+    return load(spark, sf, "supplier").select("s_suppkey", failure.alias("failure"))
+
+
+@query("SELECT n_nationkey, r_name || '/' || n_name || '-' || n_nationkey || '.txt' AS name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def rendered_names(spark: SparkSession, sf: str) -> DataFrame:
+    both = load(spark, sf, "nation").join(F.broadcast(load(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    return both.select("n_nationkey", markup.rendered("{region}/{nation}-{k}.txt", {"region": F.col("r_name"), "nation": F.col("n_name"), "k": F.col("n_nationkey")}).alias("name"))
+
+
+@query("""WITH w AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_type <> 'error'), a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND value > 150)
+SELECT w.user_id, count(*) AS kinds FROM w LEFT JOIN a ON w.user_id = a.user_id WHERE a.user_id IS NULL GROUP BY 1""")
+def protected_cards(spark: SparkSession, sf: str) -> DataFrame:
+    rows = load(spark, sf, "events").select("user_id", "event_type", "value")
+    kept = rows.where("event_type <> 'error'").select("user_id", "event_type").distinct().join(rows.where("event_type = 'error' AND value > 150"), "user_id", "left_anti")
+    return kept.groupBy("user_id").agg(_n(name="kinds"))
+
+
+@query("""WITH e AS (SELECT o_custkey, o_orderdate, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) SELECT o_custkey, count(*) AS kept FROM e WHERE r <= 20 GROUP BY 1""")
+def bounded_retention(spark: SparkSession, sf: str) -> DataFrame:
+    newest = F.row_number().over(W.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))
+    return load(spark, sf, "orders").select("o_custkey", newest.alias("r")).where("r <= 20").groupBy("o_custkey").agg(_n(name="kept"))
+
+
+@query("""WITH e AS (SELECT user_id, event_type, count(*) AS n, min(ts) AS t FROM events GROUP BY 1, 2) SELECT user_id, arg_max(event_type, (n, -epoch_us(t))) AS method FROM e GROUP BY 1""")
+def mode_of_methods(spark: SparkSession, sf: str) -> DataFrame:
+    n = load(spark, sf, "events").groupBy("user_id", "event_type").agg(_n(), F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("t"))
+    return n.groupBy("user_id").agg(F.max_by("event_type", F.struct("n", -F.col("t"))).alias("method"))
+
+
+@query("""WITH f AS (SELECT o_orderstatus AS code, count(*) AS n, list(o_orderkey ORDER BY o_orderkey)[1:3] AS s FROM orders GROUP BY 1) SELECT code, n, array_to_string(s, ',') AS samples FROM f""")
+def failure_causes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = load(spark, sf, "orders").select(F.col("o_orderstatus").alias("code"), "o_orderkey")
+    first = rows.withColumn("r", F.row_number().over(W.partitionBy("code").orderBy("o_orderkey"))).where("r <= 3").groupBy("code").agg(F.array_join(F.sort_array(F.collect_list("o_orderkey")), ",").alias("samples"))
+    return rows.groupBy("code").agg(_n()).join(first, "code")
