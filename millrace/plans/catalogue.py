@@ -32,8 +32,8 @@ def _case(column: str, bounds, unknown="Unknown") -> str:
     return f"CASE {' '.join(parts)} ELSE '{last}' END"
 
 
-def _n(c: str | Column = F.lit(1), name: str = "n") -> Column:
-    return F.count(c).alias(name)
+def _n(name: str = "n") -> Column:
+    return F.count(F.lit(1)).alias(name)
 
 
 # Folder roll-ups and leaderboards -------------------------------------------------------------------------------------
