@@ -106,7 +106,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], key
     urls = at.groupBy("host", "segments").agg(F.count(F.lit(1)).alias("n"), F.count("is_bad").alias("labelled"), F.coalesce(F.sum("is_bad"), F.lit(0)).alias("bad"))
     tree = build_tree(materialize(urls, "url-shapes"))
     hosts = tree.groupBy("host").agg(F.sum("labelled").alias("host_labelled"), F.sum("bad").alias("host_bad"))
-    whole = tree.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 1)).alias("prior")).first()[0]
+    whole = tree.agg(F.coalesce(F.try_divide(F.sum("bad"), F.sum("labelled")), F.lit(0.0))).first()[0]
     shares = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).join(hosts, "host")
     towards = (F.col("host_bad") + WEIGHT * whole) / (F.col("host_labelled") + WEIGHT)
     shares = shares.select("host", "template", ((F.col("bad") + WEIGHT * towards) / (F.col("labelled") + WEIGHT)).alias("purity"))
