@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 ORDERS, BITS = (3, 4, 5), 20
 #: Labelled rows that are fitted on at most; smoothing of the ratios; cost of the support vector machine; passes.
-SAMPLE, ALPHA, COST, PASSES = 6_000, 1.0, 0.02, 20
+SAMPLE, ALPHA, COST, PASSES = 3_000, 1.0, 2e-6, 12
 THRESHOLD = 0.7
+#: Training texts that a column must occur in to count, so that no text is known by n-grams of its own.
+RARE = 20
 #: Characters that are hashed at a time.
 PIECE = 1 << 20
 
@@ -54,17 +56,17 @@ def _fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray) -> tuple[np.n
     # the rarer class weighs as much as the other
     share = np.where(y > 0, 0.5 / max(1e-9, (y > 0).mean()), 0.5 / max(1e-9, (y < 0).mean()))
     ridge = 1 / (2 * COST * share)
-    values = [ratio[i] for i in rows]
-    norm = np.array([v @ v + 1 for v in values]) + ridge
+    norm = np.array([ratio[i] @ ratio[i] + 1 for i in rows]) + ridge
     turn = np.random.default_rng(0)
     for _ in range(PASSES):
         most = 0.0
         for i in turn.permutation(len(rows)):
-            g = y[i] * (w[rows[i]] @ values[i] + bias) - 1 + ridge[i] * a[i]
+            value = ratio[rows[i]]
+            g = y[i] * (w[rows[i]] @ value + bias) - 1 + ridge[i] * a[i]
             new = max(0.0, a[i] - g / norm[i])
             if new != a[i]:
                 step = (new - a[i]) * y[i]
-                w[rows[i]] += step * values[i]
+                w[rows[i]] += step * value
                 bias += step
                 most = max(most, abs(g))
                 a[i] = new
@@ -112,13 +114,14 @@ class Model:
 
     @staticmethod
     def _ratio(rows, y, seen) -> np.ndarray:
-        share = []
+        counts = []
         for side in (1, -1):
-            n = np.full(1 << BITS, ALPHA)
+            n = np.zeros(1 << BITS)
             for i in np.flatnonzero(seen & (y == side)):
                 n[rows[i]] += 1
-            share.append(n / n.sum())
-        return np.log(share[0] / share[1])
+            counts.append(n)
+        up, down = ((n + ALPHA) / (n + ALPHA).sum() for n in counts)
+        return np.where(counts[0] + counts[1] >= RARE, np.log(up / down), 0.0)
 
     def score(self, text: str | None, stamp: np.ndarray) -> float:
         m = float(self.weights[columns_of(text, stamp)].sum()) + self.bias
