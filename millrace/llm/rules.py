@@ -9,7 +9,7 @@ aggregation of (statistic, bin, label) counts, of bounded size. The list comes o
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from math import log2
+from math import inf, log2, nextafter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -131,7 +131,8 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     rows = rows.select("k", "bad", *(e().alias(f) for f, e in FEATURES.items()))
     rows = materialize(rows, "labelled-statistics")
     cuts_of = rows.agg(*(F.percentile_approx(f, [k / BINS for k in range(1, BINS)], 10_000).alias(f) for f in FEATURES)).first()
-    cuts = {f: sorted({c for c in (cuts_of[f] or []) if c is not None}) for f in FEATURES}
+    # a value that fills several bins is a candidate from below and from above
+    cuts = {f: sorted({c for c in got} | {nextafter(c, inf) for c in got if got.count(c) > 1}) for f in FEATURES for got in [cuts_of[f] or []]}
     bins = [sum(((F.col(f) >= c).cast("int") for c in cuts[f]), F.lit(0)).alias(f) for f in FEATURES]
     binned = materialize(rows.select("bad", (F.pmod(F.xxhash64("k"), F.lit(3)) == 0).alias("prune"), *bins), "binned-statistics")
 
