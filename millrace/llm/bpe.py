@@ -30,7 +30,7 @@ _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 NOT_LATIN = rf"[^\x00-\x7f{_LETTER}]"
 LATIN = rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[0-9]+| ?[^\t-\r 0-9{_LETTER}]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 #: Pre-tokens whose ids a worker remembers, pairs whose compatibility it remembers, characters that are split at once.
-REMEMBERED, PAIRS, PIECE = 800_000, 1 << 20, 1 << 20
+REMEMBERED, PAIRS, PIECE = 250_000, 1 << 18, 1 << 20
 _NEVER = 1 << 62
 
 
@@ -172,6 +172,12 @@ class Codec:
             out.append(b"".join(map(look, part)))
         return b"".join(out)
 
+    def forget(self) -> None:
+        """Drop what was remembered of pre-tokens and pairs."""
+        self.known.clear()
+        self.compatible.clear()
+        self._sides.clear()
+
     def decode(self, ids: bytes) -> bytes:
         """The bytes of the ids, each a slice of the table; memory is bounded by a block of ids."""
         x = np.frombuffer(ids, "<u4").astype(np.int64)
@@ -211,9 +217,13 @@ def _map(docs: DataFrame, source, keep: list[str], schema: str, make) -> DataFra
     src = docs.select(source.alias("t"), F.struct(*keep).alias("row"))
 
     def run(batches):
-        for b in batches:
-            cols = make(b.column(0))
-            yield pa.RecordBatch.from_arrays([b.column(1), *cols], names=["row", *(f"c{k}" for k in range(len(cols)))])
+        try:
+            for b in batches:
+                cols = make(b.column(0))
+                yield pa.RecordBatch.from_arrays([b.column(1), *cols], names=["row", *(f"c{k}" for k in range(len(cols)))])
+        finally:  # workers live on; what a task has remembered does not
+            for c in _codecs.values():
+                c.forget()
 
     names = [f.strip().split(" ")[0] for f in schema.split(",")]
     kinds = [f.strip().split(" ")[1] for f in schema.split(",")]

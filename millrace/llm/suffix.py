@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from millrace.plans.materialize import materialize
 
 LENGTH, GRAM = 200, 64
-#: Window starts that are scanned at a time; bits of the bitmap (a broadcast of an eighth as many bytes, whatever the
+#: Texts that go into a batch of contexts; window starts that are scanned at a time; bits of the bitmap (a broadcast of an eighth as many bytes, whatever the
 #: input); bytes planned for a bucket; contexts of one anchor that a bucket takes before it is dealt as pairs of blocks.
-STEP, BITS, BUCKET, BLOCK = 1 << 19, 1 << 27, 2 << 20, 4096
+PART, STEP, BITS, BUCKET, BLOCK = 512, 1 << 19, 1 << 27, 1 << 20, 4096
 
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
@@ -217,7 +217,7 @@ def _write_contexts(length: int, gram: int, bitmap, row_type: pa.DataType | None
 
         finder, bits = Anchors(length, gram), np.frombuffer(bitmap.value, np.uint8)
         number, sent = TaskContext.get().partitionId() << 33, set()
-        for b in batches:
+        for b in (b.slice(at, PART) for b in batches for at in range(0, b.num_rows, PART)):
             out = {k: [] for k in ("rid", "h", "c1", "c2", "first", "windows", "context")}
             numbers = np.arange(number, number + b.num_rows)
             number += b.num_rows
