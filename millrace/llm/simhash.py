@@ -10,6 +10,8 @@
 5. The forests' edges are joined to components by the distributed algorithm of ``operators.graph``.
 
 The pairs that count are exactly those at the radius or closer; nothing is approximate after the fingerprints.
+
+The pipeline's stage (:func:`one_of_each`) asks for a similarity of texts, not of fingerprints: see there.
 """
 
 from __future__ import annotations
@@ -30,6 +32,12 @@ WIDTH, RADIUS, SEED = 3, 3, 42
 SHARD, LEAST, SHARDS, SAMPLE = 65_536, 16, 4_096, 64
 #: Fingerprints in a node of a shard's own tree that are compared one by one, and pairs that are compared at a time.
 FLAT, BLOCK = 96, 1 << 20
+#: The pipeline's stage: words of a shingle, the Jaccard similarity that links (a fraction), bands, minimum hashes a band.
+STAGE_WIDTH, TOP, BOTTOM, BANDS, ROWS = 5, 4, 5, 20, 5
+SIMILARITY = TOP / BOTTOM
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def simhashes(text: bytes | None, width: int = WIDTH, signatures: int = 1) -> np.ndarray:
@@ -267,29 +275,119 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return rows.join(named, "fp").select(F.col("k").alias(key), "fp", "component")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, signatures: int = 8, radius: int = 4) -> DataFrame:
+def shingle_hashes(text: bytes | None, width: int = STAGE_WIDTH) -> np.ndarray:
+    """The sorted distinct XXH64 hashes (seed 42) of the text's word shingles, A-Z lower-cased; of no words, none."""
+    digest = xxhash.xxh64_intdigest
+    parts = [np.unique(np.fromiter((digest(s, SEED) for s in x), np.uint64, len(x))) for x in shingle_pieces((text or b"").lower(), width)]
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each of BANDS bands of ROWS minimum hashes; two sets of Jaccard similarity s agree on a band with
+    probability s ** ROWS."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), BLOCK >> 7):
+        x = hashes[None, at : at + (BLOCK >> 7)] * _FACTORS[:, None]
+        x ^= x >> np.uint64(32)
+        x *= _MIX
+        low = np.minimum(low, x.min(1))
+    out = np.arange(BANDS, dtype=np.uint64)
+    for x in low.reshape(BANDS, ROWS).T:
+        out = (out ^ x) * _MIX
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """Of ``docs`` (k, node, t): k, node, the 64-bit digest ``id`` of the set of shingles, its size n and its band keys."""
+
+    def run(batches):
+        for b in batches:
+            sets = [shingle_hashes(t.as_py(), width) for t in b.column(1)]
+            ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            keys = np.concatenate([band_keys(s) for s in sets]).view(np.int64) if sets else np.empty(0, np.int64)
+            ends = np.arange(0, BANDS * (len(sets) + 1), BANDS, dtype=np.int32)
+            n = np.array([len(s) for s in sets], np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))], names=["row", "id", "n", "bands"])
+
+    src = docs.select(F.struct("k", "node").alias("row"), F.col("t").cast("binary").alias("t"))
+    return src.mapInArrow(run, f"row {src.schema['row'].dataType.simpleString()}, id long, n long, bands array<long>").select("row.*", "id", "n", "bands")
+
+
+def _hashed(texts: DataFrame, width: int) -> DataFrame:
+    """(id, hashes) of ``texts`` (id, t)."""
+
+    def run(batches):
+        for b in batches:
+            for i, t in zip(b.column(0), b.column(1), strict=True):
+                # a row a batch: the sets of a batch of long texts are not held together
+                h = shingle_hashes(t.as_py(), width).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([i.as_py()], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(h)], pa.int32()), pa.array(h))], names=["id", "hashes"])
+
+    return texts.select("id", F.col("t").cast("binary").alias("t")).mapInArrow(run, "id long, hashes array<long>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (src, dst) with whether the Jaccard similarity of their sets is SIMILARITY or more, as ``ok``."""
+    a, b = (sets.select(F.col("id").alias(c), F.col("hashes").alias(h)) for c, h in (("src", "a"), ("dst", "b")))
+    both = F.size(F.array_intersect("a", "b"))
+    # TOP / BOTTOM is the similarity: no rounding
+    enough = (TOP + BOTTOM) * both >= TOP * (F.size("a") + F.size("b"))
+    return pairs.join(a, "src").join(b, "dst").select("src", "dst", enough.alias("ok"))
+
+
+def similar(rows: DataFrame, texts, width: int = STAGE_WIDTH) -> DataFrame:
+    """(node, component) of the sets of ``rows`` (id, n, bands) that are linked by pairs which share a band and have a
+    Jaccard similarity of SIMILARITY or more. ``texts`` gives (id, t) for a table of ids.
+
+    Every set is compared with the least of each of its bands first, so a dense group does not yield its pairs. Sets of a
+    band that this leaves in different groups are then all compared with each other, so no link is lost by the order.
+    """
+    at = rows.dropDuplicates(["id"]).select("id", "n", F.explode("bands").alias("band"))
+    crowd = at.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "n")).alias("rep")).where("m > 1").select("band", "rep")
+    at = materialize(at.join(crowd, "band"), "bands")
+    fit = lambda a, b: (BOTTOM * a >= TOP * b) & (BOTTOM * b >= TOP * a)
+    stars = at.where((F.col("id") != F.col("rep.id")) & fit(F.col("n"), F.col("rep.n")))
+    stars = materialize(stars.select(F.col("id").alias("src"), F.col("rep.id").alias("dst")).distinct(), "stars")
+    sets = materialize(_hashed(texts(at.select("id").distinct()), width).dropDuplicates(["id"]), "sets")
+    first = materialize(_verified(stars, sets), "verified")
+    linked = first.where("ok").select("src", "dst")
+    groups = materialize(connected_components(linked), "groups")
+    named = at.join(groups.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("label"))
+    named = materialize(named, "labels")
+    mixed = named.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band")
+    some = materialize(named.join(mixed, "band"), "mixed-bands")
+    a, b = (some.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "label"))) for s in "ab")
+    cross = a.join(b, "band").where((F.col("id_a") > F.col("id_b")) & (F.col("label_a") != F.col("label_b")) & fit(F.col("n_a"), F.col("n_b")))
+    cross = cross.select(F.col("id_a").alias("src"), F.col("id_b").alias("dst")).distinct().join(first, ["src", "dst"], "left_anti")
+    more = materialize(_verified(cross, sets).where("ok").select("src", "dst"), "cross-links")
+    if not more.limit(1).count():
+        return groups
+    return connected_components(linked.unionByName(more))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = STAGE_WIDTH) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that with the smallest key (null keys last), then the
     smallest text digest.
 
-    One 64-bit SimHash seldom stays within a few bits when a few words in a hundred change, so several are taken, each
-    with a tree of its own; texts are linked if any signature is within the radius. Null and empty texts are one
-    group. Of rows with equal key and text one stays, whatever their other columns hold.
+    Texts are linked if the sets of their word shingles have a Jaccard similarity of SIMILARITY or more, compared exactly
+    on 64-bit hashes. A SimHash of 64 bits is some 10 bits off at that similarity, where no tree prunes, so candidates
+    come from bands of minimum hashes: a pair at the similarity is one with probability 1 - (1 - SIMILARITY ** ROWS) **
+    BANDS = 0.9996, and the more similar the surer. Null and empty texts are one group. Of rows with equal key and text
+    one stays, whatever their other columns hold.
     """
     digest = F.unhex(F.md5(F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary"))))
     own = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), digest.alias("node"))
-    rows = materialize(fingerprints(own, "t", width, signatures), "signatures")
-    nodes = rows.dropDuplicates(["node"]).select("node", F.posexplode("fps").alias("j", "fp"))
-    nodes = materialize(nodes, "nodes")
-    alike = materialize(nodes.groupBy("j", "fp").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("rep")), "alike")
-    near = materialize(links(alike, radius), "links")
-    ends = near.select("j", F.col("src").alias("fp")).unionByName(near.select("j", F.col("dst").alias("fp"))).distinct()
-    shared = alike.where("n > 1").select("j", "fp", "rep")
-    same = nodes.join(shared, ["j", "fp"]).select(F.col("node").alias("src"), F.col("rep").alias("dst"))
-    reps = materialize(alike.join(ends, ["j", "fp"]).select("j", "fp", "rep"), "reps")
-    pairs = near.join(reps.select("j", F.col("fp").alias("src"), F.col("rep").alias("a")), ["j", "src"]).join(reps.select("j", F.col("fp").alias("dst"), F.col("rep").alias("b")), ["j", "dst"])
-    groups = connected_components(same.unionByName(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
-    # rows of one text, or of texts of one group, are candidates for the same place
-    placed = rows.select("k", "node").join(groups, "node", "left").select("k", "node", F.coalesce("component", "node").alias("root"))
+    rows = materialize(_sets(own, width), "signatures")
+
+    def texts(ids: DataFrame) -> DataFrame:
+        one = rows.join(ids, "id", "left_semi").groupBy("id").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "node")).alias("one"))
+        one = one.select("id", F.col("one.k").alias("lk"), F.col("one.node").alias("lnode"))
+        return own.join(one, F.col("k").eqNullSafe(F.col("lk")) & (F.col("node") == F.col("lnode"))).select("id", "t")
+
+    groups = similar(rows, texts, width).withColumnRenamed("node", "id")
+    # rows of one set of shingles, or of sets of one group, are candidates for the same place
+    placed = rows.select("k", "node", "id").join(groups, "id", "left").select("k", "node", F.coalesce("component", "id").alias("root"))
     rank = F.struct(F.col("k").isNull().alias("none"), F.col("k"), F.col("node"))
     best = placed.groupBy("root").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", "best")
     losers = placed.join(best, "root").where(~(F.col("best.k").eqNullSafe(F.col("k")) & (F.col("best.node") == F.col("node"))))

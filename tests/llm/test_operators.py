@@ -96,6 +96,31 @@ def test_simhash_one_of_each(docs, texts, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_simhash_one_of_each_is_exact_in_similarity(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(60):
+        words = prose(rng, 200).split()
+        rows.append(" ".join(words))
+        for changes in (4, 5, 8):  # scattered, so five shingles each: similarities of 0.81, 0.77 and 0.66
+            copy = list(words)
+            for c in range(changes):
+                copy[10 + 20 * c] = f"new{k}x{c}"
+            rows.append(" ".join(copy))
+    # a chain whose ends are not similar, and a text of one shingle
+    words = prose(rng, 120).split()
+    rows += [" ".join(words[i : i + 100]) for i in (0, 8, 16)] + ["one two", "One  TWO", "one two three"]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for t in rows for w in [t.lower().split()]]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"] for r in simhash.one_of_each(df).collect()} == set(group)
+
+
 def brute_spans(texts, length):
     raw = [(t or "").encode() for t in texts]
     seen = Counter(t[i : i + length] for t in raw for i in range(len(t) - length + 1))
