@@ -203,6 +203,19 @@ def test_toxicity(spark, none):
     assert toxicity.train(df, marks.limit(0)).score("any", np.zeros(1 << toxicity.BITS, np.int32)) < 0.01
 
 
+def test_toxicity_of_few_labels():
+    rng, stamp = random.Random(13), np.zeros(1 << toxicity.BITS, np.int32)
+    bad = "qzvxj wkqpz jyqwv".split()  # each in 12 of 180 texts
+
+    def some(n):
+        return [(prose(rng, 40) + (f" {bad[i // 5 % 3]}" if i % 5 == 0 else "") + " " + prose(rng, 5), int(i % 5 == 0)) for i in range(n)]
+
+    seen = some(180)
+    model = toxicity.Model([toxicity.columns_of(t, stamp) for t, _ in seen], np.array([y for _, y in seen]))
+    right = [(model.score(t, stamp) >= toxicity.THRESHOLD) == y for t, y in some(120)]
+    assert sum(right) / len(right) > 0.95
+
+
 def test_bpe_equals_the_library(docs, texts, none):
     from tokenizers import Tokenizer
 
