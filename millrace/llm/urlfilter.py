@@ -2,7 +2,7 @@
 
 For each host the tree of path segments is walked from the root. Segments that look variable (numbers, hex, dates, ids;
 an extension stays) become wildcards at once, which shrinks the table before anything is joined. At each level the rare
-children of a node with many children become a wildcard too, and the remaining siblings whose shares of bad labels do
+children of a node with many children whose labels do not differ from those of the rest become a wildcard too, and the remaining siblings whose shares of bad labels do
 not differ significantly are merged into one branch. A leaf of the tree is a template; it is rejected if the share of
 bad labels among its labelled pages, smoothed towards its host's share and that towards the whole table's, reaches the
 threshold. All steps are aggregations and joins of distinct (host, template) rows.
@@ -69,9 +69,14 @@ def build_tree(urls: DataFrame) -> DataFrame:
         tree = tree.withColumn("segment", F.get("segments", F.lit(level - 1)))
         node = ["host", "template"]
         child = tree.where("segment is not null").groupBy(*node, "segment").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-        nodes = child.groupBy(*node).agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("total"))
+        nodes = child.groupBy(*node).agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("total"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
         child = child.join(nodes, node)
-        apart = F.col("segment").startswith("*") | (F.col("children") <= CHILDREN) | (F.col("n") >= SHARE * F.col("total"))
+        # a rare child goes to the wildcard only if its labels do not differ from those of the rest of the node
+        rest, rest_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
+        p = F.try_divide("all_bad", "all_labelled")
+        gap = F.abs(F.try_divide("bad", "labelled") - F.try_divide(rest_bad, rest))
+        differs = F.coalesce(gap > Z * F.sqrt(p * (1 - p) * (F.try_divide(F.lit(1), F.col("labelled")) + F.try_divide(F.lit(1), rest))), F.lit(False))
+        apart = F.col("segment").startswith("*") | (F.col("children") <= CHILDREN) | (F.col("n") >= SHARE * F.col("total")) | differs
         child = child.select(*node, "segment", F.when(apart, F.col("segment")).otherwise("*").alias("branch"), "labelled", "bad")
         # literal branches of one node in the order of their shares; a significant step between neighbours parts them
         literal = child.where("not startswith(branch, '*')")

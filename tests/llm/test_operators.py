@@ -312,6 +312,15 @@ def test_url_filters(spark):
     assert {r["verdict"] for r in urlfilter.judge(pages.where("page_id < 60"), labels.limit(0), []).collect()} == {"allow"}
 
 
+def test_url_filters_keep_a_rare_bad_section(spark):
+    # 60 sections of a host; one with under 2 % of the pages is all bad
+    rows = [(i, f"http://h.example/s{i % 60}x/{i}.html") for i in range(3000)] + [(3000 + i, f"http://h.example/rare/{i}.html") for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i < 3000), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    got = urlfilter.judge(pages, labels, []).collect()
+    assert all(r["verdict"] == ("block" if r["page_id"] >= 3000 else "allow") for r in got) and len(got) == len(rows)
+
+
 def test_quality_rules(spark, docs, texts, none):
     stats = {(r["k"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in rules.statistics(docs).collect()}
     extra = [(1, "a b c d e f a b c d e\n\nx\nx\n \n \n#$ <>"), (2, "a a a a a a a"), (3, "x y z w")]
