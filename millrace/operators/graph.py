@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.plans.materialize import materialize
+from millrace.plans.materialize import materialize, release
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         large = materialize(large.distinct(), "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        e = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, e = e, materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        release(last, large)
         now = _signature(e)
         if now == seen:
             break

@@ -36,7 +36,17 @@ def materialize(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
     path = new_path(spark, tag)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that are not needed any more: what was made of them has been written itself."""
+    for df in tables:
+        path = getattr(df, "_written_to", None)
+        if path:
+            drop_path(df.sparkSession, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
