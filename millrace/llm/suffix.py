@@ -6,13 +6,13 @@ Sorting every suffix of a corpus would move many times its size, so a lossless c
 1. Each window picks an anchor: the leftmost of its 64-byte grams with the least hash. Equal windows pick equal anchors,
    so a window whose anchor's hash occurs once is not repeated. One scan counts anchor hashes; those that occur twice
    or more go into a bitmap of bounded size (when it fills up, more rows pass it and the later steps drop them).
-2. A second scan writes, for anchors in the bitmap, their context: the bytes of all windows that picked them. A context
-   that occurs as a whole several times, and is the only one with its anchor, is settled by counting.
-3. The other distinct contexts are dealt by anchor hash to buckets, so equal windows meet. In each bucket the suffix
-   array is built by the difference cover modulo 3: sampled triples are sorted and named, names recurse until they are
-   unique or span a window, the remaining suffixes are sorted by their first byte and the rank behind it and merged in,
-   and adjacent suffixes are compared over a window. An anchor with too many contexts for a bucket is dealt as pairs of
-   blocks, each pair a bucket of its own.
+2. A second scan writes, for anchors in the bitmap, their place and their context: the bytes of all windows that picked
+   them. Equal contexts are one from here on, with the number of places they stand for.
+3. Contexts meet by anchor, so equal windows do, and their suffixes are sorted by the difference cover modulo 3: sampled
+   triples are sorted and named, names recurse until they span a window, the remaining suffixes are merged in, and
+   adjacent suffixes are compared over a window. A window is repeated if a neighbour has it too, or if its context stands
+   for several places. Anchors are dealt to buckets by hash, each sorted in one task's arrays; the contexts of anchors
+   that have too many for a bucket are sorted together as distributed tables (``suffixsort``).
 4. The repeated windows go back to their texts as byte spans.
 
 Texts cross the network only where they hold a repeated anchor; hot passages collapse in partial aggregations.
@@ -26,14 +26,17 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.plans.materialize import materialize
+from millrace.llm.suffixsort import repeated_prefixes, suffix_ranks
+from millrace.llm.text import give_back, small_batches
+from millrace.plans.materialize import materialize, release
 
 LENGTH, GRAM = 200, 64
-#: Texts that go into a batch of contexts; window starts that are scanned at a time; bits of the bitmap (a broadcast of an eighth as many bytes, whatever the
-#: input); bytes planned for a bucket; contexts of one anchor that a bucket takes before it is dealt as pairs of blocks.
-PART, STEP, BITS, BUCKET, BLOCK = 512, 1 << 19, 1 << 27, 1 << 20, 4096
+#: Texts that go into a batch of contexts; window starts that are scanned at a time; bits of the bitmap (a broadcast of an
+#: eighth as many bytes, whatever the input); bytes planned for a bucket; contexts of one anchor that a bucket takes.
+PART, STEP, BITS, BUCKET, CROWD = 512, 1 << 19, 1 << 27, 1 << 20, 4096
 
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
@@ -203,26 +206,29 @@ def _count_anchors(length: int, gram: int):
             hashes = [finder.find(t)[0] for t in _bytes_of(b.column(0))]
             h, n = np.unique(np.concatenate(hashes), return_counts=True) if hashes else (np.empty(0, _U), np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+        give_back()
 
     return run
 
 
-def _write_contexts(length: int, gram: int, bitmap, row_type: pa.DataType | None = None):
-    """Of (text, row), for each text a row of kind 0 with its number and all its columns, and for each anchor in the
-    bitmap a row of kind 1: text number, hash, context digest, first window, and the context unless this task has sent
-    it before."""
+_FOUND = ["kind", "rid", "h", "c1", "c2", "first", "windows", "context", "some", "row"]
+
+
+def _write_contexts(length: int, gram: int, bitmap, text_at: int):
+    """Of rows (a struct with the text at place ``text_at``): kind 0, the row with its number and whether its text holds
+    an anchor in the bitmap; kind 1, for each such anchor its hash, the digest of its context, the first window and how
+    many; kind 2, a context with its hash and digest, once a task unless it has met very many."""
 
     def run(batches):
         from pyspark import TaskContext
 
         finder, bits = Anchors(length, gram), np.frombuffer(bitmap.value, np.uint8)
         number, sent = TaskContext.get().partitionId() << 33, set()
+        signed = lambda x: pa.array(np.array(x, _U).view(np.int64))
         for b in (b.slice(at, PART) for b in batches for at in range(0, b.num_rows, PART)):
-            out = {k: [] for k in ("rid", "h", "c1", "c2", "first", "windows", "context")}
-            numbers = np.arange(number, number + b.num_rows)
-            number += b.num_rows
+            places, contexts = [[] for _ in range(6)], [[] for _ in range(4)]
             some = np.zeros(b.num_rows, bool)
-            for k, t in enumerate(_bytes_of(b.column(0))):
+            for k, t in enumerate(_bytes_of(b.column(0).field(text_at).cast(pa.binary()))):
                 h, first, last = finder.find(t)
                 slot = h & _U(BITS - 1)
                 keep = np.flatnonzero(bits[slot >> _U(3)] >> (slot & _U(7)).astype(np.uint8) & 1)
@@ -232,46 +238,62 @@ def _write_contexts(length: int, gram: int, bitmap, row_type: pa.DataType | None
                     s, e = int(first[i]), int(last[i])
                     context = raw[s : e + length]
                     digest = xxhash.xxh3_128_intdigest(context)
-                    out["rid"].append(numbers[k])
-                    out["h"].append(h[i])
-                    out["c1"].append(digest >> 64)
-                    out["c2"].append(digest & 0xFFFFFFFFFFFFFFFF)
-                    out["first"].append(s)
-                    out["windows"].append(e - s + 1)
-                    out["context"].append(None if digest in sent else context)
-                    if len(sent) < 1 << 18:
-                        sent.add(digest)
-            signed = lambda x: pa.array(np.array(x, _U).view(np.int64))
-            n = len(out["rid"])
-            names = ["kind", "rid", "h", "c1", "c2", "first", "windows", "context", "some", "row"]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(b.num_rows, np.int32)), pa.array(numbers), *[pa.nulls(b.num_rows, pa.int64())] * 5, pa.nulls(b.num_rows, pa.binary()), pa.array(some), b.column(1)], names=names
-            )
+                    key = h[i], digest >> 64, digest & 0xFFFFFFFFFFFFFFFF
+                    for column, value in zip(places, (number + k, *key, s, e - s + 1), strict=True):
+                        column.append(value)
+                    if digest not in sent:
+                        for column, value in zip(contexts, (*key, context), strict=True):
+                            column.append(value)
+                        if len(sent) < 1 << 18:
+                            sent.add(digest)
+            n, m, kinds = len(places[0]), len(contexts[0]), dict(zip(_FOUND, [pa.int32(), *[pa.int64()] * 6, pa.binary(), pa.bool_(), b.column(0).type], strict=True))
+
+            def batch(rows: int, kind: int, **given):
+                columns = [given.get(c, pa.nulls(rows, t)) for c, t in kinds.items()]
+                columns[0] = pa.array(np.full(rows, kind, np.int32))
+                return pa.RecordBatch.from_arrays(columns, names=_FOUND)  # noqa: B023
+
+            yield batch(b.num_rows, 0, rid=pa.array(np.arange(number, number + b.num_rows)), some=pa.array(some), row=b.column(0))
+            number += b.num_rows
             if n:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ones(n, np.int32)), pa.array(np.array(out["rid"], np.int64)), signed(out["h"]), signed(out["c1"]), signed(out["c2"]), pa.array(out["first"], pa.int64()), pa.array(out["windows"], pa.int64()), pa.array(out["context"], pa.binary()), pa.nulls(n, pa.bool_()), pa.nulls(n, b.column(1).type)],
-                    names=names,
-                )
+                yield batch(n, 1, rid=pa.array(np.array(places[0], np.int64)), h=signed(places[1]), c1=signed(places[2]), c2=signed(places[3]), first=pa.array(places[4], pa.int64()), windows=pa.array(places[5], pa.int64()))
+            if m:
+                yield batch(m, 2, h=signed(contexts[0]), c1=signed(contexts[1]), c2=signed(contexts[2]), context=pa.array(contexts[3], pa.binary()))
+        give_back()
 
     return run
 
 
 def _bucket_windows(length: int):
+    """Of contexts (h, c1, c2, n, context) the runs lo..hi of windows that are repeated."""
+
     def run(table: pa.Table) -> pa.Table:
-        texts = table.column("context").to_pylist()
-        hits = repeated_windows(texts, length)
-        which, lo, hi = [], [], []
-        for k, flags in enumerate(hits):
-            s, e = _ranges(flags)
-            which.append(np.full(len(s), k))
-            lo.append(s)
-            hi.append(e)
-        which = np.concatenate(which)
-        return pa.table({c: table.column(c).take(pa.array(which)) for c in ("h", "c1", "c2")} | {"lo": pa.array(np.concatenate(lo).astype(np.int64)), "hi": pa.array(np.concatenate(hi).astype(np.int64))})
+        many = table.column("n").to_numpy() > 1
+        hits = repeated_windows(table.column("context").to_pylist(), length)
+        runs = [_ranges(flags | several) for flags, several in zip(hits, many, strict=True)]
+        which = pa.array(np.repeat(np.arange(len(runs)), [len(s) for s, _ in runs]))
+        lo, hi = (pa.array(np.concatenate([r[k] for r in runs]).astype(np.int64)) for k in (0, 1))
+        return pa.table({c: table.column(c).take(which) for c in ("h", "c1", "c2")} | {"lo": lo, "hi": hi})
 
     return run
 
 
+def _crowd_windows(contexts: DataFrame, length: int) -> DataFrame:
+    """The same for any number of contexts of an anchor, by a distributed suffix sort."""
+    numbered = materialize(contexts.withColumn("id", F.monotonically_increasing_id()), "crowd")
+    letters = F.decode("context", "ISO-8859-1")
+    symbols = F.transform(F.sequence(F.lit(1), F.octet_length("context")), lambda i: (F.ascii(F.substring(letters, i, F.lit(1))) + 1).cast("long"))
+    strings = materialize(numbered.select("id", symbols.alias("s")), "symbols")
+    ranks = suffix_ranks(strings, length)
+    starts = F.sequence(F.lit(0), F.octet_length("context") - length)
+    each = numbered.join(ranks, "id").select("id", F.explode(F.transform(starts, lambda i: F.struct(i.alias("i"), F.get("r", i).alias("r"), F.unhex(F.md5(F.substring("context", i + 1, F.lit(length)))).alias("p")))).alias("x"))
+    found = repeated_prefixes(each.select("id", "x.*")).unionByName(numbered.where("n > 1").select("id", F.explode(starts).alias("i"))).distinct()
+    # runs of windows: what stays the same along a run is the place less its number
+    run = F.col("i") - F.row_number().over(W.partitionBy("id").orderBy("i"))
+    runs = found.select("id", "i", run.alias("g")).groupBy("id", "g").agg(F.min("i").cast("long").alias("lo"), F.max("i").cast("long").alias("hi"))
+    return numbered.select("id", "h", "c1", "c2").join(runs, "id").select("h", "c1", "c2", "lo", "hi")
+
+
 def _bitmap(repeated: DataFrame) -> bytes:
     """Of hashes h, a bitmap of BITS bits by the hashes' low bits, put together from at most BITS / 32 rows."""
     words = repeated.groupBy(F.expr(f"cast(shiftright(h & {BITS - 1}L, 5) as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 31 as int)))").alias("b"))
@@ -289,35 +311,31 @@ def repeat_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gram
     repeat each other's windows. An empty table gives an empty one. The columns of ``docs`` may have any names.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(text).cast("binary").alias("t"))
     counts = texts.mapInArrow(_count_anchors(length, gram), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     bitmap = spark.sparkContext.broadcast(_bitmap(counts.where("n > 1").select("h")))
-    rows = docs.select(F.col(text).cast("binary").alias("t"), F.struct("*").alias("row"))
+    rows = docs.select(F.struct("*").alias("row"))
     row_type = rows.schema["row"].dataType.simpleString()
-    both = rows.mapInArrow(_write_contexts(length, gram, bitmap), f"kind int, rid long, h long, c1 long, c2 long, first long, windows long, context binary, some boolean, row {row_type}")
-    both = materialize(both, "contexts", "kind")
-    places = both.where("kind = 1")
-    digest = F.struct("c1", "c2")
-    by_hash = places.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(digest).alias("lo"), F.max(digest).alias("hi")).where("n > 1")
-    by_hash = materialize(by_hash.select("h", (F.col("lo") != F.col("hi")).alias("mixed")), "anchors")
-    mixed = places.join(by_hash.where("mixed").select("h"), "h").groupBy("h", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.max("windows").alias("windows"), F.max("context").alias("context"))
-    mixed = materialize(mixed, "mixed")
-    buckets = max(1, (mixed.agg(F.sum(F.octet_length("context"))).first()[0] or 0) // BUCKET)
-    crowd = mixed.groupBy("h").count().where(F.col("count") > BLOCK).select("h", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    pool = mixed.join(crowd, "h", "left")
-    own = F.pmod("c1", F.col("blocks").cast("bigint")).cast("int")
-    pair = F.when(
-        F.col("blocks").isNotNull(),
-        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.concat_ws("-", F.col("h").cast("string"), F.least(own, j).cast("string"), F.greatest(own, j).cast("string"))),
-    ).otherwise(F.array(F.pmod("h", F.lit(buckets)).cast("string")))
-    dealt = pool.select("h", "c1", "c2", "context", F.explode(pair).alias("bucket"))
+    schema = f"kind int, rid long, h long, c1 long, c2 long, first long, windows long, context binary, some boolean, row {row_type}"
+    both = materialize(rows.mapInArrow(_write_contexts(length, gram, bitmap, docs.columns.index(text)), schema), "contexts", "kind")
+    places, key = both.where("kind = 1").select("rid", "h", "c1", "c2", "first", "windows"), ["h", "c1", "c2"]
+    # counted before anything is joined: an anchor with many places is a row a context from here on
+    distinct = materialize(places.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("windows").alias("windows")), "distinct")
+    anchors = distinct.groupBy("h").agg(F.sum("n").alias("places"), F.count(F.lit(1)).alias("k")).where("places > 1").select("h", (F.col("k") > CROWD).alias("crowd"))
+    live = materialize(distinct.join(anchors, "h"), "live")
+    contexts = both.where("kind = 2").select(*key, "context").join(live.select(*key, "n", "crowd"), key).dropDuplicates(key)
+    contexts = materialize(contexts, "live-contexts")
+    size = contexts.agg(F.coalesce(F.sum(F.when(~F.col("crowd"), F.octet_length("context"))), F.lit(0)).alias("b"), F.coalesce(F.max("crowd"), F.lit(False)).alias("crowd")).first()
+    dealt = contexts.where("not crowd").select(*key, "n", "context", F.pmod("h", F.lit(max(1, size["b"] // BUCKET))).alias("bucket"))
     found = dealt.groupBy("bucket").applyInArrow(_bucket_windows(length), "h long, c1 long, c2 long, lo long, hi long")
-    whole = mixed.where("n > 1").select("h", "c1", "c2", F.lit(0).cast("long").alias("lo"), (F.col("windows") - 1).alias("hi"))
-    marks = materialize(found.unionByName(whole).groupBy("h", "c1", "c2").agg(F.collect_list(F.struct("lo", "hi")).alias("parts")), "marks")
-    same = places.join(by_hash.where("not mixed").select("h"), "h").select("rid", F.col("first").alias("s"), (F.col("first") + F.col("windows") - 1 + length).alias("e"))
-    other = places.select("rid", "h", "c1", "c2", "first").join(marks, ["h", "c1", "c2"]).select("rid", "first", F.explode("parts").alias("p"))
-    other = other.select("rid", (F.col("first") + F.col("p.lo")).alias("s"), (F.col("first") + F.col("p.hi") + length).alias("e"))
-    spans = same.unionByName(other).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
+    if size["crowd"]:
+        found = found.unionByName(_crowd_windows(contexts.where("crowd").select(*key, "n", "context"), length))
+    marks = materialize(found.groupBy(*key).agg(F.collect_list(F.struct("lo", "hi")).alias("parts")), "marks")
+    release(distinct, live, contexts)
+    spans = places.select("rid", *key, "first").join(marks, key).select("rid", "first", F.explode("parts").alias("p"))
+    spans = spans.select("rid", F.struct((F.col("first") + F.col("p.lo")).alias("s"), (F.col("first") + F.col("p.hi") + length).alias("e")).alias("x"))
+    spans = spans.groupBy("rid").agg(F.sort_array(F.collect_list("x")).alias("spans"))
     kept = both.where("kind = 0")
     clean = kept.where("not some").select("row", F.lit(None).cast("array<struct<s:bigint,e:bigint>>").alias("spans"))
     return clean.unionByName(kept.where("some").select("rid", "row").join(spans, "rid", "left").select("row", "spans"))
@@ -354,7 +372,10 @@ def whole_characters(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256) of each row after its repeated bytes are removed."""
+    """(key, n_bytes, n_removed, n_spans, kept_sha256) of each row after its repeated bytes are removed.
+
+    Null texts are empty ones and texts shorter than a window stay whole. Repeated rows are copies of each other; null keys
+    are rows like any other; an empty table gives an empty one; other columns are not read."""
     found = repeat_spans(docs.select(key, text), text, length)
 
     def run(batches):
@@ -374,18 +395,22 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
 
 def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, chars: str | None = None) -> DataFrame:
     """``docs`` with the repeated bytes cut out of the text; a character that is covered in part stays whole. ``chars``
-    names a column to set to the new number of characters. Every row stays, also where nothing of its text does."""
+    names a column to set to the new number of characters. Every row stays, also where nothing of its text does; null and
+    empty texts and those without repeated bytes stay as they are; repeated rows lose all that is a window long. An empty
+    table gives an empty one."""
     found = repeat_spans(docs, text, length)
+    text_at = docs.columns.index(text)
 
     def run(batches):
         for b in batches:
             out = []
-            for t, spans in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+            for t, spans in zip(b.column(1).field(text_at).cast(pa.binary()), b.column(0).to_pylist(), strict=True):
                 raw = t.as_py() or b""
                 out.append(cut(raw, whole_characters(raw, merge_spans(spans))))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), b.column(2)], names=["t", "row"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), b.column(1)], names=["t", "row"])
+        give_back()
 
-    hit = found.where(F.col("spans").isNotNull()).select(F.col("row")[text].cast("binary").alias("t"), "spans", "row")
+    hit = found.where(F.col("spans").isNotNull()).select("spans", "row")
     new = hit.mapInArrow(run, f"t binary, row {hit.schema['row'].dataType.simpleString()}")
     changed = {text: F.col("t").cast(docs.schema[text].dataType)}
     if chars:

@@ -155,15 +155,29 @@ def test_suffix_dedup(docs, texts, none):
     assert {r["text"] for r in cleaned.where("doc_id = 14").collect()} == {""}
 
 
-def test_suffix_pairs_of_blocks(spark, monkeypatch):
-    monkeypatch.setattr(suffix, "BLOCK", 2)
+def test_suffix_crowd(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "CROWD", 2)
     rng = random.Random(3)
     shared = prose(rng, 60)
     rows = [(i, prose(rng, 12) + " " + shared[rng.randrange(60) :] + " " + prose(rng, 12)) for i in range(14)]
+    rows += [(14, rows[0][1]), (15, "ab" * 300), (16, "x" + "ab" * 200), (17, None)]
     got = {r["k"]: tuple(r)[1:] for r in suffix.digests(spark.createDataFrame(rows, "k long, t string"), "k", "t").collect()}
     assert got == dict(enumerate(brute_spans([t for _, t in rows], 200)))
 
 
+def test_distributed_suffix_sort(spark):
+    from millrace.llm.suffixsort import suffix_ranks
+    from millrace.plans.materialize import materialize
+
+    rng = random.Random(21)
+    words = [bytes(rng.choice(b"ab") for _ in range(rng.choice([1, 2, 3, 4, 9, 30]))) for _ in range(20)] + [b"a" * 31, b"ab" * 20]
+    df = spark.createDataFrame([(i, [c - 96 for c in w]) for i, w in enumerate(words)], "id long, s array<long>")
+    depth = 12
+    ranks = {r["id"]: r["r"] for r in suffix_ranks(materialize(df, "strings"), depth).collect()}
+    order = [w[i : i + depth] for r, w, i in sorted((r, w, i) for k, w in enumerate(words) for i, r in enumerate(ranks[k]) if i + depth <= len(w))]
+    assert order == sorted(order) and all(len(ranks[k]) == len(w) for k, w in enumerate(words))
+
+
 def test_decontamination(spark, docs, texts, none):
     items = [(1, texts[4][1]), (2, " ".join(texts[5][1].split()[20:60])), (3, prose(random.Random(9), 30)), (4, ""), (5, None), (6, "no key"), (7, texts[2][1].upper())]
     bench = spark.createDataFrame(items, "item_id long, text string")
