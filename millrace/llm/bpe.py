@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.text import map_texts
+
 #: The pre-token pattern of byte-level BPE, with white space as Unicode's White_Space property has it.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
@@ -213,22 +215,10 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def _map(docs: DataFrame, source, keep: list[str], schema: str, make) -> DataFrame:
-    src = docs.select(source.alias("t"), F.struct(*keep).alias("row"))
-
-    def run(batches):
-        try:
-            for b in batches:
-                cols = make(b.column(0))
-                yield pa.RecordBatch.from_arrays([b.column(1), *cols], names=["row", *(f"c{k}" for k in range(len(cols)))])
-        finally:  # workers live on; what a task has remembered does not
-            for c in _codecs.values():
-                c.forget()
-
-    names = [f.strip().split(" ")[0] for f in schema.split(",")]
-    kinds = [f.strip().split(" ")[1] for f in schema.split(",")]
-    full = f"row {src.schema['row'].dataType.simpleString()}, " + ", ".join(f"c{k} {t}" for k, t in enumerate(kinds))
-    return src.mapInArrow(run, full).select("row.*", *(F.col(f"c{k}").alias(n) for k, n in enumerate(names)))
+def _forget() -> None:
+    """At a task's end: workers live on; what a task has remembered does not."""
+    for c in _codecs.values():
+        c.forget()
 
 
 def _text_of(value) -> str:
@@ -236,7 +226,10 @@ def _text_of(value) -> str:
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the ids of each whole text as array<int>. A null text is an empty one."""
+    """``docs`` with the ids of each whole text as array<int> in column ``ids``, in place of a column of that name.
+
+    Null and empty texts have no ids. Repeated rows are encoded alike; an empty table gives an empty one; the other columns
+    may have any names."""
 
     def make(column):
         c = codec(path)
@@ -244,21 +237,24 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
         ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
         return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got) if got else np.empty(0, np.int32)))]
 
-    return _map(docs, F.col(text).cast("binary"), docs.columns, f"{ids} array<int>", make)
+    return map_texts(docs, text, make, {ids: "array<int>"}, binary=True, done=_forget)
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """``docs`` with the text of each row's ids. Null ids are none; bytes that are no UTF-8 become U+FFFD."""
+    """``docs`` with the text of each row's ids in column ``text``, in place of a column of that name. Null ids are none;
+    bytes that are no UTF-8 become U+FFFD; ids that the file lacks fail. Repeated rows and empty tables stay what they are."""
 
     def make(column):
         c = codec(path)
         return [pa.array([c.decode(np.array(i.as_py() or [], "<u4").tobytes()).decode("utf-8", "replace") for i in column], pa.string())]
 
-    return _map(docs, F.col(ids), docs.columns, f"{text} string", make)
+    return map_texts(docs, ids, make, {text: "string"})
 
 
 def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) of each whole text, encoded and decoded in one pass."""
+    """(key, n_tokens, ids_sha256, decoded_sha256) of each whole text, encoded and decoded in one pass. Null texts are
+    empty ones; repeated rows and null keys give rows of their own; an empty table gives an empty one; other columns are
+    not read."""
 
     def make(column):
         c = codec(path)
@@ -270,4 +266,6 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
                 o.append(v)
         return [pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
 
-    return _map(docs, F.col(text).cast("binary"), [key], "n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    narrow = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    found = map_texts(narrow, "t", make, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, drop=("t",), binary=True, done=_forget)
+    return found.withColumnRenamed("k", key)
