@@ -22,14 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.text import shingle_pieces
+from millrace.llm.text import give_back, map_texts, shingle_pieces, small_batches
 from millrace.operators.graph import connected_components
-from millrace.plans.materialize import materialize
+from millrace.plans.materialize import materialize, release
 
 WIDTH, RADIUS, SEED = 3, 3, 42
-#: Fingerprints that a shard is planned for, shards of a signature at least and at most (beyond that shards grow), and
-#: sampled fingerprints a shard.
-SHARD, LEAST, SHARDS, SAMPLE = 65_536, 16, 4_096, 64
+#: Fingerprints that a shard is planned for, shards of a signature at least, and at most (4 * 10**9 distinct fingerprints;
+#: beyond that shards grow, and nothing is lost); sampled fingerprints a shard, and in all (32 MB).
+SHARD, LEAST, SHARDS, SAMPLE, SAMPLED = 65_536, 16, 1 << 16, 64, 1 << 22
 #: Fingerprints in a node of a shard's own tree that are compared one by one, and pairs that are compared at a time.
 FLAT, BLOCK = 96, 1 << 20
 #: The pipeline's stage: words of a shingle, the Jaccard similarity that links (a fraction), bands, minimum hashes a band.
@@ -64,19 +64,13 @@ def simhash(text: bytes | None, width: int = WIDTH) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", width: int = WIDTH, signatures: int = 1, name: str = "fps") -> DataFrame:
-    """``docs`` without the text column, with the signatures as array<long> in column ``name``."""
-    keep = [c for c in docs.columns if c != text]
-    src = docs.select(F.col(text).cast("binary").alias("t"), F.struct(*keep).alias("row"))
+    """``docs`` without the text column, with the signatures as array<long> in column ``name``, in place of one of that name."""
 
-    def run(batches):
-        for b in batches:
-            fps = [simhashes(t.as_py(), width, signatures) for t in b.column(0)]
-            flat = np.concatenate(fps).view(np.int64) if fps else np.empty(0, np.int64)
-            ends = np.arange(0, signatures * (len(fps) + 1), signatures, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["row", "fps"])
+    def make(texts):
+        flat = np.concatenate([simhashes(t.as_py(), width, signatures) for t in texts]).view(np.int64)
+        return [pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, signatures, dtype=np.int32)), pa.array(flat))]
 
-    schema = f"row {src.schema['row'].dataType.simpleString()}, fps array<long>"
-    return src.mapInArrow(run, schema).select(*(F.col("row")[c].alias(c) for c in keep), F.col("fps").alias(name))
+    return map_texts(docs, text, make, {name: "array<long>"}, drop=(text,), binary=True)
 
 
 def _distances(x: np.ndarray, point: np.uint64) -> np.ndarray:
@@ -229,6 +223,7 @@ def _shard_edges(radius: int):
                     yield edges(visitors[pair[0]], points[pair[1]])
         if leaf is not None and points is None and own:
             yield settle()
+        give_back()
 
     return run
 
@@ -239,11 +234,11 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     spark = fps.sparkSession
     counts = {r["j"]: r["count"] for r in fps.groupBy("j").count().collect()}
     leaves = {j: max(LEAST, min(SHARDS // 2, -(-n // SHARD))) for j, n in counts.items()}
-    most = SAMPLE * sum(leaves.values())
-    sample: dict[int, list[int]] = {j: [] for j in counts}
-    for r in fps.select("j", "fp").orderBy(F.xxhash64("j", "fp"), "j", "fp").limit(most).collect():
-        sample[r["j"]].append(r["fp"])
-    trees = spark.sparkContext.broadcast({j: build_tree(np.array(x, np.int64).view(np.uint64), leaves[j]) for j, x in sample.items()})
+    most = min(SAMPLED, SAMPLE * sum(leaves.values()))
+    small_batches(spark)
+    some = fps.select("j", "fp").orderBy(F.xxhash64("j", "fp"), "j", "fp").limit(most).toArrow()
+    number, points = some.column("j").to_numpy(), some.column("fp").to_numpy().view(np.uint64)
+    trees = spark.sparkContext.broadcast({j: build_tree(points[number == j], leaves[j]) for j in counts})
 
     def deal(batches):
         for b in batches:
@@ -251,9 +246,9 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             for j in np.unique(number):
                 own = x[number == j]
                 idx, leaf, home = route(trees.value[j], own, radius)
-                yield pa.RecordBatch.from_arrays([pa.array((j * SHARDS + leaf).astype(np.int32)), pa.array(~home), pa.array(own[idx].view(np.int64))], names=["leaf", "visitor", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(int(j) * SHARDS + leaf.astype(np.int64)), pa.array(~home), pa.array(own[idx].view(np.int64))], names=["leaf", "visitor", "fp"])
 
-    dealt = fps.select("j", "fp").mapInArrow(deal, "leaf int, visitor boolean, fp long")
+    dealt = fps.select("j", "fp").mapInArrow(deal, "leaf long, visitor boolean, fp long")
     shards = dealt.repartition("leaf").sortWithinPartitions("leaf", "visitor")
     return shards.mapInArrow(_shard_edges(radius), "j int, src long, dst long").distinct()
 
@@ -301,17 +296,14 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     """Of ``docs`` (k, node, t): k, node, the 64-bit digest ``id`` of the set of shingles, its size n and its band keys."""
 
-    def run(batches):
-        for b in batches:
-            sets = [shingle_hashes(t.as_py(), width) for t in b.column(1)]
-            ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            keys = np.concatenate([band_keys(s) for s in sets]).view(np.int64) if sets else np.empty(0, np.int64)
-            ends = np.arange(0, BANDS * (len(sets) + 1), BANDS, dtype=np.int32)
-            n = np.array([len(s) for s in sets], np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))], names=["row", "id", "n", "bands"])
+    def make(texts):
+        sets = [shingle_hashes(t.as_py(), width) for t in texts]
+        ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+        keys = np.concatenate([band_keys(s) for s in sets]).view(np.int64)
+        ends = np.arange(0, BANDS * len(sets) + 1, BANDS, dtype=np.int32)
+        return [pa.array(ids), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))]
 
-    src = docs.select(F.struct("k", "node").alias("row"), F.col("t").cast("binary").alias("t"))
-    return src.mapInArrow(run, f"row {src.schema['row'].dataType.simpleString()}, id long, n long, bands array<long>").select("row.*", "id", "n", "bands")
+    return map_texts(docs.select("k", "node", "t"), "t", make, {"id": "long", "n": "long", "bands": "array<long>"}, drop=("t",), binary=True)
 
 
 def _hashed(texts: DataFrame, width: int) -> DataFrame:
@@ -324,6 +316,7 @@ def _hashed(texts: DataFrame, width: int) -> DataFrame:
                 h = shingle_hashes(t.as_py(), width).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([i.as_py()], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(h)], pa.int32()), pa.array(h))], names=["id", "hashes"])
 
+    small_batches(texts.sparkSession)
     return texts.select("id", F.col("t").cast("binary").alias("t")).mapInArrow(run, "id long, hashes array<long>")
 
 
@@ -361,9 +354,12 @@ def similar(rows: DataFrame, texts, width: int = STAGE_WIDTH) -> DataFrame:
     cross = a.join(b, "band").where((F.col("id_a") > F.col("id_b")) & (F.col("label_a") != F.col("label_b")) & fit(F.col("n_a"), F.col("n_b")))
     cross = cross.select(F.col("id_a").alias("src"), F.col("id_b").alias("dst")).distinct().join(first, ["src", "dst"], "left_anti")
     more = materialize(_verified(cross, sets).where("ok").select("src", "dst"), "cross-links")
+    release(at, stars, sets, named, some)
     if not more.limit(1).count():
         return groups
-    return connected_components(linked.unionByName(more))
+    out = materialize(connected_components(linked.unionByName(more)), "groups")
+    release(first, groups, more)
+    return out
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = STAGE_WIDTH) -> DataFrame:
