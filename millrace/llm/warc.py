@@ -1,7 +1,7 @@
 """WARC archives written and read as tables of record chunks.
 
-Writing: a payload goes in as rows of (record, chunk number, bytes); the JVM cuts oversized ones, so Python holds one chunk
-at a time. Each task streams its records into gzip members, one a record, of archives that roll over at a size, and
+Writing: a payload goes in as rows of (record, chunk number, bytes); it is cut before anything is shuffled, so exchanges
+and sorts move bounded rows and Python holds one chunk at a time. Each task streams its records into gzip members, one a record, of archives that roll over at a size, and
 returns the archives it finished; the manifest of finished archives is a table, so files of lost or repeated attempts are
 never read. Of equal payloads one record is a response and the others are revisits of it.
 
@@ -15,13 +15,15 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.text import small_batches
 from millrace.plans.materialize import materialize, new_path
 
 #: Bytes of a chunk, and compressed bytes after which a task starts its next archive.
@@ -44,9 +46,17 @@ def _base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def _open(path: str, write: bool):
-    """A stream of a file in any store that Arrow knows; a path without a scheme is local."""
-    store, name = fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Hadoop gives it: one without a scheme belongs to the default file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
+def _open(uri: str, write: bool):
+    """A stream of a file in a store that Arrow knows under the scheme or under the one that Hadoop's stands for."""
+    scheme, _, rest = uri.partition(":")
+    scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
+    store, name = fs.FileSystem.from_uri(f"{scheme}:///{rest.lstrip('/')}" if scheme == "file" else f"{scheme}:{rest}")
     if write:
         store.create_dir(name.rpartition("/")[0], recursive=True)
         return store.open_output_stream(name, compression=None)
@@ -79,8 +89,8 @@ class _Archive:
         return self.path, self.records, self.size
 
 
-def _head(kind: str, key, url, digest: str, refers, length: int) -> bytes:
-    fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:record:{'null' if key is None else key}>")]
+def _head(kind: str, key, url, digest: str, refers, length: int, date: str) -> bytes:
+    fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:record:{'null' if key is None else key}>"), ("WARC-Date", date)]
     if url is not None:
         fields.append(("WARC-Target-URI", quote(url, safe=":/?#[]@!$&'()*+,;=%~")))
     fields.append(("WARC-Payload-Digest", f"sha1:{digest}"))
@@ -90,7 +100,7 @@ def _head(kind: str, key, url, digest: str, refers, length: int) -> bytes:
     return b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in fields) + b"\r\n" + _HTTP
 
 
-def _write(folder: str):
+def _write(folder: str, date: str):
     def run(batches):
         archive, done = None, []
         for b in batches:
@@ -100,7 +110,7 @@ def _write(folder: str):
                         done.append(archive.close())
                         archive = None
                     archive = archive or _Archive(folder)
-                    archive.begin(_head(kind, key, url, digest, refers, 0 if kind == "revisit" else size))
+                    archive.begin(_head(kind, key, url, digest, refers, 0 if kind == "revisit" else size, date))
                 if kind != "revisit" and chunk:
                     archive.write(chunk)
                 if last:
@@ -118,21 +128,26 @@ def write_archives(records: DataFrame, key: str, url: str, payload: str, dedup_f
     Null payloads are empty. Of records with equal payloads of at least ``dedup_from`` bytes those with the largest key
     are responses and the others revisit it (null keys are never the largest beside another; rows that repeat the largest
     key are all responses); smaller payloads are all responses. Null urls leave the field out. The key is kept in the
-    record's identifier. Without rows there is no archive. Other columns are not read.
+    record's identifier. Without rows there is no archive. Other columns are not read. ``folder`` is in a store that
+    Arrow's file systems reach from the executors (local, S3, GCS, HDFS with its library).
     """
-    folder = folder or new_path(records.sparkSession, "warc")
+    spark = records.sparkSession
+    small_batches(spark)
+    folder = qualified(spark, folder or new_path(spark, "warc"))
     body = F.coalesce(F.col(payload).cast("binary"), F.lit("").cast("binary"))
     rows = records.select(F.col(key).alias("k"), F.col(url).alias("u"), body.alias("body"))
     rows = rows.select("k", "u", "body", F.octet_length("body").cast("long").alias("size"), sha1_base32(F.col("body")).alias("digest"))
     first = rows.where(F.col("size") >= dedup_from).groupBy("digest", "size").agg(F.max("k").alias("top"))
-    rows = rows.join(first, ["digest", "size"], "left")
+    pieces = F.greatest(F.lit(1), F.ceil(F.col("size") / CHUNK)).cast("int")
+    chunks = rows.withColumn("record", F.monotonically_increasing_id()).select("*", pieces.alias("pieces"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("number"))
+    chunks = chunks.select("record", "k", "u", "digest", "size", "pieces", "number", F.substring("body", F.col("number") * CHUNK + 1, F.lit(CHUNK)).alias("chunk"))
+    chunks = chunks.join(first, ["digest", "size"], "left")
     is_response = F.col("top").isNull() | F.col("k").eqNullSafe(F.col("top"))
-    rows = rows.select("k", "u", "digest", F.when(is_response, "response").otherwise("revisit").alias("kind"), F.when(~is_response, F.col("top")).alias("refers"), "size", "body")
-    pieces = F.when((F.col("kind") == "revisit") | (F.col("size") <= CHUNK), F.lit(1)).otherwise(F.ceil(F.col("size") / CHUNK)).cast("int")
-    chunks = rows.withColumn("pieces", pieces).select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("number"))
-    part = F.when(F.col("kind") != "revisit", F.substring("body", F.col("number") * CHUNK + 1, F.lit(CHUNK)))
-    chunks = chunks.select("k", "u", "digest", "kind", "refers", "size", "number", (F.col("number") == F.col("pieces") - 1).alias("last"), part.alias("chunk"))
-    manifest = chunks.mapInArrow(_write(folder), "path string, records long, bytes long")
+    chunks = chunks.where(is_response | (F.col("number") == 0)).sortWithinPartitions("record", "number")
+    last = ~is_response | (F.col("number") == F.col("pieces") - 1)
+    chunks = chunks.select("k", "u", "digest", F.when(is_response, "response").otherwise("revisit").alias("kind"), F.when(~is_response, F.col("top")).alias("refers"), "size", "number", last.alias("last"), F.when(is_response, F.col("chunk")).alias("chunk"))
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    manifest = chunks.mapInArrow(_write(folder, date), "path string, records long, bytes long")
     return materialize(manifest, "warc-manifest")
 
 
