@@ -210,3 +210,64 @@ def median_int(value: Column) -> Column:
 
 def cooldown(failures: Column, base: int = 60, most: int = 1800) -> Column:
     return F.when(failures > 0, F.least(F.lit(base) * F.pow(F.lit(2), failures - 1), F.lit(most)).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+
+
+def byte_text(size: Column) -> Column:
+    """Bytes, whole KB, MB with one decimal, GB with two; empty for null."""
+    text = F.when(size < KB, F.concat(size.cast("string"), F.lit(" B")))
+    for limit, unit, form in ((MB, KB, "%.0f KB"), (GB, MB, "%.1f MB"), (None, GB, "%.2f GB")):
+        value = F.format_string(form, size / unit)
+        text = text.when(size < limit, value) if limit else text.when(size.isNotNull(), value)
+    return F.coalesce(text, F.lit(""))
+
+
+def clock_text(seconds: Column) -> Column:
+    """m:ss below an hour, else h:mm:ss; empty for null."""
+    m, s = F.floor(seconds / 60), F.lpad(F.floor(F.pmod(seconds, F.lit(60))).cast("string"), 2, "0")
+    long = F.concat_ws(":", F.floor(m / 60).cast("string"), F.lpad(F.pmod(m, F.lit(60)).cast("string"), 2, "0"), s)
+    return F.when(seconds.isNull(), "").when(m < 60, F.concat_ws(":", m.cast("string"), s)).otherwise(long)
+
+
+def size_class(width: Column, height: Column) -> Column:
+    """large from 1,000 on either edge, medium from 500, else small."""
+    edge = F.greatest(width, height)
+    return F.when(edge >= 1000, "large").when(edge >= 500, "medium").otherwise("small")
+
+
+def keeps_existing(new_pixels: Column, new_size: Column, old_pixels: Column, old_size: Column) -> Column:
+    """Whether of two copies the existing one stays: it has more pixels, or as many and is no smaller a file."""
+    return (old_pixels > new_pixels) | ((old_pixels == new_pixels) & (old_size >= new_size))
+
+
+def gradient_bits(grid: Column, side: int = 9) -> Column:
+    """Two 64-bit masks of a square grid of brightness, row by row: whether each cell is brighter than its right neighbour,
+    and than the one below. Null where the grid is flat (brightest less darkest under 6) or of another size."""
+    at = lambda y, x: F.get(grid, F.lit(y * side + x))
+    cells = [(y, x) for y in range(side - 1) for x in range(side - 1)]
+
+    def mask(dy: int, dx: int) -> Column:
+        bits = F.array(*(at(y, x) > at(y + dy, x + dx) for y, x in cells))
+        return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b.cast("bigint")))
+
+    usable = (F.size(grid) == side * side) & (F.array_max(grid) - F.array_min(grid) >= 6)
+    return F.when(usable, F.struct(mask(0, 1).alias("across"), mask(1, 0).alias("down")))
+
+
+def frame_usable(samples: Column) -> Column:
+    """Whether a frame shows something: its 95th percentile is at least 24 and 8 above its 5th."""
+    s, n = F.array_sort(samples), F.size(samples)
+    at = lambda q: F.get(F.array_sort(samples), F.floor((n - 1) * q).cast("int"))
+    return F.coalesce((F.size(s) > 0) & (at(0.95) >= 24) & (at(0.95) - at(0.05) >= 8), F.lit(False))
+
+
+def uniform_line(samples: Column, spread: int = 12) -> Column:
+    """(uniform, mean) of a line of brightness: its 90th less its 10th percentile is at most ``spread``."""
+    n = F.size(samples)
+    at = lambda q: F.get(F.array_sort(samples), F.floor((n - 1) * q).cast("int"))
+    mean = F.aggregate(samples, F.lit(0.0), lambda a, x: a + x) / n
+    return F.struct(F.coalesce(at(0.9) - at(0.1) <= spread, F.lit(False)).alias("uniform"), mean.alias("mean"))
+
+
+def line_difference(a: Column, b: Column) -> Column:
+    """Mean absolute difference of two lines of equal length."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y).cast("double")), F.lit(0.0), lambda s, x: s + x) / F.size(a)

@@ -91,3 +91,82 @@ def safe_name(name: Column, fallback: str = "file") -> Column:
 def redact_queries(text: Column) -> Column:
     """Query strings of URLs in a text, as ``?…``."""
     return F.regexp_replace(text, r"(https?://[^\s?#]+)\?[^\s#]*", "$1?…")
+
+
+# Addresses of private networks, paths that are for reading, parameters that carry credentials.
+PRIVATE_HOST = r"^(?:localhost|.*\.(?:local|localhost|internal|lan|home|arpa)|\d+\.\d+\.\d+\.\d+|\[.*\])$"
+NO_READING = r"(?i)\.(?:json|rss|xml)$|/(?:submit|compose|modmail)(?:/|$)"
+READING = r"(?i)^/$|^/(?:r|u|user|comments|duplicates|search|wiki|w)(?:/|$)|^/(?:best|hot|new|top|rising|controversial)/?$"
+CREDENTIALS = r"(?i)[?&](?:access_token|refresh_token|id_token|token|code|state|password)(?:=|&|$)"
+FRAGMENT_CREDENTIALS = r"(?i)[&#](?:access_token|refresh_token|id_token)="
+
+
+def public_origin(url: Column) -> Column:
+    """``https://host`` of an https URL without credentials, port, query or fragment, at the root, on a public host; else
+    null."""
+    host = F.lower(part(url, 2))
+    plain = (F.lower(part(url, 1)) == "https") & part(url, 3).isin("", "/") & (part(url, 4) == "") & (part(url, 5) == "") & ~host.contains("@") & ~host.rlike(r":\d+$")
+    return F.when(plain & host.contains(".") & ~host.rlike(PRIVATE_HOST), F.concat(F.lit("https://"), host))
+
+
+def trimmed_path(path: Column) -> Column:
+    """A path without closing slashes; the root stays."""
+    return F.coalesce(F.nullif(F.regexp_replace(F.coalesce(path, F.lit("")), "/+$", ""), F.lit("")), F.lit("/"))
+
+
+def is_reading_path(path: Column) -> Column:
+    return ~path.rlike(NO_READING) & path.rlike(READING)
+
+
+def reading_url(url: Column, sites: str = r"^(?:(?:www|old|new|np|m|sh)\.)?reddit\.com$", short: str = r"^(?:www\.)?redd\.it$") -> Column:
+    """Path, query and fragment of a link to read on a mirror: known hosts only, short and gallery links as their comments,
+    nothing that carries credentials; else null."""
+    host, path = F.lower(part(url, 2)), F.when(part(url, 3) == "", "/").otherwise(part(url, 3))
+    brief = host.rlike(short)
+    known = F.lower(part(url, 1)).isin("http", "https") & (host.rlike(sites) | (brief & path.rlike("(?i)^/[a-z0-9]+/?$")))
+    path = F.when(brief, F.concat(F.lit("/comments/"), F.regexp_extract(path, "^/([^/]*)", 1))).otherwise(path)
+    path = F.regexp_replace(path, "(?i)^/gallery/([a-z0-9]+)/?$", "/comments/$1")
+    safe = ~part(url, 4).rlike(CREDENTIALS) & ~part(url, 5).rlike(FRAGMENT_CREDENTIALS)
+    return F.when(known & safe & is_reading_path(path), F.concat(trimmed_path(path), part(url, 4), part(url, 5)))
+
+
+def location_of(location: Column, folder: Column) -> Column:
+    """Where a playlist entry lies: URLs and absolute paths as they are, others below the playlist's folder; ``.`` is
+    dropped and ``..`` goes up."""
+    own = F.regexp_replace(location, r"\\", "/")
+    absolute = own.rlike(r"^([A-Za-z]:/|/)")
+    joined = F.when(absolute, own).otherwise(F.concat_ws("/", F.regexp_replace(folder, r"[/\\]+$", ""), own))
+    steps = F.filter(F.split(joined, "/"), lambda s: s != ".")
+    up = F.aggregate(steps, F.array().cast("array<string>"), lambda a, s: F.when((s == "..") & (F.size(a) > 0), F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(s))))
+    return F.when(location.rlike("^[A-Za-z][A-Za-z0-9+.-]+://"), location).otherwise(F.array_join(up, "/"))
+
+
+def plain_file_name(name: Column) -> Column:
+    """A name for any file system: control and forbidden characters as ``_``, trimmed."""
+    return F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r'[\x00-\x1f<>:"/\\|?*]', "_"))
+
+
+def name_from_url(url: Column, extension: str = "jpg") -> Column:
+    """The last segment of a URL's path; with a default extension where it has none, and a default name where it is empty."""
+    last = F.regexp_extract(part(url, 3), r"([^/]*)/?$", 1)
+    named = F.when(last == "", "file").otherwise(last)
+    return F.when(named.rlike(r"\.[A-Za-z0-9]{1,5}$"), named).otherwise(F.concat(named, F.lit(f".{extension}")))
+
+
+def with_extension(name: Column, wanted: Column) -> Column:
+    """The name with another extension in place of its own; as it is where none is wanted."""
+    return F.when(wanted.isNull(), name).otherwise(F.concat(F.regexp_replace(name, r"\.[^./]*$", ""), F.lit("."), wanted))
+
+
+def group_key(parent: Column, tab: Column, frame: Column, element: Column, key: Column) -> Column:
+    """What a found file belongs to: its manifest, else the page element that shows it, else its own address."""
+    at = F.when(element.isNotNull(), F.concat_ws(":", F.lit("el"), tab.cast("string"), frame.cast("string"), element))
+    return F.coalesce(F.concat(F.lit("parent:"), parent), at, F.concat(F.lit("url:"), key))
+
+
+def text_hash(text: Column) -> Column:
+    """A 32-bit hash that multiplies by 31 and adds each code unit, its absolute value in base 36."""
+    units = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text), F.lit(1))), lambda i: F.ascii(F.substring(text, i, F.lit(1))))
+    wrap = lambda x: F.pmod(x + (1 << 31), F.lit(1 << 32)) - (1 << 31)
+    value = F.aggregate(units, F.lit(0).cast("bigint"), lambda a, c: wrap(a * 31 + c))
+    return F.lower(F.conv(F.abs(value).cast("string"), 10, 36))
