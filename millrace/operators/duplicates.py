@@ -40,15 +40,19 @@ def band_pairs(df: DataFrame, value: str, item: str, group: list[str], floor: fl
 
 
 def hamming_pairs(df: DataFrame, item: str, bits: str, radius: int) -> DataFrame:
-    """(a, b, distance) of all pairs within the radius, by radius + 1 bands of the 64 bits: such pairs agree on one.
+    """(a, b, distance) of all pairs within the radius.
 
-    A pair is emitted by the first band that it agrees on only, so nothing is de-duplicated afterwards. Meant for radii
-    that leave bands of some width; equal hashes should be collapsed first.
+    Up to a radius of 7 by radius + 1 bands of the 64 bits: such pairs agree on one, and a pair is emitted by the first band
+    that it agrees on only. Bands narrower than 8 bits would let more candidates through than there are pairs, and no exact
+    index prunes at such distances, so beyond that distinct hashes are compared block by block, a pair of blocks a task, in
+    arrays; only pairs within the radius leave a task. Work grows with the square of the distinct hashes then.
     """
+    rows = df.select(F.col(item).alias("item"), F.col(bits).alias("bits"))
+    if radius > 7:
+        return _block_pairs(rows, radius)
     n = radius + 1
     cuts = [64 * k // n for k in range(n + 1)]
     band = lambda c, k: F.shiftrightunsigned(c, cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1 if cuts[k + 1] - cuts[k] < 64 else -1))
-    rows = df.select(F.col(item).alias("item"), F.col(bits).alias("bits"))
     keyed = rows.select("item", "bits", F.posexplode(F.array(*(band(F.col("bits"), k) for k in range(n)))).alias("k", "key"))
     pairs = keyed.alias("l").join(keyed.alias("r"), (F.col("l.k") == F.col("r.k")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.item") < F.col("r.item")))
     differ = F.col("l.bits").bitwiseXOR(F.col("r.bits"))
@@ -58,6 +62,39 @@ def hamming_pairs(df: DataFrame, item: str, bits: str, radius: int) -> DataFrame
     return pairs.where((F.bit_count(differ) <= radius) & ~earlier).select(F.col("l.item").alias("a"), F.col("r.item").alias("b"), F.bit_count(differ).alias("distance"))
 
 
+#: Distinct hashes in a block, and rows of the first block that are compared at a time.
+BLOCK, STEP = 8_192, 256
+
+
+def _block_pairs(rows: DataFrame, radius: int) -> DataFrame:
+    import numpy as np
+    import pyarrow as pa
+
+    hashes = rows.where(F.col("bits").isNotNull()).select("bits").distinct()
+    blocks = max(1, -(-hashes.count() // BLOCK))
+    own = F.pmod(F.xxhash64("bits"), F.lit(blocks)).cast("int")
+    other = F.sequence(F.lit(0), F.lit(blocks - 1))
+    dealt = hashes.select("bits", own.alias("own"), F.explode(other).alias("other")).select("bits", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        x, at, i, j = (table.column(c).to_numpy() for c in ("bits", "own", "i", "j"))
+        left, right = x[at == i].view(np.uint64), x[at == j].view(np.uint64)
+        found = []
+        for s in range(0, len(left), STEP):
+            d = np.bitwise_count(left[s : s + STEP, None] ^ right[None, :])
+            a, b = np.nonzero(d <= radius)
+            a, b, d = left[s : s + STEP][a].view(np.int64), right[b].view(np.int64), d[a, b]
+            keep = a < b if i[0] == j[0] else np.ones(len(a), bool)
+            found.append((a[keep], b[keep], d[keep].astype(np.int32)))
+        return pa.table({n: np.concatenate([f[k] for f in found]) for k, n in enumerate(("x", "y", "distance"))})
+
+    near = dealt.groupBy("i", "j").applyInArrow(compare, "x long, y long, distance int")
+    items = lambda h, name: rows.select(F.col("bits").alias(h), F.col("item").alias(name))
+    apart = near.join(items("x", "p"), "x").join(items("y", "q"), "y").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "distance")
+    same = items("x", "a").join(items("x", "b"), "x").where("a < b").select("a", "b", F.lit(0).alias("distance"))
+    return apart.unionByName(same)
+
+
 def merge_edges(*kinds: tuple[DataFrame, str, int]) -> DataFrame:
     """One edge for each unordered pair of the tables (a, b), with the kind of the highest priority."""
     parts = [e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(k).alias("kind"), F.lit(p).alias("p")) for e, k, p in kinds]

@@ -18,14 +18,16 @@ def roll_up(files: DataFrame, folders: str = "folders", size: str = "size") -> D
     return own.select(F.explode(above).alias("a"), "n", "b").groupBy(F.col("a.folder").alias("folder"), F.col("a.depth").alias("depth")).agg(F.sum("n").alias("files"), F.coalesce(F.sum("b"), F.lit(0)).alias("bytes"))
 
 
-def with_share(rolled: DataFrame) -> DataFrame:
+def with_share(rolled: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """Adds the percentage of all bytes, and whether a folder's mean file size stands out: red from twice, orange from one
-    and a half times the mean of all files. The root's row is the total, so nothing is windowed over all rows."""
-    total = rolled.where("depth = 0").select(F.col("bytes").alias("all_bytes"), F.col("files").alias("all_files"))
+    and a half times the mean of all files. ``totals`` is a row (all_bytes, all_files); without it the root's row is taken,
+    for which the roll-up is computed again."""
+    if totals is None:
+        totals = rolled.where("depth = 0").select(F.col("bytes").alias("all_bytes"), F.col("files").alias("all_files"))
     mean, whole = F.try_divide(F.col("bytes"), F.col("files")), F.try_divide(F.col("all_bytes"), F.col("all_files"))
     flag = F.when((whole > 0) & (mean >= 2 * whole), "red").when((whole > 0) & (mean >= 1.5 * whole), "orange").otherwise("none")
     share = F.coalesce(F.try_divide(F.col("bytes") * 100.0, F.col("all_bytes")), F.lit(0.0))
-    return rolled.join(F.broadcast(total)).select(*rolled.columns, F.round(share, 6).alias("percent"), flag.alias("flag"))
+    return rolled.join(F.broadcast(totals)).select(*rolled.columns, F.round(share, 6).alias("percent"), flag.alias("flag"))
 
 
 def top(df: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -39,10 +41,16 @@ def histogram(df: DataFrame, bucket: Column, name: str = "bucket") -> DataFrame:
 
 
 def head_and_tail(df: DataFrame, limit: int, group: list[str], *order: Column) -> DataFrame:
-    """Of each group of more than ``limit`` rows the first half (rounded up) and the last half of the limit."""
+    """Of each group of more than ``limit`` rows the first half (rounded up) and the last half of the limit. Both ends are
+    limits on a row number, which Spark applies before it shuffles; the size of a group is never windowed."""
     within = W.partitionBy(*group)
-    n = df.withColumn("_at", F.row_number().over(within.orderBy(*order))).withColumn("_of", F.count(F.lit(1)).over(within))
-    return n.where((F.col("_of") <= limit) | (F.col("_at") <= (limit + 1) // 2) | (F.col("_at") > F.col("_of") - limit // 2)).drop("_at", "_of")
+    first = df.withColumn("_at", F.row_number().over(within.orderBy(*order))).where(F.col("_at") <= limit)
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_of"))
+    head = first.join(sizes, group).where((F.col("_of") <= limit) | (F.col("_at") <= (limit + 1) // 2)).drop("_at", "_of")
+    back = [F.desc(c) if isinstance(c, str) else c.desc() for c in order]
+    tail = df.withColumn("_at", F.row_number().over(within.orderBy(*back))).where(F.col("_at") <= max(1, limit // 2))
+    tail = tail.join(sizes, group).where((F.col("_of") > limit) & F.lit(limit > 1)).drop("_at", "_of")
+    return head.unionByName(tail)
 
 
 def capped_selection(df: DataFrame, group: list[str], category: str, per_category: int, overall: int, priority: Column, *order: Column) -> DataFrame:
@@ -54,9 +62,12 @@ def capped_selection(df: DataFrame, group: list[str], category: str, per_categor
 
 
 def snapshot_digest(df: DataFrame, group: list[str], *columns: str) -> DataFrame:
-    """SHA-256 over a group's rows in sorted order: the same for the same set of rows, however they arrive."""
+    """A digest of a group's rows that is the same for the same rows, however they arrive: 60 bits of each row's SHA-256 add
+    up in partial sums, and the sum and the number of rows are hashed. No group is collected or sorted."""
     line = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
-    return df.groupBy(*group).agg(F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list(line))), 256).alias("digest"), F.count(F.lit(1)).alias("n"))
+    part = F.conv(F.substring(F.sha2(line, 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    sums = df.groupBy(*group).agg(F.sum(part).alias("s"), F.count(F.lit(1)).alias("n"))
+    return sums.select(*group, F.sha2(F.concat_ws("|", F.col("s").cast("string"), F.col("n").cast("string")), 256).alias("digest"), "n")
 
 
 def stability(df: DataFrame, group: list[str], centre: str, size: str) -> DataFrame:

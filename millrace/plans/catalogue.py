@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import hashes, markup, media, mime, urls
 from millrace.operators import duplicates, events, inventory, selection
+from millrace.operators.order import exact_median
 from millrace.sources.tables import load, order_files
 
 QUERIES: dict = {}
@@ -57,7 +58,9 @@ SELECT folder, depth, files, bytes, round(bytes * 100.0 / all_bytes, 6) AS perce
   CASE WHEN bytes / files >= 2 * (all_bytes / all_files) THEN 'red' WHEN bytes / files >= 1.5 * (all_bytes / all_files) THEN 'orange' ELSE 'none' END AS flag
 FROM rolled, t""")
 def folder_shares(spark: SparkSession, sf: str) -> DataFrame:
-    return inventory.with_share(inventory.roll_up(order_files(spark, sf)))
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
+    totals = load(spark, sf, "orders").agg(F.coalesce(F.sum(cents), F.lit(0)).alias("all_bytes"), F.count(F.lit(1)).alias("all_files"))
+    return inventory.with_share(inventory.roll_up(order_files(spark, sf)), totals)
 
 
 @query(f"WITH {_FILES} SELECT folder, files, bytes, row_number() OVER (ORDER BY bytes DESC, folder) AS rank FROM rolled WHERE depth = 3 ORDER BY rank LIMIT 25")
@@ -74,7 +77,9 @@ def top_folders_by_count(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_FILES} SELECT name, size, row_number() OVER (ORDER BY size DESC, name DESC) AS rank FROM files ORDER BY rank LIMIT 25")
 def top_files(spark: SparkSession, sf: str) -> DataFrame:
-    return inventory.top(order_files(spark, sf).select("name", "size"), 25, F.desc("size"), F.desc("name"))
+    # folders do not matter here, so orders are read alone
+    files = load(spark, sf, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("name"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("size"))
+    return inventory.top(files, 25, F.desc("size"), F.desc("name"))
 
 
 # Histograms and medians -------------------------------------------------------------------------------------------------
@@ -130,7 +135,8 @@ def other_resolutions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT o_orderpriority AS bucket, CAST(round_even(median(o_totalprice / 1000), 0) AS BIGINT) AS median_kbps, count(*) AS n FROM orders GROUP BY 1")
 def median_by_bucket(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("bucket")).agg(media.median_int(media.kbps(F.col("o_totalprice"))).alias("median_kbps"), _n())
+    rows = load(spark, sf, "orders").select(F.col("o_orderpriority").alias("bucket"), media.kbps(F.col("o_totalprice")).alias("kbps"))
+    return exact_median(rows, "bucket", "kbps").select("bucket", F.bround("median").cast("bigint").alias("median_kbps"), "n")
 
 
 _BIN = "CASE WHEN l_quantity IS NULL THEN 'Unknown' " + " ".join(f"WHEN abs(l_quantity - {rate}) < 0.1 THEN '{name}'" for name, rate in media.FRAME_RATES) + " ELSE 'Other' END"
@@ -146,15 +152,14 @@ def codec_counts(spark: SparkSession, sf: str) -> DataFrame:
     return inventory.histogram(load(spark, sf, "part"), F.upper("p_type"), "codec")
 
 
-@query("""SELECT n_chars % 7 AS k,
-  CASE WHEN max(n_chars) >= 1048576 THEN format('{:.2f} MB', max(n_chars) / 1048576) WHEN max(n_chars) >= 1024 THEN format('{:.2f} KB', max(n_chars) / 1024) ELSE max(n_chars) || ' bytes' END AS size_text,
-  CASE WHEN max(n_chars) >= 1048576 THEN format('{} MB', max(n_chars) // 1048576) WHEN max(n_chars) >= 1024 THEN format('{} KB', max(n_chars) // 1024) ELSE max(n_chars) || ' bytes' END AS short_text,
-  CASE WHEN max(n_chars) >= 3600 THEN format('{}h {}m {}s', max(n_chars) // 3600, max(n_chars) % 3600 // 60, max(n_chars) % 60) WHEN max(n_chars) >= 60 THEN format('{}m {}s', max(n_chars) // 60, max(n_chars) % 60) ELSE format('{}s', max(n_chars)) END AS duration_text
-FROM documents GROUP BY 1""")
+@query("""SELECT doc_id,
+  CASE WHEN n_chars >= 1048576 THEN format('{:.2f} MB', n_chars / 1048576) WHEN n_chars >= 1024 THEN format('{:.2f} KB', n_chars / 1024) ELSE n_chars || ' bytes' END AS size_text,
+  CASE WHEN n_chars >= 1048576 THEN format('{} MB', n_chars // 1048576) WHEN n_chars >= 1024 THEN format('{} KB', n_chars // 1024) ELSE n_chars || ' bytes' END AS short_text,
+  CASE WHEN n_chars >= 3600 THEN format('{}h {}m {}s', n_chars // 3600, n_chars % 3600 // 60, n_chars % 60) WHEN n_chars >= 60 THEN format('{}m {}s', n_chars // 60, n_chars % 60) ELSE format('{}s', n_chars) END AS duration_text
+FROM documents""")
 def human_texts(spark: SparkSession, sf: str) -> DataFrame:
-    most = load(spark, sf, "documents").groupBy((F.col("n_chars") % 7).alias("k")).agg(F.max("n_chars").alias("m"))
-    m = F.col("m")
-    return most.select("k", media.human_size(m).alias("size_text"), media.human_size_short(m).alias("short_text"), media.human_duration(m).alias("duration_text"))
+    m = F.col("n_chars")
+    return load(spark, sf, "documents").select("doc_id", media.human_size(m).alias("size_text"), media.human_size_short(m).alias("short_text"), media.human_duration(m).alias("duration_text"))
 
 
 @query("""WITH m AS (SELECT user_id, median(value) AS mc FROM events GROUP BY 1),
@@ -399,7 +404,7 @@ def stale_keys(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "labels").select("doc_id").join(load(spark, sf, "documents").where("lang = 'en'"), "doc_id", "left_anti").distinct()
 
 
-@query("SELECT source, sha256(array_to_string(list_sort(list(doc_id || '|' || n_chars)), chr(10))) AS digest, count(*) AS n FROM documents GROUP BY 1")
+@query("SELECT source, sha256(CAST(sum(CAST('0x' || substr(sha256(doc_id || '|' || n_chars), 1, 15) AS BIGINT)) AS VARCHAR) || '|' || count(*)) AS digest, count(*) AS n FROM documents GROUP BY 1")
 def snapshot_digest(spark: SparkSession, sf: str) -> DataFrame:
     return inventory.snapshot_digest(load(spark, sf, "documents"), ["source"], "doc_id", "n_chars")
 
