@@ -8,11 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import entries, hashes, hls, markup, media, mime, names, urls
-from millrace.operators import duplicates, instances, selection, sets, tree
+from millrace.functions import entries, hashes, hls, markup, media, mime, names, pixels, urls
+from millrace.operators import duplicates, instances, inventory, reports, selection, sets, tree
 from millrace.plans.catalogue import ORACLE_SQL, QUERIES, query
 from millrace.sources import playlists, probes
 from millrace.sources.tables import load
+from millrace.streaming import events
 
 _SQL_TYPES = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
@@ -37,8 +38,9 @@ def literal(name: str, schema: str, rows: list[tuple], make: Callable[[DataFrame
     ORACLE_SQL[name] = "SELECT " + ", ".join(f"CAST(v{k} AS {_SQL_TYPES[t]}) AS {c}" for k, (c, t) in enumerate(columns)) + f" FROM (VALUES {values}) AS v({', '.join(f'v{k}' for k in range(len(columns)))})"
 
 
-def columns(**made: Column) -> Callable[[DataFrame], DataFrame]:
-    return lambda df: df.select("*", *(c.alias(n) for n, c in made.items()))
+def columns(made: Callable[[], dict[str, Column]]) -> Callable[[DataFrame], DataFrame]:
+    """Adds columns; made when a session is there, so that this module needs none to be imported."""
+    return lambda df: df.select("*", *(c.alias(n) for n, c in made().items()))
 
 
 def over(name: str, kind: str, values: list, out_type: str, function: Callable[[Column], Column], want: list) -> None:
@@ -55,7 +57,7 @@ over("mime_savable", "string", _MIMES, "boolean", mime.is_savable, [True, True,
 literal(
     "segment_and_manifest", "k int, url string, type string",
     [(0, "https://a/x.ts?y=1", None), (1, "https://a/x.m3u8", None), (2, "https://a/x", "video/MP2T"), (3, "https://a/x", "application/x-mpegURL"), (4, "https://a/x.mpd#t", None), (5, "https://a/tsunami", "video/mp4"), (6, None, "video/iso.segment")],
-    columns(segment=mime.is_segment(F.col("url"), F.col("type")), manifest=mime.is_manifest(F.col("url"), F.col("type"))), "k int, segment boolean, manifest boolean",
+    columns(lambda: dict(segment=mime.is_segment(F.col("url"), F.col("type")), manifest=mime.is_manifest(F.col("url"), F.col("type")))), "k int, segment boolean, manifest boolean",
     [(0, True, False), (1, False, True), (2, True, False), (3, False, True), (4, False, True), (5, False, False), (6, True, False)],
 )
 _HEADS = ["ffd8ffe0", "89504e470d0a1a0a", "474946383961", "424d0000", "49492a00", "00000100", "52494646000000005745425000", "0000001c66747970617669660000000061766966", "0000002066747970697361390000000069736f6d4d344120", "000000186674797069736f6d000002006d703431", "1a45dfa3", "4f676753", "49443304", "fffb9000", "fff15080", "664c6143", "524946460000000057415645", "3c21444f43545950452068746d6c3e", "7b226122", "010203", "01020304"]
@@ -65,13 +67,13 @@ over(
 )
 literal(
     "kind_agreement", "k int, seen string, expected string", [(0, "image", "image"), (1, "av", "audio"), (2, "av", "image"), (3, None, "video"), (4, "notmedia", None), (5, "video", "stream"), (6, "image", None), (7, "audio", "video")],
-    columns(agrees=mime.kinds_agree(F.col("seen"), F.col("expected"))), "k int, agrees boolean", [(0, True), (1, True), (2, False), (3, True), (4, False), (5, True), (6, True), (7, False)],
+    columns(lambda: dict(agrees=mime.kinds_agree(F.col("seen"), F.col("expected")))), "k int, agrees boolean", [(0, True), (1, True), (2, False), (3, True), (4, False), (5, True), (6, True), (7, False)],
 )
 over("status_codes", "int", [401, 404, 429, 500, 503, 418, 403], "string", selection.status_failure, ["http-401", "http-404", "http-429", "http-5xx", "http-5xx", "network", "http-403"])
 literal(
     "header_totals", "k int, status int, headers array<struct<name:string,value:string>>",
     [(0, 206, [("content-range", "bytes 0-1023/5000"), ("Content-Length", "1024")]), (1, 200, [("CONTENT-LENGTH", "77")]), (2, 206, [("Content-Range", "bytes 0-1/*")]), (3, 200, [])],
-    columns(total=mime.total_bytes(F.col("headers"), F.col("status")), length=mime.header(F.col("headers"), "Content-Length")), "k int, total bigint, length string", [(0, 5000, "1024"), (1, 77, "77"), (2, None, None), (3, None, None)],
+    columns(lambda: dict(total=mime.total_bytes(F.col("headers"), F.col("status")), length=mime.header(F.col("headers"), "Content-Length"))), "k int, total bigint, length string", [(0, 5000, "1024"), (1, 77, "77"), (2, None, None), (3, None, None)],
 )
 literal(
     "request_classes", "k int, url string, resource string, type string",
@@ -96,27 +98,27 @@ over("byte_texts", "bigint", [0, 1023, 1024, 1048575, 1048576, 5 * (1 << 30), No
 over("clock_displays", "int", [0, 59, 61, 3599, 3600, 36061, None], "string", media.clock_text, ["0:00", "0:59", "1:01", "59:59", "1:00:00", "10:01:01", ""])
 literal(
     "hdr_facts", "k int, transfer string, primaries string, space string, side string", [(0, "smpte2084", "bt2020", "bt2020nc", None), (1, "arib-std-b67", None, None, None), (2, "bt709", "bt2020", None, None), (3, None, None, "bt2020nc", "Dolby Vision Metadata"), (4, None, None, None, None)],
-    columns(label=media.hdr_label(F.col("transfer"), F.col("side")), score=media.hdr_score(F.col("transfer"), F.col("primaries"), F.col("space"))), "k int, label string, score int",
+    columns(lambda: dict(label=media.hdr_label(F.col("transfer"), F.col("side")), score=media.hdr_score(F.col("transfer"), F.col("primaries"), F.col("space")))), "k int, label string, score int",
     [(0, "HDR10", 2), (1, "HLG", 2), (2, "SDR", 1), (3, "Dolby Vision", 1), (4, "SDR", 0)],
 )
 literal(
     "bit_depths", "k int, raw string, sample string, fmt string", [(0, "10", None, "yuv420p"), (1, "0", "12", None), (2, None, None, "yuv420p10le"), (3, None, None, "p010le"), (4, None, None, "gray12le"), (5, None, None, "x2rgb10le"), (6, None, None, "yuv420p"), (7, None, None, None)],
-    columns(depth=media.bit_depth(F.col("raw"), F.col("sample"), F.col("fmt"))), "k int, depth int", [(0, 10), (1, 12), (2, 10), (3, 10), (4, 12), (5, 10), (6, 8), (7, 8)],
+    columns(lambda: dict(depth=media.bit_depth(F.col("raw"), F.col("sample"), F.col("fmt")))), "k int, depth int", [(0, 10), (1, 12), (2, 10), (3, 10), (4, 12), (5, 10), (6, 8), (7, 8)],
 )
 literal("analysis_sizes", "k int, w int, h int", [(0, 1920, 1080), (1, 1080, 1920), (2, 100, 1), (3, 320, 320)], lambda df: df.select("k", media.analysis_size(F.col("w"), F.col("h")).alias("s")).select("k", "s.*"), "k int, width int, height int", [(0, 320, 180), (1, 180, 320), (2, 100, 2), (3, 320, 320)])
-literal("size_classes", "k int, w int, h int", [(0, 1000, 2), (1, 3, 999), (2, 499, 500), (3, 499, 499)], columns(size=media.size_class(F.col("w"), F.col("h"))), "k int, size string", [(0, "large"), (1, "medium"), (2, "medium"), (3, "small")])
-literal("keep_existing", "k int, np int, ns int, op int, os int", [(0, 10, 5, 20, 1), (1, 20, 5, 10, 9), (2, 10, 5, 10, 5), (3, 10, 6, 10, 5)], columns(keep=media.keeps_existing(F.col("np"), F.col("ns"), F.col("op"), F.col("os"))), "k int, keep boolean", [(0, True), (1, False), (2, True), (3, False)])
+literal("size_classes", "k int, w int, h int", [(0, 1000, 2), (1, 3, 999), (2, 499, 500), (3, 499, 499)], columns(lambda: dict(size=media.size_class(F.col("w"), F.col("h")))), "k int, size string", [(0, "large"), (1, "medium"), (2, "medium"), (3, "small")])
+literal("keep_existing", "k int, np int, ns int, op int, os int", [(0, 10, 5, 20, 1), (1, 20, 5, 10, 9), (2, 10, 5, 10, 5), (3, 10, 6, 10, 5)], columns(lambda: dict(keep=media.keeps_existing(F.col("np"), F.col("ns"), F.col("op"), F.col("os")))), "k int, keep boolean", [(0, True), (1, False), (2, True), (3, False)])
 literal(
     "sample_plans", "k int, duration double, fps double", [(0, 100.0, 25.0), (1, None, 25.0), (2, 0.05, None), (3, 1.0, 10.0)],
-    columns(times=F.array_join(F.transform(selection.sample_times(F.col("duration"), F.col("fps")), lambda t: F.format_string("%.3f", t)), ",")), "k int, times string", [(0, "10.000,30.000,50.000,70.000,90.000"), (1, "0.500"), (2, "0.025"), (3, "0.100,0.300,0.500,0.700,0.895")],
+    columns(lambda: dict(times=F.array_join(F.transform(selection.sample_times(F.col("duration"), F.col("fps")), lambda t: F.format_string("%.3f", t)), ","))), "k int, times string", [(0, "10.000,30.000,50.000,70.000,90.000"), (1, "0.500"), (2, "0.025"), (3, "0.100,0.300,0.500,0.700,0.895")],
 )
-literal("sample_places", "k int, a bigint, b bigint", [(0, 0, 10), (1, 5, 8), (2, 3, 3), (3, 0, 100)], columns(places=F.array_join(selection.sample_positions(F.col("a"), F.col("b"), 4), ",")), "k int, places string", [(0, "0,2,5,7"), (1, "5,6,7"), (2, ""), (3, "0,25,50,75")])
+literal("sample_places", "k int, a bigint, b bigint", [(0, 0, 10), (1, 5, 8), (2, 3, 3), (3, 0, 100)], columns(lambda: dict(places=F.array_join(selection.sample_positions(F.col("a"), F.col("b"), 4), ","))), "k int, places string", [(0, "0,2,5,7"), (1, "5,6,7"), (2, ""), (3, "0,25,50,75")])
 over("edge_runs", "array<boolean>", [[True, True, True, False, True], [False, False, True], [True, True, False, False, False, True], [], [True]], "int", selection.edge_extent, [5, 0, 0, 0, 1])
 literal(
     "usable_frames", "k int, s array<int>", [(0, [0] * 20), (1, [0] * 10 + [200] * 10), (2, [30] * 20), (3, [])],
-    columns(usable=media.frame_usable(F.col("s")), flat=media.uniform_line(F.col("s"))["uniform"]), "k int, usable boolean, flat boolean", [(0, False, True), (1, True, False), (2, False, True), (3, False, False)],
+    columns(lambda: dict(usable=media.frame_usable(F.col("s")), flat=media.uniform_line(F.col("s"))["uniform"])), "k int, usable boolean, flat boolean", [(0, False, True), (1, True, False), (2, False, True), (3, False, False)],
 )
-literal("line_differences", "k int, a array<int>, b array<int>", [(0, [1, 2, 3], [1, 4, 9]), (1, [0], [255])], columns(d=F.round(media.line_difference(F.col("a"), F.col("b")), 6)), "k int, d double", [(0, 2.666667), (1, 255.0)])
+literal("line_differences", "k int, a array<int>, b array<int>", [(0, [1, 2, 3], [1, 4, 9]), (1, [0], [255])], columns(lambda: dict(d=F.round(media.line_difference(F.col("a"), F.col("b")), 6))), "k int, d double", [(0, 2.666667), (1, 255.0)])
 literal(
     "gradient_hashes", "k int, g array<int>", [(0, list(range(81))), (1, list(range(81, 0, -1))), (2, [7] * 81), (3, [1, 2])],
     lambda df: df.select("k", media.gradient_bits(F.col("g")).alias("h")).select("k", "h.*"), "k int, across bigint, down bigint", [(0, 0, 0), (1, -1, -1), (2, None, None), (3, None, None)],
@@ -124,30 +126,30 @@ literal(
 
 # Hashes and scores -----------------------------------------------------------------------------------------------------------------
 
-literal("hash_distances", "k int, a bigint, b bigint", [(0, 0, -1), (1, 5, 5), (2, 1, 2)], columns(near=hashes.hamming(F.col("a"), F.col("b")), wide=hashes.hamming_128(F.col("a"), F.col("a"), F.col("b"), F.col("b"))), "k int, near int, wide int", [(0, 64, 128), (1, 0, 0), (2, 2, 4)])
+literal("hash_distances", "k int, a bigint, b bigint", [(0, 0, -1), (1, 5, 5), (2, 1, 2)], columns(lambda: dict(near=hashes.hamming(F.col("a"), F.col("b")), wide=hashes.hamming_128(F.col("a"), F.col("a"), F.col("b"), F.col("b")))), "k int, near int, wide int", [(0, 64, 128), (1, 0, 0), (2, 2, 4)])
 literal(
     "hex_distances", "k int, a string, b string", [(0, "00000000000000ff", "0000000000000000"), (1, "xyz", "0000000000000000"), (2, None, "0000000000000000"), (3, "FFFFFFFFFFFFFFFF", "ffffffffffffffff")],
-    columns(capped=hashes.hamming_hex(F.col("a"), F.col("b")), far=hashes.hamming_hex(F.col("a"), F.col("b"), None)), "k int, capped int, far int", [(0, 8, 8), (1, 64, None), (2, 64, None), (3, 0, 0)],
+    columns(lambda: dict(capped=hashes.hamming_hex(F.col("a"), F.col("b")), far=hashes.hamming_hex(F.col("a"), F.col("b"), None))), "k int, capped int, far int", [(0, 8, 8), (1, 64, None), (2, 64, None), (3, 0, 0)],
 )
-literal("best_transforms", "k int, a array<bigint>, b array<bigint>", [(0, [0, 255], [254, 1]), (1, [0], []), (2, [0], [-1])], columns(d=hashes.best_distance(F.col("a"), F.col("b")), s=hashes.similarity(hashes.best_distance(F.col("a"), F.col("b")))), "k int, d int, s double", [(0, 1, 0.984375), (1, 64, 0.0), (2, 64, 0.0)])
+literal("best_transforms", "k int, a array<bigint>, b array<bigint>", [(0, [0, 255], [254, 1]), (1, [0], []), (2, [0], [-1])], columns(lambda: dict(d=hashes.best_distance(F.col("a"), F.col("b")), s=hashes.similarity(hashes.best_distance(F.col("a"), F.col("b"))))), "k int, d int, s double", [(0, 1, 0.984375), (1, 64, 0.0), (2, 64, 0.0)])
 over("hash_radii", "int", [64, 128], "int", lambda v: F.when(v == 64, hashes.radius(0.75, 64)).otherwise(hashes.radius(0.9, 128)), [16, 12])
 literal(
     "composite_scores", "k int, v string, m string, p double, ca double, cb double, n int, r double",
     [(0, "byte_exact", "identity", 0.1, 0.0, 0.0, 0, 0.0), (1, "geometry", "homography", 0.9, 0.8, 0.6, 50, 1.5), (2, "none", "none", 0.9, 0.8, 0.6, 50, 1.5), (3, "geometry", "homography", 1.0, 1.0, 1.0, 99, 0.0), (4, "geometry", "homography", None, 1.0, 1.0, 99, 0.0)],
-    columns(score=F.round(hashes.composite_score(F.col("v"), F.col("m"), F.col("p"), F.col("ca"), F.col("cb"), F.col("n"), F.col("r")), 6)), "k int, score double", [(0, 1.0), (1, 0.8), (2, 0.0), (3, 0.99), (4, 0.0)],
+    columns(lambda: dict(score=F.round(hashes.composite_score(F.col("v"), F.col("m"), F.col("p"), F.col("ca"), F.col("cb"), F.col("n"), F.col("r")), 6))), "k int, score double", [(0, 1.0), (1, 0.8), (2, 0.0), (3, 0.99), (4, 0.0)],
 )
 literal(
     "pair_labels", "k int, v string, m string, p double, n int, c double, r double, pts int", [(0, "pixel_exact", "identity", 0.0, 0, 0.0, 9.0, 0), (1, "geometry", "affine", 0.8, 30, 0.6, 1.0, 500), (2, "geometry", "affine", 0.8, 30, 0.6, 1.0, 50), (3, "geometry", "affine", 0.9, 10, 0.6, 1.0, 500), (4, "none", "none", 1.0, 99, 1.0, 0.0, 500)],
-    columns(label=hashes.pair_label(F.col("v"), F.col("m"), F.col("p"), F.col("n"), F.col("c"), F.col("c"), F.col("r"), F.col("pts"), F.col("pts"))), "k int, label string", [(0, "duplicate"), (1, "variant"), (2, "different"), (3, "different"), (4, "different")],
+    columns(lambda: dict(label=hashes.pair_label(F.col("v"), F.col("m"), F.col("p"), F.col("n"), F.col("c"), F.col("c"), F.col("r"), F.col("pts"), F.col("pts")))), "k int, label string", [(0, "duplicate"), (1, "variant"), (2, "different"), (3, "different"), (4, "different")],
 )
-literal("average_hashes", "k int, v array<double>", [(0, [1.0, 3.0]), (1, [2.0, 2.0]), (2, [5.0, 1.0, 1.0, 5.0])], columns(bits=hashes.mean_bits(F.col("v"))), "k int, bits bigint", [(0, 1), (1, 0), (2, 9)])
+literal("average_hashes", "k int, v array<double>", [(0, [1.0, 3.0]), (1, [2.0, 2.0]), (2, [5.0, 1.0, 1.0, 5.0])], columns(lambda: dict(bits=hashes.mean_bits(F.col("v")))), "k int, bits bigint", [(0, 1), (1, 0), (2, 9)])
 literal(
     "signature_votes", "k int, a array<bigint>, b array<bigint>", [(0, [0, 0, 0], [1, 3, 7]), (1, [0, None], [0, 5]), (2, [0, 0], [-1, -1]), (3, [], [])],
     lambda df: df.select("k", selection.compare_signatures(F.col("a"), F.col("b")).alias("c")).select("k", "c.*"), "k int, median double, votes int, compared int", [(0, 2.0, 3, 3), (1, 0.0, 1, 1), (2, None, None, None), (3, None, None, None)],
 )
 literal(
     "duplicate_verdicts", "k int, median double, gap double, same boolean, name double", [(0, 5.0, 0.1, False, 0.0), (1, 12.0, 0.1, True, 1.0), (2, 5.0, 0.2, True, 1.0), (3, None, 0.06, True, 1.0), (4, None, 0.01, True, 0.0), (5, None, 0.01, False, 0.95), (6, None, 0.01, False, 0.5)],
-    columns(verdict=selection.verdict(F.when(F.col("median").isNotNull(), F.struct("median")), F.col("gap"), F.col("same"), F.col("name"))), "k int, verdict string",
+    columns(lambda: dict(verdict=selection.verdict(F.when(F.col("median").isNotNull(), F.struct("median")), F.col("gap"), F.col("same"), F.col("name")))), "k int, verdict string",
     [(0, "identical"), (1, "similar"), (2, "similar"), (3, None), (4, "identical"), (5, "similar"), (6, None)],
 )
 
@@ -180,13 +182,13 @@ over("history_keys", "string", _LINKS, "string", urls.history_key, ["https___www
 over("safe_names", "string", ["a/b:c.txt", "CON", "  x. ", "", None, "con.txt", "fine"], "string", urls.safe_name, ["a_b_c.txt", "_CON", "x", "file", "file", "_con.txt", "fine"])
 over("plain_file_names", "string", [" a/b ", None, "x\ty"], "string", urls.plain_file_name, ["a_b", "", "x_y"])
 over("names_from_urls", "string", ["https://a/b/c.png?x", "https://a/b/c", "https://a/"], "string", urls.name_from_url, ["c.png", "c.jpg", "file.jpg"])
-literal("renamed_by_type", "k int, name string, type string", [(0, "a.jpg", "image/png"), (1, "a", "video/mp4"), (2, "a.x", "text/html")], columns(new=urls.with_extension(F.col("name"), mime.extension_of(F.col("type")))), "k int, new string", [(0, "a.png"), (1, "a.mp4"), (2, "a.x")])
+literal("renamed_by_type", "k int, name string, type string", [(0, "a.jpg", "image/png"), (1, "a", "video/mp4"), (2, "a.x", "text/html")], columns(lambda: dict(new=urls.with_extension(F.col("name"), mime.extension_of(F.col("type"))))), "k int, new string", [(0, "a.png"), (1, "a.mp4"), (2, "a.x")])
 over("public_origins", "string", ["https://Ex.org/", "http://ex.org", "https://u:p@ex.org", "https://ex.org:8443", "https://10.0.0.1/", "https://localhost", "https://ex.org/path", "https://nas.local/"], "string", urls.public_origin, ["https://ex.org", None, None, None, None, None, None, None])
 over("reading_paths", "string", ["/", "/r/x/comments/1", "/user/a", "/r/x.json", "/submit", "/hot/", "/message/inbox"], "boolean", urls.is_reading_path, [True, True, True, False, False, True, False])
 over("reading_urls", "string", ["https://old.reddit.com/r/x/?a=1#c", "https://redd.it/abc12", "https://www.reddit.com/gallery/zz9/", "https://reddit.com/r/x?token=1", "https://evil.com/r/x", "https://www.reddit.com/submit", "https://reddit.com"], "string", urls.reading_url, ["/r/x?a=1#c", "/comments/abc12", "/comments/zz9", None, None, None, "/"])
 over("trimmed_paths", "string", ["/a/b///", "/", "", None, "/x"], "string", urls.trimmed_path, ["/a/b", "/", "/", "/", "/x"])
-literal("playlist_locations", "k int, loc string, folder string", [(0, "http://x/y", "/m"), (1, "sub\\a.mp4", "D:\\lists\\"), (2, "../b.mp4", "/m/lists"), (3, "/abs/./c.mp4", "/m"), (4, "C:/d.mp4", "/m")], columns(at=urls.location_of(F.col("loc"), F.regexp_replace("folder", r"\\", "/"))), "k int, at string", [(0, "http://x/y"), (1, "D:/lists/sub/a.mp4"), (2, "/m/b.mp4"), (3, "/abs/c.mp4"), (4, "C:/d.mp4")])
-literal("group_keys", "k int, parent string, tab int, frame int, el string, url string", [(0, "p1", 1, 0, "e", "u"), (1, None, 1, 0, "e", "u"), (2, None, 1, 0, None, "u")], columns(key=urls.group_key(F.col("parent"), F.col("tab"), F.col("frame"), F.col("el"), F.col("url"))), "k int, key string", [(0, "parent:p1"), (1, "el:1:0:e"), (2, "url:u")])
+literal("playlist_locations", "k int, loc string, folder string", [(0, "http://x/y", "/m"), (1, "sub\\a.mp4", "D:\\lists\\"), (2, "../b.mp4", "/m/lists"), (3, "/abs/./c.mp4", "/m"), (4, "C:/d.mp4", "/m")], columns(lambda: dict(at=urls.location_of(F.col("loc"), F.regexp_replace("folder", r"\\", "/")))), "k int, at string", [(0, "http://x/y"), (1, "D:/lists/sub/a.mp4"), (2, "/m/b.mp4"), (3, "/abs/c.mp4"), (4, "C:/d.mp4")])
+literal("group_keys", "k int, parent string, tab int, frame int, el string, url string", [(0, "p1", 1, 0, "e", "u"), (1, None, 1, 0, "e", "u"), (2, None, 1, 0, None, "u")], columns(lambda: dict(key=urls.group_key(F.col("parent"), F.col("tab"), F.col("frame"), F.col("el"), F.col("url")))), "k int, key string", [(0, "parent:p1"), (1, "el:1:0:e"), (2, "url:u")])
 over("text_hashes", "string", ["a", "ab", "hello world", ""], "string", urls.text_hash, ["2p", "2e9", "to5x38", "0"])
 
 # Playlists, HLS, probes -----------------------------------------------------------------------------------------------------------
@@ -205,10 +207,10 @@ literal("hls_segments", "file string, line int, text string", _media, playlists.
 literal("hls_durations", "file string, line int, text string", _media, lambda df: playlists.hls_segments(df).groupBy("file").agg(F.sum("duration").alias("seconds"), F.count(F.lit(1)).alias("segments")), "file string, seconds double, segments bigint", [("v", 15.5, 3)])
 over("hls_attributes", "string", ['A=1,B="x,y",C-D=z', ""], "string", lambda v: F.concat_ws(";", F.transform(F.array_sort(F.map_entries(playlists.attributes(v))), lambda e: F.concat(e["key"], F.lit(":"), e["value"]))), ["A:1;B:x,y;C-D:z", ""])
 over("hls_protection", "string", ['METHOD=SAMPLE-AES,KEYFORMAT="com.apple.streamingkeydelivery"', "METHOD=AES-128", "METHOD=SAMPLE-AES-CTR", 'KEYFORMAT="URN:UUID:EDEF8BA9-79D6-4ACE-A3C8-27DCD51D21ED"'], "string", lambda v: hls.protection(playlists.attributes(v)), ["FairPlay", None, "SAMPLE-AES", "Widevine"])
-literal("hls_vectors", "k int, iv string, seq bigint", [(0, "0x000102030405060708090A0B0C0D0E0F", 1), (1, None, 258), (2, None, 0)], columns(hex=hls.initial_vector(F.col("iv"), F.col("seq"))), "k int, hex string", [(0, "000102030405060708090a0b0c0d0e0f"), (1, "00000000000000000000000000000102"), (2, "0" * 32)])
-literal("hls_tracks", "k int, codecs string", [(0, "avc1.64001f,mp4a.40.2"), (1, "mp4a.40.2"), (2, "hvc1.1"), (3, None), (4, "stpp")], columns(video=hls.has_video(F.col("codecs")), audio=hls.has_audio(F.col("codecs"))), "k int, video boolean, audio boolean", [(0, True, True), (1, False, True), (2, True, False), (3, True, True), (4, False, False)])
+literal("hls_vectors", "k int, iv string, seq bigint", [(0, "0x000102030405060708090A0B0C0D0E0F", 1), (1, None, 258), (2, None, 0)], columns(lambda: dict(hex=hls.initial_vector(F.col("iv"), F.col("seq")))), "k int, hex string", [(0, "000102030405060708090a0b0c0d0e0f"), (1, "00000000000000000000000000000102"), (2, "0" * 32)])
+literal("hls_tracks", "k int, codecs string", [(0, "avc1.64001f,mp4a.40.2"), (1, "mp4a.40.2"), (2, "hvc1.1"), (3, None), (4, "stpp")], columns(lambda: dict(video=hls.has_video(F.col("codecs")), audio=hls.has_audio(F.col("codecs")))), "k int, video boolean, audio boolean", [(0, True, True), (1, False, True), (2, True, False), (3, True, True), (4, False, False)])
 over("hls_ranges", "string", ["100@50", "1@0", "x", None], "string", hls.range_header, ["bytes=50-149", "bytes=0-0", None, None])
-literal("hls_sizes", "k int, bps bigint, secs double", [(0, 800000, 10.0), (1, 0, 10.0), (2, 1000, None)], columns(size=hls.estimated_bytes(F.col("bps"), F.col("secs"))), "k int, size bigint", [(0, 1000000), (1, None), (2, None)])
+literal("hls_sizes", "k int, bps bigint, secs double", [(0, 800000, 10.0), (1, 0, 10.0), (2, 1000, None)], columns(lambda: dict(size=hls.estimated_bytes(F.col("bps"), F.col("secs")))), "k int, size bigint", [(0, 1000000), (1, None), (2, None)])
 literal(
     "audio_renditions", "k int, grp string, url string, is_default boolean, ord int", [(0, "a", "x", False, 0), (1, "a", "y", True, 1), (2, "b", None, True, 0), (3, "c", "z", False, 0), (4, "c", "w", False, 1)],
     lambda df: df.where("url is not null").groupBy("grp").agg(F.min_by("url", F.struct(~F.col("is_default"), F.col("ord"))).alias("url")), "grp string, url string", [("a", "y"), ("c", "z")],
@@ -381,3 +383,33 @@ def history_misses(spark: SparkSession, sf: str) -> DataFrame:
     return fresh.join(load(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", "o_orderkey", "o_totalprice")
 
 
+
+
+# Reports and pixels -------------------------------------------------------------------------------------------------------------------
+
+_PAIRS = [("x", "y", "duplicate", "byte", "byte_exact", 1.0, 0, 0.5, 0.25, float("inf"), "identity"), ("x", "z", "different", "none", "none", 0.33333, 3, None, 0.0, 1.25, "none")]
+_PAIR_DDL = "a string, b string, label string, match_kind string, verification string, phash_similarity double, inliers int, coverage_a double, coverage_b double, residual_median_px double, model string"
+literal("report_csv", _PAIR_DDL, _PAIRS, reports.pair_lines, "a string, b string, label string, phash_similarity string, inliers string, coverage_a string, coverage_b string, residual_median_px string", [("x", "y", "duplicate", "1.0000", "0", "0.5000", "0.2500", ""), ("x", "z", "different", "0.3333", "3", "", "0.0000", "1.2500")])
+literal("report_json", _PAIR_DDL, _PAIRS, lambda df: reports.pair_documents(df).select(F.get_json_object("value", "$.b").alias("b"), F.get_json_object("value", "$.metrics.residual_median_px").alias("residual"), F.get_json_object("value", "$.metrics.model").alias("model")), "b string, residual string, model string", [("y", None, "identity"), ("z", "1.25", "none")])
+literal("report_stats", _PAIR_DDL, _PAIRS, lambda df: reports.report_stats(df, 1), "pairs_compared bigint, clusters bigint, duplicates bigint, variants bigint, different_sampled bigint", [(2, 1, 1, 0, 1)])
+
+
+@query()
+def pixel_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 64 numbers of each embedding as an image of 8 x 8."""
+    image = load(spark, sf, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 64), lambda x: x.cast("double")).alias("p"), F.lit(8).alias("w"))
+    return image.select("vec_id", pixels.phash64("p", "w").alias("phash"), pixels.dhash_hex("p", "w").alias("dhash"), pixels.content_signature("p", "w").alias("signature"), F.array_min(pixels.transform_hashes("p", "w")).alias("least_turned"))
+
+
+@query("""WITH f AS (SELECT ts, event_id, user_id, event_type FROM events WHERE event_type <> 'error'), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM f) SELECT event_id, user_id, event_type FROM r WHERE n = 1""")
+def once_per_key(spark: SparkSession, sf: str) -> DataFrame:
+    e = load(spark, sf, "events").where("event_type <> 'error'")
+    first = e.groupBy("user_id", "event_type").agg(F.min(F.struct("ts", "event_id")).alias("f"))
+    return first.select("f.event_id", "user_id", "event_type")
+
+
+@query("""WITH d AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), o AS (SELECT source, count(*) AS n FROM documents WHERE n_chars > 100 GROUP BY 1) SELECT d.source FROM d LEFT JOIN o USING (source) WHERE d.n IS DISTINCT FROM o.n""")
+def changed_roots(spark: SparkSession, sf: str) -> DataFrame:
+    docs = load(spark, sf, "documents")
+    digest = lambda df: inventory.snapshot_digest(df, ["source"], "doc_id").select("source", "digest")
+    return events.changed_keys(digest(docs), digest(docs.where("n_chars > 100")), "source")

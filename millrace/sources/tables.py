@@ -24,7 +24,7 @@ def list_files(spark: SparkSession, folder: str, extensions: list[str] | None =
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     root = folder.rstrip("/").split("://")[-1].removeprefix("file:")
-    inner = F.expr(f"substring(path, instr(path, '{root}') + {len(root) + 1})")
+    inner = F.substring(F.col("path"), F.instr("path", root) + len(root) + 1, F.lit(1 << 30))
     parts = F.split(inner, "/")
     files = files.withColumn("extension", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))).withColumn("depth", F.size(parts) - 1)
     if extensions:

@@ -65,15 +65,15 @@ def flags(events: DataFrame, key: str, kind: str, notify_every: int = 25) -> Dat
     return events.groupBy(key).applyInPandasWithState(step, out, "count long, seen string", "update", "NoTimeout")
 
 
-def on_change(digests: DataFrame, stored: DataFrame, key: str, refresh: Callable[[list], None]) -> list:
-    """Refresh the keys whose digest differs from the stored one or is new; returns them. Meant for ``foreachBatch``: the
-    keys are the roots that a service watches, few by nature."""
+def changed_keys(digests: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """Keys whose digest is new or differs from the stored one."""
     old = stored.select(F.col(key).alias("_k"), F.col("digest").alias("_d"))
-    changed = digests.join(old, F.col(key) == F.col("_k"), "left").where(~F.col("digest").eqNullSafe(F.col("_d")))
-    keys = sorted(r[0] for r in changed.select(key).collect())
-    if keys:
-        refresh(keys)
-    return keys
+    return digests.join(old, F.col(key) == F.col("_k"), "left").where(~F.col("digest").eqNullSafe(F.col("_d"))).select(key)
+
+
+def on_change(digests: DataFrame, stored: DataFrame, key: str, refresh: Callable[[DataFrame], None]) -> None:
+    """Hand the table of changed keys to ``refresh``, once a batch: meant for ``foreachBatch``. The keys stay distributed."""
+    refresh(changed_keys(digests, stored, key))
 
 
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:

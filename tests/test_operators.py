@@ -85,4 +85,6 @@ def test_streams(spark, tmp_path):
     assert streams.run_once(unique, "uniq", str(tmp_path / "c2")).count() == 2
     state = streams.flags(streams.read_events(spark, src, df.schema), "user", "kind")
     assert {(r["key"], r["segments"], r["notify"]) for r in streams.run_once(state, "flags", str(tmp_path / "c3"), "update").collect()} == {(1, 5, True), (2, 1, True)}
-    assert streams.on_change(spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "k string, digest string"), spark.createDataFrame([("a", "1"), ("b", "9")], "k string, digest string"), "k", lambda keys: None) == ["b", "c"]
+    seen = []
+    streams.on_change(spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "k string, digest string"), spark.createDataFrame([("a", "1"), ("b", "9")], "k string, digest string"), "k", lambda keys: seen.extend(r["k"] for r in keys.collect()))
+    assert sorted(seen) == ["b", "c"]
