@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from millrace.plans.materialize import materialize, release
 
-#: The z value beyond which shares differ, and the labels that a node needs to be split (with fewer no split is significant).
-Z, LEAST = 1.96, 4
+#: The z value beyond which shares differ (1 %), and the labels that a node needs to be split (with fewer no split can be
+#: significant).
+Z, LEAST = 2.58, 7
 #: The names of the branch of children that do not stand apart, and of what lies below a branch that is not
 #: walked on.
 OTHER, BELOW = "*", "**"
@@ -67,10 +68,11 @@ def shapes(path: Column) -> Column:
 
 
 def _differ(bad: Column, n: Column, other_bad: Column, other_n: Column) -> Column:
-    """Whether two shares of bad labels differ significantly; false where a side has no labels."""
-    p = F.try_divide(bad + other_bad, n + other_n)
-    gap = F.abs(F.try_divide(bad, n) - F.try_divide(other_bad, other_n))
-    return F.coalesce(gap > Z * F.sqrt(p * (1 - p) * (F.try_divide(F.lit(1.0), n) + F.try_divide(F.lit(1.0), other_n))), F.lit(False))
+    """Whether two shares of bad labels differ significantly; false where a side has no labels. Each side gets a good and
+    a bad label more, so that a handful of labels says little."""
+    p, q = (bad + 1.0) / (n + 2), (other_bad + 1.0) / (other_n + 2)
+    error = F.sqrt(p * (1 - p) / (n + 2) + q * (1 - q) / (other_n + 2))
+    return (n > 0) & (other_n > 0) & (F.abs(p - q) > Z * error)
 
 
 def _merged(apart: DataFrame, node: list[str]) -> DataFrame:
