@@ -55,8 +55,10 @@ def qualified(spark: SparkSession, path: str) -> str:
 def _open(uri: str, write: bool):
     """A stream of a file in a store that Arrow knows under the scheme or under the one that Hadoop's stands for."""
     scheme, _, rest = uri.partition(":")
-    scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
-    store, name = fs.FileSystem.from_uri(f"{scheme}:///{rest.lstrip('/')}" if scheme == "file" else f"{scheme}:{rest}")
+    if scheme == "file":
+        store, name = fs.LocalFileSystem(), f"/{rest.lstrip('/')}"
+    else:
+        store, name = fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + quote(rest, safe="/:@?&=%"))
     if write:
         store.create_dir(name.rpartition("/")[0], recursive=True)
         return store.open_output_stream(name, compression=None)
