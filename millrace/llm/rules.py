@@ -2,8 +2,10 @@
 
 Statistics of every whole text are computed in the JVM. A list of rules is learnt from the statistics of labelled rows by
 sequential covering: a rule is a conjunction of thresholds that is grown by information gain on one part of the rows and
-pruned on another, the rows that it covers are set aside, and the next rule is learnt on the rest. Each step is one
-aggregation of (statistic, bin, label) counts, of bounded size. The list comes out as one ordered Spark conditional.
+pruned on another. A threshold, grown at the edge of a bin, then moves out to the middle between the bad rows that it
+covers and the nearest good row. What a rule covers is set aside and the next one is learnt on the rest; a rule that fails
+where it is pruned bars the threshold that it began with, and covering ends when none is left. Each step is one aggregation
+of (statistic, bin, label) counts, of bounded size. The list comes out as one ordered Spark conditional.
 """
 
 from __future__ import annotations
@@ -14,11 +16,11 @@ from math import inf, log2, nextafter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.plans.materialize import materialize
+from millrace.plans.materialize import materialize, release
 
-#: Labelled rows that are learnt from at most; bins of a statistic; rules and conditions of a rule at most; the share of
-#: bad rows and the number of rows that a rule needs where it is pruned.
-SAMPLE, BINS, RULES, CONDITIONS, PURITY, SUPPORT = 50_000, 24, 8, 3, 0.8, 5
+#: Labelled rows that are learnt from at most; bins of a statistic; conditions of a rule at most; the share of bad rows and
+#: the number of rows that a rule needs where it is pruned.
+SAMPLE, BINS, CONDITIONS, PURITY, SUPPORT = 50_000, 24, 3, 0.8, 5
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -99,10 +101,11 @@ class Rule:
 
     conditions: list[tuple[str, bool, float]] = field(default_factory=list)
 
-    def column(self) -> Column:
+    def column(self, of=None) -> Column:
+        """The condition over the statistics, or over columns that ``of`` gives for features."""
         out = F.lit(True)
         for name, up, cut in self.conditions:
-            value = FEATURES[name]()
+            value = of(name) if of else FEATURES[name]()
             out = out & (value >= F.lit(cut) if up else value < F.lit(cut))
         return out
 
@@ -133,24 +136,25 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     cuts_of = rows.agg(*(F.percentile_approx(f, [k / BINS for k in range(1, BINS)], 10_000).alias(f) for f in FEATURES)).first()
     # a value that fills several bins is a candidate from below and from above
     cuts = {f: sorted({c for c in got} | {nextafter(c, inf) for c in got if got.count(c) > 1}) for f in FEATURES for got in [cuts_of[f] or []]}
-    bins = [sum(((F.col(f) >= c).cast("int") for c in cuts[f]), F.lit(0)).alias(f) for f in FEATURES]
-    binned = materialize(rows.select("bad", (F.pmod(F.xxhash64("k"), F.lit(3)) == 0).alias("prune"), *bins), "binned-statistics")
+    bins = [sum(((F.col(f) >= c).cast("int") for c in cuts[f]), F.lit(0)).alias(f"b_{f}") for f in FEATURES]
+    binned = materialize(rows.select("bad", (F.pmod(F.xxhash64("k"), F.lit(3)) == 0).alias("prune"), *FEATURES, *bins), "binned-statistics")
+    release(rows)
+    bad = F.col("bad").cast("int")
 
     def covers(conditions) -> Column:
+        """Of (feature, up, bin)."""
         out = F.lit(True)
         for f, up, b in conditions:
-            out = out & (F.col(f) >= b if up else F.col(f) < b)
+            out = out & (F.col(f"b_{f}") >= b if up else F.col(f"b_{f}") < b)
         return out
 
     def counts(where: Column) -> dict:
         """Bad and good rows by feature and bin."""
-        stack = ", ".join(f"'{f}', `{f}`" for f in FEATURES)
-        got = binned.where(where & ~F.col("prune")).select(F.col("bad").cast("int").alias("y"), F.expr(f"stack({len(FEATURES)}, {stack}) as (f, b)")).groupBy("f", "b").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n")).collect()
+        stack = ", ".join(f"'{f}', `b_{f}`" for f in FEATURES)
+        got = binned.where(where & ~F.col("prune")).select(bad.alias("y"), F.expr(f"stack({len(FEATURES)}, {stack}) as (f, b)")).groupBy("f", "b").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n")).collect()
         return {(r["f"], r["b"]): (r["p"], r["n"]) for r in got}
 
-    found: list[Rule] = []
-    left = F.lit(True)
-    while len(found) < RULES:
+    def grow(left: Column, barred: set) -> list[tuple[str, bool, int]]:
         grown: list[tuple[str, bool, int]] = []
         while len(grown) < CONDITIONS:
             have = counts(left & covers(grown))
@@ -163,23 +167,44 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> list[Rule]:
                 for b in range(1, len(cuts[f]) + 1):
                     above = [sum(v[k] for (g, c), v in have.items() if g == f and c >= b) for k in (0, 1)]
                     for up, (p, n) in ((True, above), (False, [total[k] - above[k] for k in (0, 1)])):
-                        if p >= SUPPORT and (g := _gain(p, n, *total)) > best[0]:
+                        if p >= SUPPORT and (grown or (f, up) not in barred) and (g := _gain(p, n, *total)) > best[0]:
                             best = (g, (f, up, b))
             if best[1] is None:
                 break
             grown.append(best[1])
-        if not grown:
-            break
-        tests = [F.sum((covers(grown[: k + 1]) & (F.col("bad").cast("int") == y)).cast("int")).alias(f"c{k}{y}") for k in range(len(grown)) for y in (1, 0)]
+        return grown
+
+    def settled(left: Column, grown) -> Rule:
+        """The rule with each threshold moved out, one after the other, to the middle of the gap behind which good rows are."""
+        found = [(f, up, cuts[f][b - 1]) for f, up, b in grown]
+        for k, (f, up, cut) in enumerate(found):
+            others = Rule(found[:k] + found[k + 1 :]).column(of=F.col)
+            v = F.col(f)
+            outside = (v < cut) if up else (v >= cut)
+            good = binned.where(left & others & outside & (bad == 0)).agg((F.max(v) if up else F.min(v)).alias("g")).first()["g"]
+            beyond = F.lit(True) if good is None else (v > good if up else v < good)
+            edge = binned.where(left & others & beyond & (bad == 1)).agg((F.min(v) if up else F.max(v)).alias("e")).first()["e"]
+            if good is not None and edge is not None and (edge < cut if up else edge >= cut):
+                found[k] = (f, up, (good + edge) / 2)
+            elif good is None and edge is not None and (edge < cut if up else edge >= cut):
+                found[k] = (f, up, edge if up else nextafter(edge, inf))
+        return Rule(found)
+
+    found: list[Rule] = []
+    left, barred = F.lit(True), set()
+    while grown := grow(left, barred):
+        tests = [F.sum((covers(grown[: k + 1]) & (bad == y)).cast("int")).alias(f"c{k}{y}") for k in range(len(grown)) for y in (1, 0)]
         got = binned.where(left & F.col("prune")).agg(*tests).first()
         worth = [((got[f"c{k}1"] or 0) - (got[f"c{k}0"] or 0)) / max(1, (got[f"c{k}1"] or 0) + (got[f"c{k}0"] or 0)) for k in range(len(grown))]
         keep = max(range(len(grown)), key=lambda k: (worth[k], -k))
         p, n = got[f"c{keep}1"] or 0, got[f"c{keep}0"] or 0
         if p + n < SUPPORT or p < PURITY * (p + n):
-            break
-        grown = grown[: keep + 1]
-        left = left & ~covers(grown)
-        found.append(Rule([(f, up, cuts[f][b - 1]) for f, up, b in grown]))
+            barred.add(grown[0][:2])
+            continue
+        rule = settled(left, grown[: keep + 1])
+        left = left & ~rule.column(of=F.col)
+        found.append(rule)
+        barred = set()
     return found
 
 
