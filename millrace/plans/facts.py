@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import entries, hashes, hls, markup, media, mime, names, pixels, urls
+from millrace.functions import entries, hashes, hls, library, markup, media, mime, names, pixels, urls
 from millrace.operators import duplicates, instances, inventory, reports, selection, sets, tree
 from millrace.plans.catalogue import ORACLE_SQL, QUERIES, query
 from millrace.sources import playlists, probes
@@ -413,3 +413,62 @@ def changed_roots(spark: SparkSession, sf: str) -> DataFrame:
     docs = load(spark, sf, "documents")
     digest = lambda df: inventory.snapshot_digest(df, ["source"], "doc_id").select("source", "digest")
     return events.changed_keys(digest(docs), digest(docs.where("n_chars > 100")), "source")
+
+
+# Library ------------------------------------------------------------------------------------------------------------------------------
+
+_ITEMS = [(1, "image", "done", 800, 600, 10, 3, "b"), (2, "video", "queued", None, None, None, 2, "A"), (3, "image", "queued", 20, 30, 99, 1, None), (4, "audio", None, 0, 0, 50, 4, "c")]
+_ITEM_DDL = "id int, kind string, state string, width int, height int, size int, added int, label string"
+literal(
+    "library_filter", _ITEM_DDL, _ITEMS, columns(lambda: {"shown": library.passes_filter(F.col("kind"), F.col("state"), F.col("width"), F.col("height"), "image"), "large": library.passes_filter(F.col("kind"), F.col("state"), F.col("width"), F.col("height"), "all", True, 100)}), "id int, shown boolean, large boolean",
+    [(1, True, False), (2, False, True), (3, True, False), (4, False, True)],
+)
+for _mode, _first in (("bytes", [3, 4]), ("added", [4, 1]), ("name", [3, 2]), ("area", [1, 3])):
+    literal(
+        f"library_by_{_mode}", _ITEM_DDL, _ITEMS, lambda df, m=_mode: df.orderBy(*library.library_order(m, F.col("width"), F.col("height"), F.col("size"), F.col("added"), F.col("added"), F.col("label")), "id").limit(2), "id int", [(k,) for k in _first],
+    )
+over("escalations", "string", ["http-403", "http-404", "empty", None, "drm"], "boolean", library.escalates, [True, False, True, False, False])
+literal("file_locations", "k int, a boolean, b boolean", [(0, True, True), (1, True, False), (2, False, True), (3, False, False)], columns(lambda: {"location": library.location(F.col("a"), F.col("b"))}), "k int, location string", [(0, "ambiguous_both"), (1, "original"), (2, "quarantine"), (3, "missing_or_changed")])
+over("id_lists", "array<int>", [[1, 2], [1, 1], [], None], "boolean", library.ids_are_sound, [True, False, False, False])
+literal("recent_times", "k int, ts int", [(0, 95), (1, 90), (2, 0), (3, None)], columns(lambda: {"recent": library.is_recent(F.col("ts"), F.lit(100), 10)}), "k int, recent boolean", [(0, True), (1, False), (2, False), (3, False)])
+over("monitor_ids", "string", ["MONITOR\\ABC123\\{x}", "plain-device-name-long", "short"], "string", library.monitor_id, ["ABC123", "plain-device", "short"])
+literal("invocations", "k int, dir string, paths array<string>", [(0, "in", ["b", "A"]), (1, "in", ["a", "B"]), (2, "out", ["a", "b"])], lambda df: df.groupBy(library.invocation_signature(F.col("dir"), F.col("paths"))).agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("n")), "first int, n bigint", [(0, 2), (2, 1)])
+literal("elements_same", "k int, ai string, bi string, ad string, bd string, at string, bt string", [(0, "x", "x", None, None, "p", "q"), (1, "x", "y", "d", "d", "p", "p"), (2, None, "y", "d", "d", "p", "q"), (3, None, None, None, None, "abcdefghijklmnopqrstuv", "abcdefghijklmnopqrstXX"), (4, None, None, None, None, None, "x")], columns(lambda: {"same": library.same_element(F.col("ai"), F.col("bi"), F.col("ad"), F.col("bd"), F.col("at"), F.col("bt"))}), "k int, same boolean", [(0, True), (1, False), (2, True), (3, True), (4, False)])
+literal("content_orientation", "k int, h int, v int, n int", [(0, 5, 1, 6), (1, 3, 3, 6), (2, 1, 5, 6), (3, 3, 2, 6), (4, 0, 0, 0)], columns(lambda: {"side": library.orientation_by_content(F.col("h"), F.col("v"), F.col("n"))}), "k int, side string", [(0, "horizontal"), (1, None), (2, "vertical"), (3, None), (4, None)])
+literal("video_requests", "k int, url string, type string", [(0, "https://a/v.mp4", None), (1, "https://a/v", "video/webm"), (2, "https://a/l.m3u8", None), (3, "https://a/i.png", "image/png"), (4, None, None)], columns(lambda: {"video": library.is_video_request(F.col("url"), F.col("type"))}), "k int, video boolean", [(0, True), (1, True), (2, True), (3, False), (4, False)])
+literal("entries_sorted", "name string, is_folder boolean", [("b.txt", False), ("A", True), ("c", True), ("a.txt", False)], lambda df: df.orderBy(~F.col("is_folder"), F.lower("name")).limit(3), "name string, is_folder boolean", [("A", True), ("c", True), ("a.txt", False)])
+literal("best_sources", "tab int, url string, source string, area int, ord int", [(1, "a", "visible", 10, 0), (1, "b", "gallery", 5, 1), (1, "c", "background", 99, 2), (2, "d", "visible", 10, 0), (2, "e", "visible", 30, 1), (2, "f", "visible", 30, 2)], lambda df: df.groupBy("tab").agg(F.max_by("url", F.struct(F.when(F.col("source") == "gallery", 150).when(F.col("source") == "visible", 100).otherwise(50), "area", -F.col("ord"))).alias("url")), "tab int, url string", [(1, "b"), (2, "e")])
+literal("summaries_of_clusters", "a int, b int, kind string", [(1, 2, "duplicate"), (2, 3, "variant"), (7, 8, "variant")], lambda df: sets.cluster_summary(df, duplicates.components(df), "kind"), "component int, members bigint, n_duplicate bigint, n_variant bigint, kinds string", [(1, 3, 1, 1, "duplicate,variant"), (7, 2, 0, 1, "variant")])
+literal("links_of_members", "a int, b int", [(1, 2), (2, 3), (3, 4)], lambda df: sets.membership(duplicates.components(df), df, duplicates.representatives(df, duplicates.components(df))), "component int, node int, link string", [(1, 1, "direct"), (1, 2, "representative"), (1, 3, "direct"), (1, 4, "indirect")])
+literal("capped_children", "parent string, name string", [("p", n) for n in ["src", ".git", "zz", "yy", "aa", "bb", "cc", "docs"]], lambda df: tree.capped_folders(df, "parent", "name", 5), "parent string, name string", [("p", n) for n in ["src", ".git", "docs", "aa", "zz"]])
+
+
+@query("""WITH h AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_type = 'purchase'), k AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'signup')
+SELECT DISTINCT e.user_id, CASE WHEN h.user_id IS NOT NULL THEN 'url' WHEN k.user_id IS NOT NULL THEN 'content' END AS reason FROM events e LEFT JOIN h USING (user_id) LEFT JOIN k ON e.user_id = k.user_id""")
+def history_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    e = load(spark, sf, "events").select("user_id", "event_type")
+    return e.groupBy("user_id").agg(F.when(F.max((F.col("event_type") == "purchase").cast("int")) == 1, "url").when(F.max((F.col("event_type") == "signup").cast("int")) == 1, "content").alias("reason"))
+
+
+@query("""SELECT lang, source, count(*) FILTER (n_chars < 1000) AS omitted, count(*) AS n FROM documents GROUP BY 1, 2""")
+def omitted_by_category(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "documents").groupBy("lang", "source").agg(F.count_if(F.col("n_chars") < 1000).alias("omitted"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT l_orderkey, count(*) AS files, count(DISTINCT l_suppkey) AS folders, count(*) FILTER (l_linenumber > 1) AS moved FROM lineitem GROUP BY 1""")
+def move_plan_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("files"), F.count_distinct("l_suppkey").alias("folders"), F.count_if(F.col("l_linenumber") > 1).alias("moved"))
+
+
+@query("""SELECT sha256(array_to_string(list_sort(list(coalesce(name, '') || '|' || n)), chr(10))) AS signature FROM (SELECT source AS name, count(*) AS n FROM documents GROUP BY 1)""")
+def source_signature(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the few sources of a table."""
+    n = load(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return n.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", F.coalesce("source", F.lit("")), F.col("n").cast("string")))), "\n"), 256).alias("signature"))
+
+
+@query("""WITH c AS (SELECT user_id, event_id, ts, CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END AS tier FROM events WHERE event_type IN ('purchase', 'click')) SELECT user_id, arg_min(event_id, (tier, -epoch_us(ts), event_id)) AS event_id FROM c GROUP BY 1""")
+def tiered_union(spark: SparkSession, sf: str) -> DataFrame:
+    e = load(spark, sf, "events").where("event_type IN ('purchase', 'click')")
+    rank = F.struct(F.when(F.col("event_type") == "purchase", 0).otherwise(1), -F.unix_micros(F.col("ts").cast("timestamp")), "event_id")
+    return e.groupBy("user_id").agg(F.min_by("event_id", rank).alias("event_id"))
