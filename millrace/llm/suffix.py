@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.suffixsort import repeated_prefixes, suffix_ranks
 from millrace.llm.text import give_back, small_batches
-from millrace.plans.materialize import materialize, release
+from millrace.plans.materialize import drop_path, materialize, release
 
 LENGTH, GRAM = 200, 64
 #: Texts that go into a batch of contexts; window starts that are scanned at a time; bits of the bitmap (a broadcast of an
@@ -265,15 +265,20 @@ def _write_contexts(length: int, gram: int, bitmap, text_at: int):
 
 
 def _bucket_windows(length: int):
-    """Of contexts (h, c1, c2, n, context) the runs lo..hi of windows that are repeated."""
-
-    def run(table: pa.Table) -> pa.Table:
-        many = table.column("n").to_numpy() > 1
-        hits = repeated_windows(table.column("context").to_pylist(), length)
-        runs = [_ranges(flags | several) for flags, several in zip(hits, many, strict=True)]
-        which = pa.array(np.repeat(np.arange(len(runs)), [len(s) for s, _ in runs]))
-        lo, hi = (pa.array(np.concatenate([r[k] for r in runs]).astype(np.int64)) for k in (0, 1))
-        return pa.table({c: table.column(c).take(which) for c in ("h", "c1", "c2")} | {"lo": lo, "hi": hi})
+    """Of live contexts (h, c1, c2, n) and their bytes (h, c1, c2, context; any number of copies, dead ones too) the runs
+    lo..hi of windows that are repeated."""
+
+    def run(live: pa.Table, contexts: pa.Table) -> pa.Table:
+        keys = lambda t: list(zip(*(t.column(c).to_pylist() for c in ("h", "c1", "c2")), strict=True))
+        many, text = dict(zip(keys(live), (live.column("n").to_numpy() > 1).tolist(), strict=True)), {}
+        for k, key in enumerate(keys(contexts)):
+            if key in many and key not in text:
+                text[key] = k
+        own = contexts.column("context").take(pa.array(list(text.values()), pa.int64()))
+        runs = [_ranges(flags | many[key]) for key, flags in zip(text, repeated_windows(own.to_pylist(), length) if text else [], strict=True)]
+        which = np.repeat(np.array(list(text.values()), np.int64), [len(s) for s, _ in runs])
+        lo, hi = (pa.array(np.concatenate([np.empty(0, np.int64), *(r[k] for r in runs)]).astype(np.int64)) for k in (0, 1))
+        return pa.table({c: contexts.column(c).take(pa.array(which)) for c in ("h", "c1", "c2")} | {"lo": lo, "hi": hi})
 
     return run
 
@@ -323,16 +328,20 @@ def repeat_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gram
     # counted before anything is joined: an anchor with many places is a row a context from here on
     distinct = materialize(places.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("windows").alias("windows")), "distinct")
     anchors = distinct.groupBy("h").agg(F.sum("n").alias("places"), F.count(F.lit(1)).alias("k")).where("places > 1").select("h", (F.col("k") > CROWD).alias("crowd"))
+    anchors = materialize(anchors, "anchors")
     live = materialize(distinct.join(anchors, "h"), "live")
-    contexts = both.where("kind = 2").select(*key, "context").join(live.select(*key, "n", "crowd"), key).dropDuplicates(key)
-    contexts = materialize(contexts, "live-contexts")
-    size = contexts.agg(F.coalesce(F.sum(F.when(~F.col("crowd"), F.octet_length("context"))), F.lit(0)).alias("b"), F.coalesce(F.max("crowd"), F.lit(False)).alias("crowd")).first()
-    dealt = contexts.where("not crowd").select(*key, "n", "context", F.pmod("h", F.lit(max(1, size["b"] // BUCKET))).alias("bucket"))
-    found = dealt.groupBy("bucket").applyInArrow(_bucket_windows(length), "h long, c1 long, c2 long, lo long, hi long")
+    size = live.agg(F.coalesce(F.sum(F.when(~F.col("crowd"), F.col("windows") + length - 1)), F.lit(0)).alias("b"), F.coalesce(F.max("crowd"), F.lit(False)).alias("crowd")).first()
+    contexts, bucket = both.where("kind = 2").select(*key, "context"), F.pmod("h", F.lit(max(1, size["b"] // BUCKET))).alias("bucket")
+    quiet, crowd = contexts, live.where("crowd")
+    if size["crowd"]:
+        quiet = contexts.join(crowd.select("h").distinct(), "h", "left_anti")
+    sides = live.where("not crowd").select(*key, "n", bucket).groupBy("bucket"), quiet.select(*key, "context", bucket).groupBy("bucket")
+    found = sides[0].cogroup(sides[1]).applyInArrow(_bucket_windows(length), "h long, c1 long, c2 long, lo long, hi long")
     if size["crowd"]:
-        found = found.unionByName(_crowd_windows(contexts.where("crowd").select(*key, "n", "context"), length))
+        found = found.unionByName(_crowd_windows(contexts.join(crowd.select(*key, "n"), key).dropDuplicates(key), length))
     marks = materialize(found.groupBy(*key).agg(F.collect_list(F.struct("lo", "hi")).alias("parts")), "marks")
-    release(distinct, live, contexts)
+    release(distinct, anchors, live)
+    drop_path(spark, f"{both._written_to}/kind=2")  # contexts are not read any more
     spans = places.select("rid", *key, "first").join(marks, key).select("rid", "first", F.explode("parts").alias("p"))
     spans = spans.select("rid", F.struct((F.col("first") + F.col("p.lo")).alias("s"), (F.col("first") + F.col("p.hi") + length).alias("e")).alias("x"))
     spans = spans.groupBy("rid").agg(F.sort_array(F.collect_list("x")).alias("spans"))
