@@ -35,6 +35,8 @@ FLAT, BLOCK = 96, 1 << 20
 #: The pipeline's stage: words of a shingle, the Jaccard similarity that links (a fraction), bands, minimum hashes a band.
 STAGE_WIDTH, TOP, BOTTOM, BANDS, ROWS = 5, 4, 5, 20, 5
 SIMILARITY = TOP / BOTTOM
+#: Sets of a band that are paired by a join at most; sets, and hashes in them, of a block of a larger band; columns at a time.
+FEW, MANY, WEIGHT, COLUMNS = 16, 512, 1 << 21, 8_192
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -329,12 +331,51 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "src").join(b, "dst").select("src", "dst", enough.alias("ok"))
 
 
+def shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each two of the sets have in common."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = count[column] > 1
+    _, column = np.unique(column[keep], return_inverse=True)
+    owner, out = owner[keep], np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        own = (column >= at) & (column < at + COLUMNS)
+        x = np.zeros((len(sets), COLUMNS), np.float32)
+        x[owner[own], column[own] - at] = 1
+        out += x @ x.T
+    return out
+
+
+def _linked(table: pa.Table) -> pa.Table:
+    """Edges of a forest that spans the similar pairs of the sets in two blocks of a band (one, where i is j)."""
+    ids, labels, block, i, j = (table.column(c).to_numpy() for c in ("id", "label", "block", "i", "j"))
+    sets = [np.asarray(h.values) for h in table.column("hashes")]
+    n = np.array([len(x) for x in sets])
+    # TOP / BOTTOM is the similarity: no rounding; pairs of one label are joined already
+    ok = (TOP + BOTTOM) * shared(sets) >= TOP * (n[:, None] + n[None, :])
+    ok &= labels[:, None] != labels[None, :]
+    if i[0] != j[0]:
+        ok &= block[:, None] != block[None, :]
+    forest = Forest(len(ids))
+    names = np.unique(labels, return_inverse=True)[1]
+    first = np.full(names.max() + 1, len(ids))
+    np.minimum.at(first, names, np.arange(len(ids)))
+    forest.label = first[names]
+    before = forest.label.copy()
+    a, b = np.nonzero(np.triu(ok))
+    forest.add(before[a], before[b])
+    moved = np.flatnonzero((forest.label[before] != before) & (before == np.arange(len(ids))))
+    return pa.table({"src": ids[moved], "dst": ids[forest.label[moved]]})
+
+
 def similar(rows: DataFrame, texts, width: int = STAGE_WIDTH) -> DataFrame:
     """(node, component) of the sets of ``rows`` (id, n, bands) that are linked by pairs which share a band and have a
     Jaccard similarity of SIMILARITY or more. ``texts`` gives (id, t) for a table of ids.
 
     Every set is compared with the least of each of its bands first, so a dense group does not yield its pairs. Sets of a
-    band that this leaves in different groups are then all compared with each other, so no link is lost by the order.
+    band that this leaves in different groups are then all compared with each other, so no link is lost by the order: those
+    of a small band by a join, those of a larger one inside tasks, block by block, which return no pairs but edges that join
+    groups.
     """
     at = rows.dropDuplicates(["id"]).select("id", "n", F.explode("bands").alias("band"))
     crowd = at.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "n")).alias("rep")).where("m > 1").select("band", "rep")
@@ -348,12 +389,18 @@ def similar(rows: DataFrame, texts, width: int = STAGE_WIDTH) -> DataFrame:
     groups = materialize(connected_components(linked), "groups")
     named = at.join(groups.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("label"))
     named = materialize(named, "labels")
-    mixed = named.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band")
-    some = materialize(named.join(mixed, "band"), "mixed-bands")
-    a, b = (some.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "label"))) for s in "ab")
+    mixed = named.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("weight")).where("x < y")
+    blocks = F.greatest(F.ceil(F.col("m") / MANY), F.ceil(F.col("weight") / WEIGHT)).cast("int")
+    some = materialize(named.join(mixed.select("band", "m", blocks.alias("blocks")), "band"), "mixed-bands")
+    a, b = (some.where(F.col("m") <= FEW).select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "label"))) for s in "ab")
     cross = a.join(b, "band").where((F.col("id_a") > F.col("id_b")) & (F.col("label_a") != F.col("label_b")) & fit(F.col("n_a"), F.col("n_b")))
     cross = cross.select(F.col("id_a").alias("src"), F.col("id_b").alias("dst")).distinct().join(first, ["src", "dst"], "left_anti")
-    more = materialize(_verified(cross, sets).where("ok").select("src", "dst"), "cross-links")
+    few = _verified(cross, sets).where("ok").select("src", "dst")
+    large = some.where(F.col("m") > FEW).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("bigint")).cast("int"))
+    dealt = large.select("band", "id", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    dealt = dealt.select("band", "id", "label", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j")).join(sets, "id")
+    many = dealt.groupBy("band", "i", "j").applyInArrow(_linked, "src long, dst long")
+    more = materialize(few.unionByName(many), "cross-links")
     release(at, stars, sets, named, some)
     if not more.limit(1).count():
         return groups

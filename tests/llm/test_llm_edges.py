@@ -69,6 +69,29 @@ def test_long_texts_of_search_and_suffixes(spark, long_text):
     assert {r["doc_id"] for r in decontaminate.contained_items(df, bench).collect()} == {1, 2}
 
 
+def test_near_copies_of_large_bands(spark, monkeypatch):
+    rng = random.Random(36)
+    base, rows = prose(rng, 150).split(), []
+    for k in range(70):  # copies of one text that differ in up to 14 places: some pairs are similar, others are not
+        copy = list(base)
+        for place in rng.sample(range(150), rng.randint(0, 14)):
+            copy[place] = f"new{k}x{place}"
+        rows.append(" ".join(copy))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in rows)]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    assert 1 < len(set(group)) < 60
+    for few, many in ((16, 512), (2, 5)):
+        monkeypatch.setattr(simhash, "FEW", few)
+        monkeypatch.setattr(simhash, "MANY", many)
+        assert {r["doc_id"] for r in simhash.one_of_each(df).collect()} == set(group)
+
+
 def test_names_that_clash(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     names = ["doc_id", "text", "score", "ids", "decoded", "n_tokens", "row", "t", "c0", "x0", "spans", "k"]
