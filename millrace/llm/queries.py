@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, rules, sharding, simhash, suffix, tokencount, toxicity, urlfilter, warc
+from millrace.llm import bpe, decontaminate, fim, langid, rules, runs, sharding, simhash, suffix, tokencount, toxicity, urlfilter, warc
 
 BPE_FILE, PIECES_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Rules that come before what is learnt: (verdict, host/path).
@@ -71,6 +71,42 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(PIECES_FILE))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return fim.restore(cut).select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def looped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every tenth text, by h = CRC-32 of the key, with its words from number a on replaced by a loop over the first p of
+    them: with g = h // 10 and n words a is g % n, p is 1 + (n - a) // (3 + g % 8)."""
+    words = F.filter(F.split(F.coalesce(F.col("_text"), F.lit("")), r"[ \t-\r]+"), lambda w: w != "")
+    loop = F.transform("_words", lambda w, i: F.when(i < F.col("_a"), w).otherwise(F.get("_words", (F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int"))))
+    h, g = F.crc32(F.col(key).cast("string").cast("binary")), F.floor(F.col("_h") / 10)
+    found = docs.select(*(c for c in docs.columns if c != text), F.col(text).alias("_text")).withColumn("_h", h)
+    found = found.withColumn("_words", F.when(F.col("_h") % 10 == 0, words)).withColumn("_n", F.size("_words"))
+    found = found.withColumn("_a", g % F.col("_n")).withColumn("_p", 1 + F.floor((F.col("_n") - F.col("_a")) / (3 + g % 8)))
+    return found.select(*(c for c in docs.columns if c != text), F.when(F.col("_n") > 0, F.array_join(loop, " ")).otherwise(F.col("_text")).alias(text))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.with_runs(looped(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    # the greatest length, then the smallest start and period: the least of these triples
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("short"), r["start"].alias("start"), r["period"].alias("period"))))
+    length = -best["short"]
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), length.alias("length"), best["period"].alias("period"), F.floor(1000 * length / best["period"]).alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.with_language(docs.select("doc_id", "text"), langid.train(docs))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_warc": op2_warc,
@@ -82,6 +118,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_token_counts": op10_token_counts,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_language_id": op13_language_id,
 }
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute-force versions.
 ORACLE_SQL: dict[str, str] = {
@@ -98,4 +137,12 @@ s AS (SELECT DISTINCT side, id, unnest(CASE WHEN len(ws) >= 5 THEN list_transfor
 n AS (SELECT id AS item_id, count(*) AS n_shingles FROM s WHERE side = 1 GROUP BY 1),
 f AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_found FROM s d JOIN s i ON d.shingle = i.shingle AND d.side = 0 AND i.side = 1 GROUP BY 1, 2)
 SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment FROM f JOIN n USING (item_id) WHERE n_found >= 0.8 * n_shingles""",
+    "op11_fill_in_middle": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hex FROM documents),
+h AS (SELECT doc_id, x, regexp_extract_all(x, '[^\n]*\n|[^\n]+') AS u, list_transform(range(4), lambda k: CAST('0x' || substr(hex, CAST(8 * k + 1 AS BIGINT), 8) AS BIGINT)) AS h FROM t),
+c AS (SELECT *, len(u) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS prefix, coalesce(array_to_string(u[a + 1:b], ''), '') AS middle, coalesce(array_to_string(u[b + 1:n], ''), '') AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN x WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256, sha256(x) AS restored_sha256 FROM p""",
 }

@@ -252,12 +252,13 @@ def test_bpe_equals_the_library(docs, texts, none):
 def test_token_counts(docs, texts, none):
     path = public_tokenizers.path("piece_bpe_32k.model")
     m = tokencount.Unigram.load(path)
+    longest = max(map(len, m.scores))
 
     def plain(word):
         best = [(0.0, 0)]
         for end in range(1, len(word) + 1):
             options = [(best[end - 1][0] + m.floor, -(-best[end - 1][1] + len(word[end - 1].encode())))]
-            options += [(best[s][0] + m.scores[word[s:end]], best[s][1] - 1) for s in range(max(0, end - m.longest), end) if word[s:end] in m.scores]
+            options += [(best[s][0] + m.scores[word[s:end]], best[s][1] - 1) for s in range(max(0, end - longest), end) if word[s:end] in m.scores]
             best.append(max(options))
         return -best[-1][1]
 
