@@ -74,3 +74,73 @@ def mean_bits(values: Column) -> Column:
     """Average hash: a bit for each number that is above the array's mean."""
     mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)
     return sign_bits(F.transform(values, lambda x: x - mean))
+
+
+def turns(side: int) -> list[list[int]]:
+    """Places of a row-major square after each of its eight turns: the square and its mirror image, each in four quarter
+    turns against the clock."""
+    out = []
+    for mirror in (False, True):
+        square = [[r * side + (side - 1 - c if mirror else c) for c in range(side)] for r in range(side)]
+        for _ in range(4):
+            out.append([x for row in square for x in row])
+            square = [list(column) for column in zip(*square, strict=True)][::-1]
+    return out
+
+
+def turned(values: Column, side: int, turn: Column) -> Column:
+    """The values of a square in one of its eight turns."""
+    table = F.array(*(F.array(*map(F.lit, t)) for t in turns(side)))
+    return F.transform(F.get(table, turn), lambda i: F.get(values, i))
+
+
+def turned_bits(values: Column, side: int) -> Column:
+    """:func:`sign_bits` of a square of up to 64 values in each of its eight turns."""
+    return F.transform(F.array(*(F.array(*map(F.lit, t)) for t in turns(side))), lambda t: sign_bits(F.transform(t, lambda i: F.get(values, i)), side * side))
+
+
+def grid_match(a: Column, b: Column, tolerance: float) -> Column:
+    """How two equally large arrays agree: inliers (places within the tolerance), the share of each one's positive places that
+    are inliers, and the mean difference of inliers in tolerances (null without any)."""
+    cells = F.arrays_zip(a.alias("a"), b.alias("b"))
+    gap = lambda c: F.abs(c["a"].cast("double") - c["b"].cast("double"))
+    inside = F.filter(cells, lambda c: gap(c) <= tolerance)
+    n = F.size(inside)
+    share = lambda side: F.coalesce(F.try_divide(F.size(F.filter(inside, lambda c: c[side] > 0)).cast("double"), F.size(F.filter(cells, lambda c: c[side] > 0))), F.lit(0.0))
+    total = F.aggregate(inside, F.lit(0.0), lambda s, c: s + gap(c))
+    return F.struct(n.alias("inliers"), share("a").alias("coverage_a"), share("b").alias("coverage_b"), F.try_divide(total, n * F.lit(tolerance)).alias("residual"))
+
+
+def geometry_confirmed(model: Column, inliers: Column, coverage_a: Column, coverage_b: Column, residual: Column, variant: dict = VARIANT) -> Column:
+    """Whether a geometric match is good enough for a variant."""
+    enough = (inliers >= variant["min_inliers"]) & (coverage_a >= variant["coverage"]) & (coverage_b >= variant["coverage"]) & (residual <= variant["reprojection_px"])
+    return F.coalesce(~model.isin("none", "phash_only") & enough, F.lit(False))
+
+
+#: What geometry must show to be confirmed and to be strong; key points below which a picture has little
+#: texture; how far aspect ratios and numbers of pixels may lie apart.
+CONFIRMED, STRONG = {"inliers": 25, "coverage": 0.35}, {"inliers": 40, "coverage": 0.50, "residual": 2.5}
+TEXTURE, ASPECT, SCALE = 120, 0.15, 16.0
+
+
+def safe_similarity(phash: Column, inliers: Column, coverage_a: Column, coverage_b: Column, residual: Column, model: Column, points_a: Column, points_b: Column, width_a: Column, height_a: Column, width_b: Column, height_b: Column) -> Column:
+    """A similarity that is safe to delete by: the hash's, raised where geometry confirms it and held below 1 where neither
+    geometry nor texture and size do. Unknown sizes count as 0."""
+    wa, ha, wb, hb = (F.coalesce(c.cast("double"), F.lit(0.0)) for c in (width_a, height_a, width_b, height_b))
+    aspect = lambda w, h: F.when(h > 0, w / F.nullif(h, F.lit(0.0))).otherwise(1.0)
+    low, pa, pb = (points_a < TEXTURE) | (points_b < TEXTURE), wa * ha, wb * hb
+    plausible = (pa > 0) & (pb > 0) & (F.greatest(pa, pb) <= SCALE * F.least(pa, pb))
+    agree = (F.abs(aspect(wa, ha) - aspect(wb, hb)) <= ASPECT) & plausible
+    has = F.coalesce(~model.isin("none", "phash_only"), F.lit(False))
+    at_least = lambda t: (inliers >= t["inliers"]) & (coverage_a >= t["coverage"]) & (coverage_b >= t["coverage"])
+    confirmed = F.coalesce(has & at_least(CONFIRMED), F.lit(False))
+    strong = confirmed & F.coalesce(at_least(STRONG) & (residual <= STRONG["residual"]), F.lit(False))
+    top = F.when(strong, 1.0).when(~low & agree, 1.0).when(~low, 0.99).when(confirmed, 0.99).otherwise(0.98)
+    high = F.when(strong, 0.99).when(confirmed, 0.98).otherwise(phash)
+    rest = F.when(strong, F.least(phash + 0.05, F.lit(0.97))).when(confirmed, F.least(phash + 0.02, F.lit(0.95))).otherwise(phash)
+    return F.when(phash >= 0.99, top).when(phash >= 0.95, high).otherwise(rest)
+
+
+def match_verdict(score: Column) -> Column:
+    """exact_dupe from 0.98 on, quality_dupe from 0.75, else null."""
+    return F.when(score >= 0.98, "exact_dupe").when(score >= 0.75, "quality_dupe")

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.operators.graph import connected_components
+from millrace.operators.graph import connected_components, hop_distances
+from millrace.operators.hamming import item_pairs, links
+from millrace.operators.order import with_before
+from millrace.plans.materialize import materialize, release
 
 
 def exact_groups(df: DataFrame, key: Column, item: str) -> DataFrame:
@@ -21,78 +24,49 @@ def survivors(groups: DataFrame, item: str) -> DataFrame:
     return groups.withColumn("survives", F.col(item) == F.col("first"))
 
 
+#: Rows of a page of sorted rows; pages overlap by the neighbours that are looked at.
+PAGE = 8_192
+
+
 def band_pairs(df: DataFrame, value: str, item: str, group: list[str], floor: float = 0.35, share: float = 0.015, neighbours: int | None = 60) -> DataFrame:
-    """Pairs within max(floor, share of the lower value), each lower row with its next ``neighbours`` only.
+    """(group, a, va, b, vb): each row with those of its next ``neighbours`` by value (then item) that are within
+    max(floor, share of the lower value). Values that are null or not positive are left out.
 
-    Values are cut into bins on a log scale that are at least as wide as the tolerance, so a pair lies in one bin or in
-    neighbouring ones: an equi-join on the bin instead of a comparison of all pairs.
+    Rows are sorted once by range partitions; from its place in that order a row goes to its page and, if it is among the
+    first of one, to the page before. So work is rows x neighbours, however dense the values or large a group. With no bound
+    on neighbours values are cut into bins on a log scale instead, at least as wide as the tolerance, and joined with their own
+    and the next bin: then work follows the pairs.
     """
     v = F.col(value)
-    width, turn = share, floor / share
-    linear, logs = F.floor(v / floor), F.floor(F.log(F.greatest(v, F.lit(turn)) / turn) / F.log1p(F.lit(width))) + F.floor(F.lit(turn / floor))
+    if neighbours is None:
+        return _binned_pairs(df, value, item, group, floor, share)
+    if neighbours > PAGE:
+        raise ValueError(f"at most {PAGE} neighbours fit a page")
+    rows = df.where(v > 0).select(*group, F.col(item).alias("b"), v.alias("vb"), F.lit(1).alias("_one"))
+    placed = with_before(rows, [*group, "vb", "b"], "_one")
+    page, inside = F.floor(F.col("before") / PAGE), F.pmod("before", F.lit(PAGE))
+    paged = placed.select("*", F.explode(F.when(inside < neighbours, F.array(page, page - 1)).otherwise(F.array(page))).alias("_page")).withColumn("_own", F.col("_page") == page)
+    after = W.partitionBy("_page").orderBy("before").rowsBetween(1, neighbours)
+    seen = paged.select(*group, F.col("b").alias("a"), F.col("vb").alias("va"), "_own", F.collect_list(F.struct(*group, "b", "vb")).over(after).alias("_next")).where("_own")
+    pairs = seen.select(*(F.col(g).alias(f"_g{k}") for k, g in enumerate(group)), "a", "va", F.inline("_next"))
+    for k, g in enumerate(group):
+        pairs = pairs.where(F.col(f"_g{k}").eqNullSafe(F.col(g)))
+    return pairs.where(F.col("vb") - F.col("va") <= F.greatest(F.lit(floor), F.col("va") * share)).select(*group, "a", "va", "b", "vb")
+
+
+def _binned_pairs(df: DataFrame, value: str, item: str, group: list[str], floor: float, share: float) -> DataFrame:
+    v, turn = F.col(value), floor / share
+    linear, logs = F.floor(v / floor), F.floor(F.log(F.greatest(v, F.lit(turn)) / turn) / F.log1p(F.lit(share))) + F.floor(F.lit(turn / floor))
     rows = df.where(v > 0).withColumn("_bin", F.when(v < turn, linear).otherwise(logs).cast("bigint"))
     left = rows.select(*group, F.col(item).alias("a"), v.alias("va"), F.explode(F.array(F.col("_bin"), F.col("_bin") + 1)).alias("_bin"))
     right = rows.select(*group, F.col(item).alias("b"), v.alias("vb"), "_bin")
-    near = left.join(right, [*group, "_bin"]).where(((F.col("vb") > F.col("va")) | ((F.col("vb") == F.col("va")) & (F.col("b") > F.col("a")))) & (F.col("vb") - F.col("va") <= F.greatest(F.lit(floor), F.col("va") * share)))
-    if neighbours:
-        near = near.withColumn("_r", F.row_number().over(W.partitionBy(*group, "a").orderBy("vb", "b"))).where(F.col("_r") <= neighbours).drop("_r")
-    return near.drop("_bin")
+    after = (F.col("vb") > F.col("va")) | ((F.col("vb") == F.col("va")) & (F.col("b") > F.col("a")))
+    return left.join(right, [*group, "_bin"]).where(after & (F.col("vb") - F.col("va") <= F.greatest(F.lit(floor), F.col("va") * share))).drop("_bin")
 
 
 def hamming_pairs(df: DataFrame, item: str, bits: str, radius: int) -> DataFrame:
-    """(a, b, distance) of all pairs within the radius.
-
-    Up to a radius of 7 by radius + 1 bands of the 64 bits: such pairs agree on one, and a pair is emitted by the first band
-    that it agrees on only. Bands narrower than 8 bits would let more candidates through than there are pairs, and no exact
-    index prunes at such distances, so beyond that distinct hashes are compared block by block, a pair of blocks a task, in
-    arrays; only pairs within the radius leave a task. Work grows with the square of the distinct hashes then.
-    """
-    rows = df.select(F.col(item).alias("item"), F.col(bits).alias("bits"))
-    if radius > 7:
-        return _block_pairs(rows, radius)
-    n = radius + 1
-    cuts = [64 * k // n for k in range(n + 1)]
-    band = lambda c, k: F.shiftrightunsigned(c, cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1 if cuts[k + 1] - cuts[k] < 64 else -1))
-    keyed = rows.select("item", "bits", F.posexplode(F.array(*(band(F.col("bits"), k) for k in range(n)))).alias("k", "key"))
-    pairs = keyed.alias("l").join(keyed.alias("r"), (F.col("l.k") == F.col("r.k")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.item") < F.col("r.item")))
-    differ = F.col("l.bits").bitwiseXOR(F.col("r.bits"))
-    earlier = F.lit(False)
-    for k in range(n - 1):
-        earlier = earlier | ((F.col("l.k") > k) & (band(differ, k) == 0))
-    return pairs.where((F.bit_count(differ) <= radius) & ~earlier).select(F.col("l.item").alias("a"), F.col("r.item").alias("b"), F.bit_count(differ).alias("distance"))
-
-
-#: Distinct hashes in a block, and rows of the first block that are compared at a time.
-BLOCK, STEP = 8_192, 256
-
-
-def _block_pairs(rows: DataFrame, radius: int) -> DataFrame:
-    import numpy as np
-    import pyarrow as pa
-
-    hashes = rows.where(F.col("bits").isNotNull()).select("bits").distinct()
-    blocks = max(1, -(-hashes.count() // BLOCK))
-    own = F.pmod(F.xxhash64("bits"), F.lit(blocks)).cast("int")
-    other = F.sequence(F.lit(0), F.lit(blocks - 1))
-    dealt = hashes.select("bits", own.alias("own"), F.explode(other).alias("other")).select("bits", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-    def compare(table: pa.Table) -> pa.Table:
-        x, at, i, j = (table.column(c).to_numpy() for c in ("bits", "own", "i", "j"))
-        left, right = x[at == i].view(np.uint64), x[at == j].view(np.uint64)
-        found = []
-        for s in range(0, len(left), STEP):
-            d = np.bitwise_count(left[s : s + STEP, None] ^ right[None, :])
-            a, b = np.nonzero(d <= radius)
-            a, b, d = left[s : s + STEP][a].view(np.int64), right[b].view(np.int64), d[a, b]
-            keep = a < b if i[0] == j[0] else np.ones(len(a), bool)
-            found.append((a[keep], b[keep], d[keep].astype(np.int32)))
-        return pa.table({n: np.concatenate([f[k] for f in found]) for k, n in enumerate(("x", "y", "distance"))})
-
-    near = dealt.groupBy("i", "j").applyInArrow(compare, "x long, y long, distance int")
-    items = lambda h, name: rows.select(F.col("bits").alias(h), F.col("item").alias(name))
-    apart = near.join(items("x", "p"), "x").join(items("y", "q"), "y").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "distance")
-    same = items("x", "a").join(items("x", "b"), "x").where("a < b").select("a", "b", F.lit(0).alias("distance"))
-    return apart.unionByName(same)
+    """(a, b, distance) of all pairs within the radius."""
+    return item_pairs(df, item, bits, radius)
 
 
 def merge_edges(*kinds: tuple[DataFrame, str, int]) -> DataFrame:
@@ -116,50 +90,43 @@ def representatives(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return ranked.groupBy("component").agg(F.min(F.struct(-F.col("degree"), "node")).alias("best"), F.count(F.lit(1)).alias("size")).select("component", F.col("best.node").alias("representative"), "size", (-F.col("best.col1")).alias("degree"))
 
 
-def closeness_representatives(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(component, representative) by least sum of hop distances, then most neighbours, then smallest node. Components are
-    handled one by one and must each fit a task; for very large ones use :func:`representatives`."""
-    kind = nodes.schema["node"].dataType.simpleString()
-    edges = pairs.join(nodes.withColumnRenamed("node", "a"), "a").select("component", "a", "b")
-
-    def run(pdf):
-        import pandas as pd
-
-        near: dict = {}
-        for a, b in zip(pdf["a"], pdf["b"], strict=True):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-
-        def total(start):
-            seen, ring, hops, sum_ = {start}, [start], 0, 0
-            while ring:
-                hops += 1
-                ring = [y for y in {y for x in ring for y in near[x]} if y not in seen]
-                seen.update(ring)
-                sum_ += hops * len(ring)
-            return sum_
-
-        best = min(near, key=lambda n: (total(n), -len(near[n]), n))
-        return pd.DataFrame({"component": [pdf["component"].iloc[0]], "representative": [best]})
-
-    return edges.groupBy("component").applyInPandas(run, f"component {kind}, representative {kind}")
+def closeness_representatives(pairs: DataFrame, nodes: DataFrame, weight: str | None = None) -> DataFrame:
+    """(component, representative, hops): the member with the least sum of hop distances to the others, then the most
+    neighbours, then the largest sum of its pairs' ``weight``, then the smallest. Distances come from a breadth-first search from all members
+    at once: the rows of a component are the square of its size, dealt over all tasks; for very large components use
+    :func:`representatives`."""
+    both = pairs.select("a", "b", (F.col(weight) if weight else F.lit(0)).alias("w")).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), (F.col(weight) if weight else F.lit(0)).alias("w")))
+    own = both.groupBy("a", "b").agg(F.max("w").alias("w")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree"), F.sum("w").alias("weight"))
+    sums = hop_distances(pairs, "a", "b").groupBy(F.col("source").alias("node")).agg(F.sum("hops").alias("hops"))
+    ranked = nodes.join(own, "node").join(sums, "node")
+    best = F.min(F.struct("hops", (-F.col("degree")).alias("d"), (-F.col("weight")).alias("w"), "node")).alias("m")
+    return ranked.groupBy("component").agg(best).select("component", F.col("m.node").alias("representative"), F.col("m.hops").alias("hops"))
 
 
 def leaders(df: DataFrame, item: str, bits: str, group: list[str], threshold: int = 8) -> DataFrame:
-    """Greedy clusters in item order: the first unused item leads all unused ones within the threshold. The result depends
-    on the order, so each group is one task's work; groups should be bounded."""
-    kinds = {c: df.schema[c].dataType.simpleString() for c in (*group, item)}
-
-    def run(pdf):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values(item, kind="stable")
-        h, ids = pdf[bits].to_numpy(np.int64).view(np.uint64), pdf[item].to_numpy()
-        lead = np.full(len(h), -1)
-        for i in range(len(h)):
-            if lead[i] < 0:
-                lead[(lead < 0) & (np.bitwise_count(h ^ h[i]) <= threshold)] = i
-        return pd.DataFrame({**{g: pdf[g].to_numpy() for g in group}, item: ids, "leader": ids[lead]})
-
-    return df.groupBy(*group).applyInPandas(run, ", ".join(f"{c} {k}" for c, k in kinds.items()) + f", leader {kinds[item]}")
+    """(group, item, leader): greedy clusters in item order, the first unused item leads all unused ones within the threshold.
+    Items without a hash lead themselves.
+
+    The serial order is kept, in parallel: of near pairs (by the Hamming index, classes of equal hashes at once) the earlier item
+    stands in the later one's way. In a round every item that nothing stands in the way of leads, what is near it is led,
+    and pairs of led items go; the pairs that are left are written. An item's leader is the first near it. Rounds are few where order and
+    likeness have nothing to do with each other; a chain in item order, each near the next only, needs half its length.
+    """
+    near, members = links(df, item, bits, threshold, tuple(group))
+    written = materialize(near.select("a", "b"), "near-items")
+    still, led = written, []
+    while still.limit(1).count():
+        heads = still.select("a").distinct().join(still.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        gone = materialize(still.join(heads, "a", "left_semi").select(F.col("b").alias("x")).distinct(), "led-items")
+        left = still.join(gone, F.col("a") == F.col("x"), "left_anti").join(gone, F.col("b") == F.col("x"), "left_anti")
+        last, still = still, materialize(left, "near-items")
+        led.append(gone)
+        if last is not written:
+            release(last)
+    release(*([still] if still is not written else []))
+    every = written.limit(0).select(F.col("b").alias("x"))
+    for part in led:
+        every = every.unionByName(part)
+    first = written.join(every, F.col("a") == F.col("x"), "left_anti").join(every, F.col("b") == F.col("x"), "left_semi").groupBy(F.col("b").alias("first")).agg(F.min("a").alias("leader"))
+    leads = members.join(first, "first", "left").select(F.col("item").alias("_item"), F.coalesce("leader", "first").alias("_leader"))
+    return df.join(leads, F.col(item) == F.col("_item"), "left").select(*group, item, F.coalesce("_leader", item).alias("leader"))

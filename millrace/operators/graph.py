@@ -45,3 +45,27 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     ends = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return ends.unionByName(roots)
+
+
+def hop_distances(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(source, node, hops) for all nodes that are connected, each with itself at 0.
+
+    A breadth-first search from all nodes at once, a round a hop: the last ring is joined with the edges, and what the last
+    two rings hold is dropped (in an undirected graph a neighbour of ring k lies in ring k - 1, k or k + 1). Rings are
+    written. Edges with a null end and loops are ignored; repeated and reversed edges count once.
+    """
+    one = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst))).select(F.col(src).alias("u"), F.col(dst).alias("v"))
+    both = materialize(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "hops")
+    start = both.select(F.col("u").alias("source"), F.col("u").alias("node")).distinct()
+    rings = [materialize(start, "hops"), materialize(both.select(F.col("u").alias("source"), F.col("v").alias("node")), "hops")]
+    while True:
+        reached = rings[-1].join(both.withColumnRenamed("u", "node"), "node").select("source", F.col("v").alias("node")).distinct()
+        ring = materialize(reached.join(rings[-1], ["source", "node"], "left_anti").join(rings[-2], ["source", "node"], "left_anti"), "hops")
+        if not ring.limit(1).count():
+            break
+        rings.append(ring)
+    release(both, ring)
+    out = rings[0].withColumn("hops", F.lit(0))
+    for k, r in enumerate(rings[1:], 1):
+        out = out.unionByName(r.withColumn("hops", F.lit(k)))
+    return out

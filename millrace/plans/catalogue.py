@@ -7,8 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions import hashes, markup, media, mime, urls
-from millrace.operators import duplicates, events, inventory, selection
+from millrace.operators import duplicates, events, graph, inventory, selection, variants
+from millrace.operators.collection import Collection
+from millrace.operators.hamming import links
 from millrace.operators.order import exact_median
+from millrace.plans.materialize import new_path
 from millrace.sources.tables import load, order_files
 
 QUERIES: dict = {}
@@ -240,18 +243,89 @@ def representatives(spark: SparkSession, sf: str) -> DataFrame:
     return duplicates.representatives(pairs, duplicates.components(pairs))
 
 
-@query()
+@query(f"""{_REACH}, h AS (SELECT a AS source, a AS node, 0 AS hops FROM e UNION SELECT h.source, e.b, hops + 1 FROM h JOIN e ON h.node = e.a WHERE hops < 24),
+n AS (SELECT source, node, min(hops) AS hops FROM h GROUP BY 1, 2), s AS (SELECT source AS node, CAST(sum(hops) AS BIGINT) AS hops FROM n GROUP BY 1),
+d AS (SELECT x AS node, count(*) AS degree, sum(1 - distance / 64) AS weight FROM (SELECT a AS x, distance FROM p UNION ALL SELECT b, distance FROM p) GROUP BY 1),
+k AS (SELECT component, node, hops, row_number() OVER (PARTITION BY component ORDER BY hops, degree DESC, weight DESC, node) AS r FROM c JOIN s USING (node) JOIN d USING (node))
+SELECT component, node AS representative, hops FROM k WHERE r = 1""")
 def closeness_representatives(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = _near(spark, sf)
-    return duplicates.closeness_representatives(pairs, duplicates.components(pairs))
+    pairs = _near(spark, sf).withColumn("similarity", hashes.similarity(F.col("distance")))
+    return duplicates.closeness_representatives(pairs, duplicates.components(pairs), "similarity")
 
 
-@query()
+_LINKED = f"{_MASK}, e AS (SELECT l.vec_id AS a, r.vec_id AS b FROM m l JOIN m r ON l.vec_id <> r.vec_id WHERE bit_count(xor(l.bits, r.bits)) <= 20)"
+
+
+@query(f"""WITH RECURSIVE {_LINKED}, h AS (SELECT a AS source, a AS node, 0 AS hops FROM e UNION SELECT h.source, e.b, hops + 1 FROM h JOIN e ON h.node = e.a WHERE hops < 30)
+SELECT source, node, min(hops) AS hops FROM h GROUP BY 1, 2""")
+def hop_distances(spark: SparkSession, sf: str) -> DataFrame:
+    bits = load(spark, sf, "embeddings").select("vec_id", hashes.sign_bits(F.col("embedding")).alias("bits"))
+    near, _ = links(bits, "vec_id", "bits", 20)
+    return graph.hop_distances(near, "a", "b")
+
+
+@query(f"""WITH RECURSIVE m AS (SELECT vec_id, label, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') :: BIT AS bits, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
+r AS (SELECT DISTINCT label, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(id BIGINT, bits BIT)[]) AS leads FROM m
+  UNION ALL SELECT r.label, r.n + 1, CASE WHEN len(list_filter(leads, lambda l: bit_count(xor(l.bits, m.bits)) <= {_RADIUS + 8})) = 0 THEN list_append(leads, {{'id': m.vec_id, 'bits': m.bits}}) ELSE leads END FROM r JOIN m ON m.label = r.label AND m.n = r.n + 1),
+f AS (SELECT label, unnest(arg_max(leads, n)) AS l FROM r GROUP BY 1)
+SELECT m.label, m.vec_id, min(f.l.id) AS leader FROM m JOIN f ON m.label = f.label AND bit_count(xor(m.bits, f.l.bits)) <= {_RADIUS + 8} GROUP BY 1, 2""")
+def leader_stacks(spark: SparkSession, sf: str) -> DataFrame:
+    bits = load(spark, sf, "embeddings").select("vec_id", "label", hashes.sign_bits(F.col("embedding")).alias("bits"))
+    return duplicates.leaders(bits, "vec_id", "bits", ["label"], _RADIUS + 8)
+
+
+@query(f"""WITH RECURSIVE m AS (SELECT vec_id, label, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') :: BIT AS bits, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
+r AS (SELECT DISTINCT label, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(id BIGINT, bits BIT)[]) AS leads FROM m
+  UNION ALL SELECT r.label, r.n + 1, CASE WHEN len(list_filter(leads, lambda l: bit_count(xor(l.bits, m.bits)) <= {_RADIUS})) = 0 THEN list_append(leads, {{'id': m.vec_id, 'bits': m.bits}}) ELSE leads END FROM r JOIN m ON m.label = r.label AND m.n = r.n + 1),
+f AS (SELECT label, unnest(arg_max(leads, n)) AS l FROM r GROUP BY 1)
+SELECT m.label, m.vec_id, min(f.l.id) AS leader FROM m JOIN f ON m.label = f.label AND bit_count(xor(m.bits, f.l.bits)) <= {_RADIUS} GROUP BY 1, 2""")
 def leader_clusters(spark: SparkSession, sf: str) -> DataFrame:
     bits = load(spark, sf, "embeddings").select("vec_id", "label", hashes.sign_bits(F.col("embedding")).alias("bits"))
     return duplicates.leaders(bits, "vec_id", "bits", ["label"], _RADIUS)
 
 
+_TURNS = str(hashes.turns(8))
+_TURNED = f"""t AS (SELECT {_TURNS} AS turns),
+v AS (SELECT vec_id, embedding AS g, list_transform(turns, lambda t: array_to_string(list_transform(t, lambda i: CASE WHEN embedding[i + 1] > 0 THEN '1' ELSE '0' END), '') :: BIT) AS h FROM embeddings, t)"""
+
+
+@query(f"""WITH {_TURNED},
+c AS (SELECT l.vec_id AS a, r.vec_id AS b, l.g AS ga, r.g AS gb, list_transform(r.h, lambda y: CAST(bit_count(xor(l.h[1], y)) AS INT)) AS ds FROM v l JOIN v r ON l.vec_id < r.vec_id),
+p AS (SELECT a, b, ga, gb, list_min(ds) AS distance, CAST(list_position(ds, list_min(ds)) - 1 AS INT) AS turn FROM c WHERE list_min(ds) <= 20),
+z AS (SELECT a, b, distance, turn, list_transform(range(64), lambda i: {{'a': CAST(ga[i + 1] AS DOUBLE), 'b': CAST(gb[turns[turn + 1][i + 1] + 1] AS DOUBLE)}}) AS cells FROM p, t),
+f AS (SELECT *, list_filter(cells, lambda c: abs(c.a - c.b) <= 0.15) AS inside FROM z),
+q AS (SELECT a, b, distance, turn, CAST(len(inside) AS INT) AS inliers, len(list_filter(inside, lambda c: c.a > 0)) / len(list_filter(cells, lambda c: c.a > 0)) AS coverage_a,
+  len(list_filter(inside, lambda c: c.b > 0)) / len(list_filter(cells, lambda c: c.b > 0)) AS coverage_b, list_sum(list_transform(inside, lambda c: abs(c.a - c.b))) / (len(inside) * 0.15) AS residual FROM f),
+s AS (SELECT *, least(0.99, 0.5 * (1 - distance / 64) + 0.25 * least(coverage_a, coverage_b) + 0.15 * least(1.0, inliers / 50) + 0.1 * greatest(0.0, 1 - residual / 3)) AS score FROM q WHERE inliers >= 25 AND coverage_a >= 0.5 AND coverage_b >= 0.5 AND residual <= 3)
+SELECT a, b, distance, turn, inliers, round(coverage_a, 6) AS coverage_a, round(coverage_b, 6) AS coverage_b, round(residual, 6) AS residual, round(score, 6) AS score FROM s WHERE score >= 0.6""")
+def variant_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    found = variants.variant_pairs(load(spark, sf, "embeddings"), "vec_id", "embedding", 8, 20, 0.6, 0.15)
+    return found.select("a", "b", "distance", "turn", "inliers", *(F.round(c, 6).alias(c) for c in ("coverage_a", "coverage_b", "residual", "score")))
+
+
+@query(f"""WITH {_TURNED},
+k AS (SELECT vec_id, h, vec_id % 4 = 3 AS new, 100 + vec_id % 60 AS points, 640 + 10 * (vec_id % 7) AS w, 480 + 10 * (vec_id % 5) AS ht, vec_id * 37 % 1000 AS bytes FROM v),
+c AS (SELECT n.vec_id AS vec_id, s.vec_id AS match_id, n.points AS pn, s.points AS ps, n.w AS wn, n.ht AS hn, s.w AS ws, s.ht AS hs, n.bytes AS bn, s.bytes AS bs, list_min(list_transform(s.h, lambda y: CAST(bit_count(xor(n.h[1], y)) AS INT))) AS distance FROM k n JOIN k s ON n.new AND NOT s.new),
+d AS (SELECT *, 1 - distance / 64 AS sim FROM c WHERE distance <= 20), e AS (SELECT *, sim AS score FROM d WHERE sim < 0.99 UNION ALL
+  SELECT *, CASE WHEN pn < 120 OR ps < 120 THEN 0.98 WHEN abs(wn / hn - ws / hs) <= 0.15 THEN 1.0 ELSE 0.99 END FROM d WHERE sim >= 0.99),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY match_id) AS r FROM e WHERE score >= 0.7)
+SELECT vec_id, match_id, distance, score, CASE WHEN score >= 0.98 THEN 'exact_dupe' WHEN score >= 0.75 THEN 'quality_dupe' END AS verdict, ws * hs > wn * hn OR (ws * hs = wn * hn AND bs >= bn) AS keep_existing FROM r WHERE r = 1""")
+def stored_matches(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("vec_id")
+    facts = {"points": 100 + k % 60, "width": 640 + 10 * (k % 7), "height": 480 + 10 * (k % 5), "bytes": k * 37 % 1000}
+    rows = load(spark, sf, "embeddings").select(k.alias("id"), k.alias("place"), hashes.turned_bits(F.col("embedding"), 8).alias("hashes"), *(c.alias(n) for n, c in facts.items()))
+    stored = Collection.create(spark, new_path(spark, "collection"), 20, rows.count())
+    for batch in (0, 1):  # two generations in scan order
+        stored.add(rows.where("id % 4 <> 3").where((F.col("id") < 300) == (batch == 0)))
+    score = lambda p: hashes.safe_similarity(hashes.similarity(F.col("distance")), F.lit(0), F.lit(0.0), F.lit(0.0), F.lit(None).cast("double"), F.lit(None).cast("string"), F.col("points"), p["stored"]["points"], F.col("width"), F.col("height"), p["stored"]["width"], p["stored"]["height"])
+    new = rows.where("id % 4 = 3").withColumn("hashes", F.slice("hashes", 1, 1))
+    found = stored.first_matches(new, lambda p: score(p) >= 0.7)
+    old = rows.select(F.col("id").alias("match_id"), F.struct("points", "width", "height", "bytes").alias("stored"))
+    both = found.join(old, "match_id")
+    keeps = media.keeps_existing(F.col("width") * F.col("height"), F.col("bytes"), F.col("stored.width") * F.col("stored.height"), F.col("stored.bytes"))
+    return both.select(F.col("id").alias("vec_id"), "match_id", "distance", score(both).alias("score"), hashes.match_verdict(score(both)).alias("verdict"), keeps.alias("keep_existing"))
+
+
 @query("""WITH o AS (SELECT o_orderkey AS k, o_orderpriority AS g, o_totalprice / 100 AS v FROM orders),
 p AS (SELECT l.g, l.k AS a, r.k AS b, row_number() OVER (PARTITION BY l.g, l.k ORDER BY r.v, r.k) AS n FROM o l JOIN o r
   ON l.g = r.g AND r.v BETWEEN l.v AND l.v + greatest(0.35, l.v * 0.015) AND (r.v > l.v OR r.k > l.k) AND r.v - l.v <= greatest(0.35, l.v * 0.015))

@@ -39,8 +39,7 @@ def test_positions_and_medians(spark):
 
 
 @pytest.mark.parametrize("radius", [3, 16])
-def test_hamming_pairs(spark, monkeypatch, radius):
-    monkeypatch.setattr(duplicates, "BLOCK", 16)
+def test_hamming_pairs(spark, radius):
     rng = np.random.default_rng(3)
     base = rng.integers(-(1 << 62), 1 << 62, 40)
     bits = [int(b) for b in np.concatenate([base, base[:10], base[:20] ^ (1 << rng.integers(0, 60, 20))])]
