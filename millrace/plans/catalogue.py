@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions import hashes, markup, media, mime, urls
-from millrace.operators import duplicates, events, graph, inventory, selection, variants
+from millrace.operators import alike, duplicates, events, graph, inventory, selection, variants
 from millrace.operators.collection import Collection
 from millrace.operators.hamming import links
 from millrace.operators.order import exact_median
@@ -522,6 +522,12 @@ def name_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select("p_partkey", similarity("p_name", "other").alias("similarity"))
 
 
+@query()
+def similar_names(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs of distinct names within a brand."""
+    return alike.similar_names(load(spark, sf, "part"), "p_partkey", "p_name", ["p_brand"])
+
+
 @query("""WITH p AS (SELECT lang, source, doc_id, CASE WHEN n_chars >= 4000 THEN 2 WHEN n_chars >= 1000 THEN 1 ELSE 0 END AS p FROM documents),
 n AS (SELECT lang, p, count(*) AS n FROM p GROUP BY 1, 2), r AS (SELECT lang, p, n, greatest(0, 60 - coalesce(sum(n) OVER (PARTITION BY lang ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS room FROM n),
 a AS (SELECT p.*, n, room, row_number() OVER (PARTITION BY lang, p.p ORDER BY doc_id) AS i FROM p JOIN r USING (lang, p))
