@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.markup import normalised_text
+
 # Failures after which a stronger transport is tried, extensions by type, the order of match kinds.
-ESCALATING = ["http-401", "http-403", "network", "timeout", "wrong-content", "html", "empty", "too-small", "redirected", "mime", "interrupted"]
+ESCALATING = ["http_401", "http_403", "network_error", "timeout", "wrong_magic", "html_response", "zero_bytes", "implausible_size", "redirected_away", "mime_mismatch", "download_interrupted"]
 KINDS = ["exact", "pixel", "variant"]
 
 
@@ -55,8 +57,11 @@ def invocation_signature(direction: Column, paths: Column) -> Column:
 
 
 def same_element(a_id: Column, b_id: Column, a_data: Column, b_data: Column, a_text: Column, b_text: Column) -> Column:
-    """Whether two signatures mean one page element: by id, else by data attribute, else by the first 20 characters."""
-    return F.coalesce(F.when(a_id.isNotNull() & b_id.isNotNull(), a_id == b_id).when(a_data.isNotNull() & b_data.isNotNull(), a_data == b_data).otherwise(F.substring(a_text, 1, 20) == F.substring(b_text, 1, 20)), F.lit(False))
+    """Whether b is the page element that signature a was made of: an equal id, an equal data attribute, or a label that begins
+    with the first 20 characters of a's, each enough by itself; what the signature lacks says nothing."""
+    there = lambda c: F.coalesce(c != "", F.lit(False))
+    prefix = F.substring(normalised_text(a_text), 1, 20)
+    return F.coalesce(there(a_id) & (a_id == b_id), F.lit(False)) | F.coalesce(there(a_data) & (a_data == b_data), F.lit(False)) | F.coalesce(there(prefix) & normalised_text(F.coalesce(b_text, F.lit(""))).startswith(prefix), F.lit(False))
 
 
 def orientation_by_content(horizontal: Column, vertical: Column, frames: Column, least: float = 0.6) -> Column:

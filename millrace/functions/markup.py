@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 FULL_SIZE = ["data-original", "data-src-large", "data-large", "data-large-file", "data-full", "data-full-src", "data-hi-res", "data-highres", "data-zoom-image", "data-image", "data-lazy-src", "data-lazy", "data-src", "data-srcset"]
 
 
+#: Characters that a review label must not hold as they are.
+UNSAFE = r"[\x00-\x1f\x7f-\x9f\u061c\u200e\u200f\u202a-\u202e\u2066-\u2069]"
+
+
 def best_of_srcset(srcset: Column) -> Column:
     """The candidate with the largest width, or density times 1000; the first of equals; without either it counts 1."""
     parts = F.filter(F.transform(F.split(srcset, ","), lambda p: F.split(F.trim(p), r"\s+")), lambda p: F.get(p, F.lit(0)) != "")
@@ -41,6 +45,12 @@ def plain_label(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"\([^)]*\)|\[[^\]]*\]|\d+", " "), r"\s+", " "))
 
 
+def normalised_text(text: Column) -> Column:
+    """A label that counts up or down stays equal: lower case, white space folded, without bracketed parts and digits."""
+    folded = F.regexp_replace(F.lower(text), r"(?U)\s+", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(folded, r"[(\[{].*?[)\]}]", ""), r"[0-9]+", ""))
+
+
 def label_matches(text: Column, wanted: list[str], unwanted: list[str]) -> Column:
     """Whether a label matches one of the wanted patterns and none of the unwanted."""
     t = plain_label(text)
@@ -89,8 +99,11 @@ def markdown_inline(text: Column) -> Column:
 
 
 def display_safe(text: Column) -> Column:
-    """A text without control and direction marks, for logs and reports."""
-    return F.regexp_replace(text, r"[\x00-\x08\x0b-\x1f\x7f\u202a-\u202e\u2066-\u2069]", "�")
+    """A text whose control and direction marks are written out, for logs and reports: tab, line feed and carriage return by
+    their letters, others as four hex digits."""
+    digits = lambda c: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(F.ascii(c).cast("bigint"))), 4, "0"))
+    one = lambda c: F.when(c == "\t", F.lit("\\t")).when(c == "\n", F.lit("\\n")).when(c == "\r", F.lit("\\r")).when(c.rlike(UNSAFE), digits(c)).otherwise(c)
+    return F.when(text.rlike(UNSAFE), F.array_join(F.transform(F.split(text, ""), one), "")).otherwise(text)
 
 
 def plural(n: Column, one: str, many: str | None = None) -> Column:

@@ -79,7 +79,8 @@ def frame_rate_bin(fps: Column) -> Column:
 
 
 def _scaled(size: Column, unit: int, name: str, exact: bool) -> Column:
-    return F.format_string(f"%.2f {name}" if exact else f"%d {name}", size / unit if exact else F.floor(size / unit))
+    # format_number rounds the exact binary value, halves to even
+    return F.concat(F.replace(F.format_number(size / unit, 2), F.lit(","), F.lit("")) if exact else F.floor(size / unit).cast("string"), F.lit(f" {name}"))
 
 
 def human_size(size: Column) -> Column:

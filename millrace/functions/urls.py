@@ -94,7 +94,7 @@ def redact_queries(text: Column) -> Column:
 
 
 # Addresses of private networks, paths that are for reading, parameters that carry credentials.
-PRIVATE_HOST = r"^(?:localhost|.*\.(?:local|localhost|internal|lan|home|arpa)|\d+\.\d+\.\d+\.\d+|\[.*\])$"
+PRIVATE_HOST = r"[\[\]:]|^[\d.]+$|(?:^|\.)(?:localhost|local|internal|onion|reddit\.com|redd\.it)$"
 NO_READING = r"(?i)\.(?:json|rss|xml)$|/(?:submit|compose|modmail)(?:/|$)"
 READING = r"(?i)^/$|^/(?:r|u|user|comments|duplicates|search|wiki|w)(?:/|$)|^/(?:best|hot|new|top|rising|controversial)/?$"
 CREDENTIALS = r"(?i)[?&](?:access_token|refresh_token|id_token|token|code|state|password)(?:=|&|$)"
@@ -103,9 +103,10 @@ FRAGMENT_CREDENTIALS = r"(?i)[&#](?:access_token|refresh_token|id_token)="
 
 def public_origin(url: Column) -> Column:
     """``https://host`` of an https URL without credentials, port, query or fragment, at the root, on a public host; else
-    null."""
-    host = F.lower(part(url, 2))
-    plain = (F.lower(part(url, 1)) == "https") & part(url, 3).isin("", "/") & (part(url, 4) == "") & (part(url, 5) == "") & ~host.contains("@") & ~host.rlike(r":\d+$")
+    null. White space around it does not count; over 255 characters are none."""
+    bare = F.regexp_replace(url, r"(?U)^\s+|\s+$", "")
+    host = F.regexp_replace(F.lower(part(bare, 2)), r":(?:443)?$", "")
+    plain = (F.char_length(url) <= 255) & (F.lower(part(bare, 1)) == "https") & part(bare, 3).isin("", "/") & part(bare, 4).isin("", "?") & part(bare, 5).isin("", "#") & ~host.contains("@")
     return F.when(plain & host.contains(".") & ~host.rlike(PRIVATE_HOST), F.concat(F.lit("https://"), host))
 
 
@@ -166,7 +167,9 @@ def group_key(parent: Column, tab: Column, frame: Column, element: Column, key:
 
 def text_hash(text: Column) -> Column:
     """A 32-bit hash that multiplies by 31 and adds each code unit, its absolute value in base 36."""
-    units = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text), F.lit(1))), lambda i: F.ascii(F.substring(text, i, F.lit(1))))
+    digits = F.hex(F.encode(text, "UTF-16BE"))
+    n = (F.length(digits) / 4).cast("int")
+    units = F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.conv(F.substring(digits, i * 4 + 1, F.lit(4)), 16, 10).cast("bigint")))
     wrap = lambda x: F.pmod(x + (1 << 31), F.lit(1 << 32)) - (1 << 31)
     value = F.aggregate(units, F.lit(0).cast("bigint"), lambda a, c: wrap(a * 31 + c))
     return F.lower(F.conv(F.abs(value).cast("string"), 10, 36))

@@ -17,8 +17,8 @@ def finite(value: Column) -> Column:
 
 
 def pair_lines(pairs: DataFrame) -> DataFrame:
-    """The report's columns as text: four decimals, empty for what is no number."""
-    text = lambda c: F.coalesce(F.format_string("%.4f", finite(F.col(c))) if c in _DECIMALS else F.col(c).cast("string"), F.lit(""))
+    """The report's columns as text: four decimals (the exact value rounded, halves to even), empty for what is no number."""
+    text = lambda c: F.coalesce(F.replace(F.format_number(finite(F.col(c)), 4), F.lit(","), F.lit("")) if c in _DECIMALS else F.col(c).cast("string"), F.lit(""))
     return pairs.select(*(F.when(finite(F.col(c)).isNull(), "").otherwise(text(c)).alias(c) if c in _DECIMALS else text(c).alias(c) for c in COLUMNS))
 
 

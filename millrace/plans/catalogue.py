@@ -360,6 +360,31 @@ def dup_invocation(spark: SparkSession, sf: str) -> DataFrame:
     return events.repeated_within(load(spark, sf, "events"), ["user_id"], "event_type", "ts", "event_id", 7_200_000).select("event_id", "user_id", "event_type")
 
 
+@query("""WITH RECURSIVE x AS (SELECT user_id AS key, epoch_us(ts) // 1000000 AS e, epoch_us(ts) // 1000000 - CAST(floor(value) AS BIGINT) * 300 AS s, event_type <> 'error' AS ok FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY e, s, ok) AS n FROM x),
+r AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS ok_at, CAST(0 AS BIGINT) AS failed_at, CAST(0 AS BIGINT) AS failures, CAST(0 AS BIGINT) AS retry_at FROM x
+  UNION ALL SELECT r.key, o.n, CASE WHEN stale THEN ok_at WHEN ok THEN e ELSE 0 END, CASE WHEN stale THEN failed_at WHEN ok THEN 0 ELSE e END, CASE WHEN stale THEN failures WHEN ok THEN 0 ELSE least(failures + 1, 10) END,
+    CASE WHEN stale THEN retry_at WHEN ok THEN 0 ELSE e + least(60 * CAST(2 ** least(failures, 9) AS BIGINT), 1800) END
+  FROM r JOIN (SELECT * FROM o) o ON o.key = r.key AND o.n = r.n + 1, LATERAL (SELECT failed_at > s OR (NOT ok AND ok_at > s) AS stale))
+SELECT key AS user_id, CASE WHEN ok_at > 0 THEN 'healthy' ELSE 'failing' END AS event, ok_at, failed_at, failures, retry_at FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC) = 1""")
+def health_states(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as a stream of checks: state by user after the last one."""
+    from millrace.streaming import health
+
+    events_at, out = f"{sf}/events.parquet", new_path(spark, "health")
+    # a pattern, since a stream reads folders and patterns but no single file
+    checks = spark.readStream.schema(spark.read.parquet(events_at).schema).parquet(f"{sf}/events.parque[t]")
+    ts = F.col("ts").cast("timestamp")
+    checks = checks.select("user_id", F.timestamp_seconds(F.unix_seconds(ts) - F.floor("value") * 300).alias("began"), ts.alias("ended"), (F.col("event_type") != "error").alias("ok"))
+    health.keep_state_in_rocksdb(spark)
+    found = health.states(checks, "user_id", "began", "ended", "ok")
+    run = found.writeStream.outputMode("update").option("checkpointLocation", f"{out}-mark").trigger(availableNow=True)
+    run.foreachBatch(lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/part={n}")).start().awaitTermination()
+    rows = spark.read.parquet(out).where("event IN ('healthy', 'failing')")
+    last = rows.groupBy("key").agg(F.max_by(F.struct("event", "ok_at", "failed_at", "failures", "retry_at"), "batch").alias("s"))
+    return last.select(F.col("key").alias("user_id"), "s.*")
+
+
 _POINTS_OF = {"click": 40, "view": 25, "purchase": 35, "signup": 20, "error": -30}
 
 
@@ -557,7 +582,7 @@ def viewport_page(spark: SparkSession, sf: str) -> DataFrame:
     return selection.page(load(spark, sf, "orders").select("o_orderkey", "o_totalprice"), 101, 150, F.desc("o_totalprice"), F.col("o_orderkey"))
 
 
-@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 1 THEN 'interrupted' WHEN s_nationkey < 3 THEN 'html' WHEN s_acctbal < 0 THEN 'empty' WHEN s_acctbal * 10 < 2048 THEN 'too-small' END AS failure FROM supplier""")
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 1 THEN 'download_interrupted' WHEN s_nationkey < 3 THEN 'html_response' WHEN s_acctbal < 0 THEN 'zero_bytes' WHEN s_acctbal * 10 < 2048 THEN 'implausible_size' END AS failure FROM supplier""")
 def download_checks(spark: SparkSession, sf: str) -> DataFrame:
     size = F.when(F.col("s_acctbal") < 0, 0).otherwise(F.col("s_acctbal") * 10)
     state = F.when(F.col("s_suppkey") % 2 == 1, "in_progress").otherwise("complete")

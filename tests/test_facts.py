@@ -1,29 +1,28 @@
-"""Literal queries against the rows they state, and the operators that keep groups out of single tasks against plain versions."""
+"""Functions on small tables against the rows they must give, and the operators that keep groups out of single tasks against plain versions."""
 
 import random
 import statistics
 from collections import Counter
 
-import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.functions import pixels
 from millrace.operators import duplicates, inventory, reports, tree
 from millrace.operators.order import exact_median, with_before
-from millrace.plans import facts
 from millrace.sources.tables import list_files
+from tests.cases import CASES
 
-LITERAL = sorted(n for n, sql in facts.ORACLE_SQL.items() if sql.startswith("SELECT CAST(v0"))
 
 
 @pytest.mark.parametrize("part", range(4))
-def test_literal_queries(spark, part):
-    for name in LITERAL[part::4]:
-        df = facts.QUERIES[name](spark, "")
-        got = Counter(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.collect())
-        want = Counter(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in duckdb.sql(facts.ORACLE_SQL[name]).fetchall())
-        assert got == want, name
+def test_cases(spark, part):
+    near = lambda rows: Counter(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in rows)
+    for name in sorted(CASES)[part::4]:
+        schema, rows, make, columns, want = CASES[name]
+        made = make(spark.createDataFrame(rows, schema))
+        assert near(made.select(*(F.col(c).cast(t).alias(c) for c, t in columns)).collect()) == near(want), name
 
 
 def test_positions_and_medians(spark):

@@ -83,6 +83,6 @@ def test_joins(spark):
 def test_download_checks(spark):
     c = F.col
     expr = selection.download_failure(c("s"), c("m"), c("z"), c("e"), c("k"), F.lit(False), F.lit(True), F.lit(None).cast("string"), F.lit(True))
-    rows = [("complete", "image/png", 5000, None, "image", None), ("complete", "text/html", 5000, None, "image", "html"), ("complete", "image/png", 100, None, "image", "too-small"), ("complete", "image/png", 100, 100, "image", None), ("complete", "image/png", 0, None, "image", "empty"), ("running", None, 0, None, None, "interrupted")]
+    rows = [("complete", "image/png", 5000, None, "image", None), ("complete", "text/html", 5000, None, "image", "html_response"), ("complete", "image/png", 100, None, "image", "implausible_size"), ("complete", "image/png", 100, 100, "image", None), ("complete", "image/png", 0, None, "image", "zero_bytes"), ("running", None, 0, None, None, "download_interrupted")]
     df = spark.createDataFrame([(i, *r[:5]) for i, r in enumerate(rows)], "i int, s string, m string, z long, e long, k string").orderBy("i")
     assert [r[0] for r in df.select(expr).collect()] == [r[5] for r in rows]
