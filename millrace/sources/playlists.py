@@ -82,6 +82,11 @@ def hls_segments(lines: DataFrame) -> DataFrame:
     return s.select("file", "seq", "url", "duration", F.when(F.col("range_length").isNotNull(), start).alias("range_start"), "range_length", "key_uri")
 
 
+def pick_renditions(renditions: DataFrame, group: str, url: str, default: Column, *order: str) -> DataFrame:
+    """(group, url) of the rendition to play with each group: the default one, else the first, of those with an address."""
+    return renditions.where(F.col(url).isNotNull()).groupBy(group).agg(F.min_by(url, F.struct((~default).alias("_d"), *order)).alias(url))
+
+
 def pick_variant(variants: DataFrame, height: int | None = None) -> DataFrame:
     """One variant a file: the widest bandwidth; with a height, the best that is no taller, else the lowest."""
     tall = F.regexp_extract("resolution", r"x(\d+)$", 1).try_cast("int")
