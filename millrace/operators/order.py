@@ -16,13 +16,15 @@ def with_before(rows: DataFrame, keys: list[str], count: str) -> DataFrame:
     sort, written; running sums go on from the totals of the partitions before, a row a partition."""
     placed = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_m", F.monotonically_increasing_id())
     at = materialize(placed.withColumn("_p", F.shiftright("_m", 33).cast("int")).withColumn("_at", F.col("_m").bitwiseAND(F.lit(_ROW))).drop("_m"), "ordered")
-    so_far, out = 0, []
+    so_far, firsts = 0, []
     for r in sorted(at.groupBy("_p").agg(F.sum(count).alias("n")).collect(), key=lambda r: r["_p"]):
-        out.append((r["_p"], so_far))
+        firsts.append((r["_p"], so_far))
         so_far += r["n"]
-    starts = rows.sparkSession.createDataFrame(out, "_p int, _s long")
+    starts = rows.sparkSession.createDataFrame(firsts, "_p int, _s long")
     run = F.coalesce(F.sum(count).over(W.partitionBy("_p").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return at.withColumn("before", run).join(F.broadcast(starts), "_p").withColumn("before", F.col("before") + F.col("_s")).drop("_p", "_at", "_s")
+    out = at.withColumn("before", run).join(F.broadcast(starts), "_p").withColumn("before", F.col("before") + F.col("_s")).drop("_p", "_at", "_s")
+    out._written_to = at._written_to  # release() of the result deletes the sorted table
+    return out
 
 
 def exact_median(df: DataFrame, group: str, value: str) -> DataFrame:

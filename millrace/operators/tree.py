@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions import entries
 from millrace.operators.inventory import head_and_tail
+from millrace.operators.order import with_before
+from millrace.plans.materialize import materialize, release
 
 
 def ancestors(path: Column) -> Column:
@@ -71,20 +73,74 @@ def capped_folders(folders: DataFrame, group: str, name: str, limit: int = 60) -
     return budgeted(rows, [group], limit, F.col("_p"), low, F.col(name)).drop("_p")
 
 
+def _by_worth(folders: DataFrame, path: str, savings: str) -> DataFrame:
+    """``folders`` with ``before``, the lines that cheaper cuts save: by tier, then most lines, deepest, path."""
+    text = F.array_join(path, "/")
+    keyed = folders.select("*", entries.prune_tier(F.col(path)).alias("tier"), (-F.col(savings)).alias("_s1"), (-F.size(path)).alias("_s2"), F.lower(text).alias("_s3"), text.alias("_s4"))
+    return with_before(keyed, ["tier", "_s1", "_s2", "_s3", "_s4"], savings)
+
+
 def pruned(folders: DataFrame, path: str, savings: str, excess: int) -> DataFrame:
     """Adds ``cut``: folders that give up their contents, cheapest first (tier, then most lines saved, deepest, path), until
-    ``excess`` lines are saved. Folders do not contain one another here: a driver picks disjoint candidates before.
+    ``excess`` lines are saved. Folders do not contain one another here; for those that do there is :func:`cut_to_budget`.
+
+    The order is one range-partitioned sort over all candidates, written; no task sees all of them.
+    """
+    placed = _by_worth(folders, path, savings)
+    return placed.withColumn("cut", F.col("before") < excess).drop("before", "_s1", "_s2", "_s3", "_s4")
+
+
+def line_counts(nodes: DataFrame, path: str = "path") -> DataFrame:
+    """(path, lines) of each folder: the lines that what lies below it takes in a drawn tree, one a node. Each node adds one
+    to each of its ancestors, so no level waits for another. The root is the empty path."""
+    return nodes.where(F.size(path) > 0).select(F.explode(ancestors(F.col(path))).alias(path)).groupBy(path).agg(F.count(F.lit(1)).alias("lines"))
+
+
+def drawn_lines(nodes: DataFrame, path: str = "path", is_folder: str = "is_folder") -> int:
+    """The lines of a whole tree: one a node, and where the root holds two folders or more a blank line before the first and
+    after each that something follows."""
+    top = F.size(path) == 1
+    n = nodes.where(F.size(path) > 0).agg(F.count(F.lit(1)).alias("all"), F.count_if(top & F.col(is_folder)).alias("folders"), F.count_if(top & ~F.col(is_folder)).alias("others")).first()
+    return n["all"] + (n["folders"] + (n["others"] > 0) if n["folders"] >= 2 else 0)
+
+
+def cut_to_budget(nodes: DataFrame, most: int, path: str = "path", is_folder: str = "is_folder") -> DataFrame:
+    """(path, tier, lines) of the folders that give up their contents until a tree takes at most ``most`` lines, and the lines
+    that each saves: greedily, the folder of the lowest tier first, then the one that saves most, deepest, by path.
 
-    The order is one sort over all candidates of a tree; running sums go by partitions of that order, each partition's total
-    is one row, so no task sees all candidates.
+    Folders may contain one another. Within a tier an outer folder always saves more than one inside it, so only outermost
+    folders of a tier are ever chosen, and they don't touch each other's savings: a tier is one sort of its outermost
+    folders with running sums. After it what lies in a cut folder is gone, and what it saved is taken from its ancestors. So
+    the serial order is kept in at most ten rounds, each of joins on exploded ancestors; what is left is written.
     """
-    keys = [entries.prune_tier(F.col(path)).alias("tier"), (-F.col(savings)).alias("s"), (-F.size(path)).alias("d"), F.lower(F.array_join(path, "/")).alias("p")]
-    ordered = folders.select("*", *keys).repartitionByRange("tier", "s", "d", "p").sortWithinPartitions("tier", "s", "d", "p")
-    placed = ordered.withColumn("_m", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_m", 33).cast("int"))
-    totals = placed.groupBy("_part").agg(F.sum(savings).alias("_t"))
-    before = totals.select("_part", (F.sum("_t").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, 0)) - F.col("_t")).alias("_before"))
-    inside = F.sum(savings).over(W.partitionBy("_part").orderBy("_m").rowsBetween(W.unboundedPreceding, 0)) - F.col(savings)
-    return placed.join(F.broadcast(before), "_part").withColumn("cut", inside + F.col("_before") < excess).drop("_m", "_part", "_before", "s", "d", "p")
+    excess = drawn_lines(nodes, path, is_folder) - most
+    folders = materialize(nodes.where(F.col(is_folder)).select(path).distinct().join(line_counts(nodes, path), path).withColumn("tier", entries.prune_tier(F.col(path))), "tree")
+    chosen = []
+    for tier in range(10):
+        if excess <= 0:
+            break
+        here = folders.where((F.col("tier") == tier) & (F.col("lines") > 0)).drop("tier")
+        inner = here.select(path, F.explode(ancestors(F.col(path))).alias("_up")).join(here.select(F.col(path).alias("_up")), "_up", "left_semi").select(path).distinct()
+        placed = _by_worth(here.join(inner, path, "left_anti"), path, "lines")
+        cut = materialize(placed.where(F.col("before") < excess).select(path, "tier", "lines"), "cuts")
+        release(placed)
+        saved = cut.agg(F.coalesce(F.sum("lines"), F.lit(0))).first()[0]
+        chosen.append(cut)
+        if not saved:
+            continue
+        excess -= saved
+        less = cut.select(F.explode(ancestors(F.col(path))).alias(path), "lines").groupBy(path).agg(F.sum("lines").alias("_less"))
+        gone = folders.select(path, F.explode(F.concat(ancestors(F.col(path)), F.array(path))).alias("_up")).join(cut.select(F.col(path).alias("_up")), "_up", "left_semi").select(path).distinct()
+        left = folders.join(gone, path, "left_anti").join(less, path, "left").select(path, (F.col("lines") - F.coalesce("_less", F.lit(0))).alias("lines"), "tier")
+        last, folders = folders, materialize(left, "tree")
+        release(last)
+    release(folders)
+    if not chosen:
+        return nodes.limit(0).select(path, F.lit(0).alias("tier"), F.lit(0).cast("bigint").alias("lines"))
+    out = chosen[0]
+    for part in chosen[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def rendered_tree(nodes: DataFrame, path: str = "path", is_folder: str = "is_folder") -> DataFrame:

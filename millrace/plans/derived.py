@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions import entries, hashes, hls, library, markup, media, mime, names, urls
+from millrace.functions import entries, frames, hashes, hls, library, markup, media, mime, names, urls
 from millrace.operators import duplicates, instances, reports, selection, sets, tree
 from millrace.operators.hamming import links
 from millrace.plans.catalogue import query
@@ -725,3 +725,80 @@ def report_json(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT count(*) AS pairs_compared, CAST(9 AS BIGINT) AS clusters, count(*) FILTER (l_partkey % 4 = 0) AS duplicates, count(*) FILTER (l_partkey % 4 = 1) AS variants, count(*) FILTER (l_partkey % 4 > 1) AS different_sampled FROM lineitem""")
 def report_stats(spark: SparkSession, sf: str) -> DataFrame:
     return reports.report_stats(_compared(spark, sf), 9)
+
+
+def _extent_sql(flags: str, n: int) -> str:
+    """SQL of how far flags reach over gaps of at most two; 0 unless the first three hold."""
+    stop = f"coalesce(list_min(list_filter(range(1, {n - 1}), lambda i: NOT {flags}[i] AND NOT {flags}[i + 1] AND NOT {flags}[i + 2])), {n + 1})"
+    return f"CASE WHEN {flags}[1] AND {flags}[2] AND {flags}[3] THEN coalesce(list_max(list_filter(range(1, {n + 1}), lambda j: j < {stop} AND {flags}[j])), 0) ELSE 0 END"
+
+
+_FRAME = "CASE WHEN vec_id % 4 = 0 AND (i // 32 < 4 OR i // 32 >= 28) THEN 16 WHEN vec_id % 4 = 1 AND (i % 32 < 5 OR i % 32 >= 27) THEN 16 ELSE CAST(floor(CAST(embedding[i // 128 * 8 + i % 32 // 4 + 1] AS DOUBLE) * 200) AS BIGINT) + 128 END"
+
+
+def _lines_sql(pixel: str) -> str:
+    return f"list_transform(range(32), lambda a: list_sort(list_transform(range(32), lambda b: v[{pixel} + 1])))"
+
+
+@query(f"""WITH f AS (SELECT vec_id, list_transform(range(1024), lambda i: {_FRAME}) AS v FROM embeddings),
+l AS (SELECT vec_id, v, {_lines_sql("a * 32 + b")} AS rows, {_lines_sql("b * 32 + a")} AS cols FROM f),
+g AS (SELECT *, list_transform(rows, lambda o: o[28] - o[4] <= 12) AS rf, list_transform(cols, lambda o: o[28] - o[4] <= 12) AS cf FROM l),
+e AS (SELECT *, {_extent_sql("rf", 32)} AS top, {_extent_sql("list_reverse(rf)", 32)} AS bottom, {_extent_sql("cf", 32)} AS lft, {_extent_sql("list_reverse(cf)", 32)} AS rgt FROM g),
+b AS (SELECT *, least(top, bottom) >= 2 AND top + bottom >= 4 AND least(top, bottom) / greatest(top, bottom, 1) >= 0.55 AND 32 - top - bottom >= 4.8 AND abs(list_avg(flatten(rows[1:top])) - list_avg(flatten(rows[33 - bottom:32]))) <= 18 AS across,
+  least(lft, rgt) >= 2 AND lft + rgt >= 4 AND least(lft, rgt) / greatest(lft, rgt, 1) >= 0.55 AND 32 - lft - rgt >= 4.8 AND abs(list_avg(flatten(cols[1:lft])) - list_avg(flatten(cols[33 - rgt:32]))) <= 18 AS along FROM e)
+SELECT vec_id, CAST(CASE WHEN across THEN top END AS INT) AS top, CAST(CASE WHEN across THEN 32 - top - bottom END AS INT) AS height, CAST(CASE WHEN along THEN lft END AS INT) AS "left", CAST(CASE WHEN along THEN 32 - lft - rgt END AS INT) AS width,
+  array_to_string(list_transform(range(16), lambda k: CAST(CAST(round(list_sum(list_transform(range(64), lambda p: v[(k // 4 * 8 + p // 8) * 32 + k % 4 * 8 + p % 8 + 1])) * 1000 / 64) AS BIGINT) AS VARCHAR)), ',') AS grid FROM b""")
+def frame_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars of frames made of embeddings, and their mean brightness over a grid."""
+    k, i = F.col("vec_id") % 4, lambda n, m: F.floor(n / m).cast("int")
+    cell = lambda p: F.floor(F.get("embedding", i(p, 128) * 8 + i(p % 32, 4)).cast("double") * 200) + 128
+    pixel = lambda p: F.when((k == 0) & ((i(p, 32) < 4) | (i(p, 32) >= 28)), 16).when((k == 1) & ((p % 32 < 5) | (p % 32 >= 27)), 16).otherwise(cell(p)).cast("double")
+    rows = load(spark, sf, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(1023)), pixel).alias("p"), F.lit(32).alias("w"))
+    found = rows.select("vec_id", frames.content_candidates("p", "w").alias("c"), frames.mean_grid(4)("p", "w").alias("m"))
+    uniform = lambda axis: F.get(F.filter("c", lambda x: (x["method"] == "uniform") & (x[axis] > 0)), F.lit(0))
+    across, along = uniform("top"), uniform("left")
+    grid = F.array_join(F.transform("m", lambda x: F.round(x * 1000).cast("bigint").cast("string")), ",")
+    return found.select("vec_id", across["top"].alias("top"), across["height"].alias("height"), along["left"].alias("left"), along["width"].alias("width"), grid.alias("grid"))
+
+
+# A tree that is cut to a budget ----------------------------------------------------------------------------------------------------------
+
+_DEEP = Picked(["d0", "tmp", "lib", "d3"], "o_orderkey // 7")
+_BUDGET = 2_000
+
+
+def _deep_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    deep = Picked(_DEEP.values, "floor(o_orderkey / 7)").column
+    file = Picked(_FILE.values, "floor(o_orderkey / 3)").column
+    files = load(spark, sf, "orders").select(F.array(_TOP.column, _MIDDLE.column, _LOW.column, deep, file).alias("path")).distinct()
+    folders = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.slice("path", F.lit(1), k))).alias("path")).distinct()
+    return files.withColumn("is_folder", F.lit(False)).unionByName(folders.withColumn("is_folder", F.lit(True)))
+
+
+def _cut_sql() -> str:
+    protected, cheap = _list(entries.PROTECTED_FOLDERS), _list(entries.LOW_VALUE_FOLDERS)
+    kept, low = f"list_contains({protected}, lower(path[-1]))", f"list_has_any(list_transform(path, lambda x: lower(x)), {cheap})"
+    tier = f"CASE WHEN {low} THEN CASE WHEN len(path) >= 2 THEN 0 ELSE 1 END WHEN NOT {kept} THEN CASE len(path) WHEN 4 THEN 2 WHEN 3 THEN 3 WHEN 2 THEN 4 ELSE 8 END ELSE CASE len(path) WHEN 4 THEN 5 WHEN 3 THEN 6 WHEN 2 THEN 7 ELSE 9 END END"
+    parts = [f"""f AS (SELECT DISTINCT [{_TOP.sql}, {_MIDDLE.sql}, {_LOW.sql}, {_DEEP.sql}, {_FILE.sql}] AS path FROM orders), d AS (SELECT DISTINCT path[1:k] AS path FROM f, (SELECT unnest([1, 2, 3, 4]) AS k)),
+n AS (SELECT path FROM f UNION ALL SELECT path FROM d), b AS (SELECT path[1:k] AS path, count(*) AS lines FROM n, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE k < len(path) GROUP BY 1),
+s0 AS MATERIALIZED (SELECT path, lines, {tier} AS tier FROM b), e0 AS MATERIALIZED (SELECT (SELECT count(*) FROM n) + (SELECT count(*) FROM d WHERE len(path) = 1) - {_BUDGET} AS excess)"""]
+    above = "len({0}.path) {2} len({1}.path) AND {1}.path[1:len({0}.path)] = {0}.path"
+    for t in range(10):
+        parts.append(f"""o{t} AS MATERIALIZED (SELECT * FROM s{t} c WHERE tier = {t} AND lines > 0 AND NOT EXISTS (SELECT 1 FROM s{t} q WHERE q.tier = {t} AND q.lines > 0 AND {above.format("q", "c", "<")})),
+x{t} AS MATERIALIZED (SELECT path, tier, lines FROM (SELECT *, sum(lines) OVER (ORDER BY lines DESC, len(path) DESC, lower(array_to_string(path, '/')), array_to_string(path, '/') ROWS UNBOUNDED PRECEDING) - lines AS before FROM o{t}) WHERE before < (SELECT excess FROM e{t})),
+e{t + 1} AS MATERIALIZED (SELECT excess - (SELECT coalesce(sum(lines), 0) FROM x{t}) AS excess FROM e{t}),
+l{t} AS MATERIALIZED (SELECT s.path, sum(x.lines) AS less FROM s{t} s JOIN x{t} x ON {above.format("s", "x", "<")} GROUP BY 1),
+s{t + 1} AS MATERIALIZED (SELECT s.path, s.lines - coalesce(less, 0) AS lines, tier FROM s{t} s LEFT JOIN l{t} ON s.path = l{t}.path WHERE NOT EXISTS (SELECT 1 FROM x{t} x WHERE {above.format("x", "s", "<=")}))""")
+    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(f"SELECT array_to_string(path, '/') AS folder, CAST(tier AS INT) AS tier, CAST(lines AS BIGINT) AS lines FROM x{t}" for t in range(10))
+
+
+@query(_cut_sql())
+def tree_cuts(spark: SparkSession, sf: str) -> DataFrame:
+    """Folders that give up their contents so that a drawn tree keeps to a number of lines."""
+    return tree.cut_to_budget(_deep_nodes(spark, sf), _BUDGET).select(F.array_join("path", "/").alias("folder"), "tier", "lines")
+
+
+@query(f"""WITH f AS (SELECT DISTINCT [{_TOP.sql}, {_MIDDLE.sql}, {_LOW.sql}, {_DEEP.sql}, {_FILE.sql}] AS path FROM orders), n AS (SELECT path FROM f UNION ALL SELECT DISTINCT path[1:k] FROM f, (SELECT unnest([1, 2, 3, 4]) AS k))
+SELECT '/' || array_to_string(path[1:k], '/') AS folder, count(*) AS lines FROM n, (SELECT unnest([0, 1, 2, 3, 4]) AS k) WHERE k < len(path) GROUP BY 1""")
+def tree_line_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return tree.line_counts(_deep_nodes(spark, sf)).select(F.concat(F.lit("/"), F.array_join("path", "/")).alias("folder"), "lines")
