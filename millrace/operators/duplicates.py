@@ -69,6 +69,16 @@ def hamming_pairs(df: DataFrame, item: str, bits: str, radius: int) -> DataFrame
     return item_pairs(df, item, bits, radius)
 
 
+def group_order(label: Column, members: Column, first: Column) -> list[Column]:
+    """Sort columns of groups of duplicates: identical ones first, then the larger, then by their first member."""
+    return [(label != "identical").cast("int").asc(), members.desc(), F.lower(first).asc(), first.asc()]
+
+
+def cluster_order(first: Column, item: Column) -> list[Column]:
+    """Sort columns of clusters: by the path of their first member in any case, then by their id."""
+    return [F.lower(first).asc(), item.asc()]
+
+
 def merge_edges(*kinds: tuple[DataFrame, str, int]) -> DataFrame:
     """One edge for each unordered pair of the tables (a, b), with the kind of the highest priority."""
     parts = [e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(k).alias("kind"), F.lit(p).alias("p")) for e, k, p in kinds]

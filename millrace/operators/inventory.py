@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.operators.order import exact_median
+
 
 def roll_up(files: DataFrame, folders: str = "folders", size: str = "size") -> DataFrame:
     """(folder, depth, files, bytes) of every folder with all that lies below it; the root is ``/``.
@@ -70,9 +72,31 @@ def snapshot_digest(df: DataFrame, group: list[str], *columns: str) -> DataFrame
     return sums.select(*group, F.sha2(F.concat_ws("|", F.col("s").cast("string"), F.col("n").cast("string")), 256).alias("digest"), "n")
 
 
+def fixed_order_counts(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """(place, key, n) of the values that occur, in a fixed order; what the order does not name comes after, by name."""
+    n = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    place = F.array_position(F.array(*map(F.lit, order)), F.col(key))
+    return n.select(F.when(place > 0, place).otherwise(len(order) + 1).cast("int").alias("place"), key, "n")
+
+
+def source_counts(df: DataFrame, source: str, prefix: str = "content_") -> DataFrame:
+    """(source, n, override): how often each source decided, unknown ones as ``unknown``, and whether it overrides others."""
+    named = F.coalesce(F.nullif(F.col(source), F.lit("")), F.lit("unknown"))
+    n = df.groupBy(named.alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("override", F.col("source").startswith(prefix))
+
+
+def _deviations(df: DataFrame, value: str) -> DataFrame:
+    """(_g, mad): the median distance of each group's values from their median, exactly."""
+    rows = df.select("_g", F.col(value).cast("double").alias("v"))
+    mid = exact_median(rows, "_g", "v").select("_g", F.col("median").alias("m"))
+    return exact_median(rows.join(mid, "_g").select("_g", F.abs(F.col("v") - F.col("m")).alias("v")), "_g", "v").select("_g", F.col("median").alias("mad"))
+
+
 def stability(df: DataFrame, group: list[str], centre: str, size: str) -> DataFrame:
-    """Median absolute deviations of two measures in each group, and the score that falls with them."""
-    mid = df.groupBy(*group).agg(F.median(centre).alias("mc"), F.median(size).alias("ms"))
-    off = df.join(mid, group).groupBy(*group).agg(F.median(F.abs(F.col(centre) - F.col("mc"))).alias("centre_mad"), F.median(F.abs(F.col(size) - F.col("ms"))).alias("size_mad"))
+    """Median absolute deviations of two measures in each group, and the score that falls with them. Medians are exact and
+    found by position (:func:`order.exact_median`), so no group is held in one task."""
+    rows = df.withColumn("_g", F.struct(*group))
+    off = _deviations(rows, centre).withColumnRenamed("mad", "centre_mad").join(_deviations(rows, size).withColumnRenamed("mad", "size_mad"), "_g", "full_outer")
     score = 1 - 0.5 * F.col("centre_mad") / 0.07 - 0.5 * F.col("size_mad") / 0.09
-    return off.withColumn("stability", F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)))
+    return off.select("_g.*", "centre_mad", "size_mad").withColumn("stability", F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)))

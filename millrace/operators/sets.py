@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -56,12 +57,26 @@ def membership(nodes: DataFrame, pairs: DataFrame, heads: DataFrame) -> DataFram
     return link.select("component", "node", how.alias("link"))
 
 
+def have_common(a: DataFrame, b: DataFrame, key: Column) -> bool:
+    """Whether two tables share a key; the search ends with the first one."""
+    return bool(a.select(key.alias("_k")).join(b.select(key.alias("_k")), "_k", "left_semi").limit(1).count())
+
+
+def reconciled(selected: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """What is selected and still known."""
+    return selected.join(known.select(key), key, "left_semi")
+
+
 def mutual_nearest(a: DataFrame, b: DataFrame, distance: Column, ratio: float, *on: str) -> DataFrame:
-    """(a, b, distance) of descriptors (id, ...) that are each other's nearest within the same block ``on``, with the second
-    nearest at least 1 / ratio as far. Blocks bound what is compared: pairs are formed within one only."""
-    pairs = a.select(*on, F.struct(*a.columns).alias("x")).join(b.select(*on, F.struct(*b.columns).alias("y")), list(on)).withColumn("d", distance)
-    best = lambda side: pairs.groupBy(*on, F.col(f"{side}.id").alias(f"_{side}")).agg(F.min_by(F.col("y.id" if side == "x" else "x.id"), F.struct("d", "y.id" if side == "x" else "x.id")).alias("_best"), F.sort_array(F.collect_list("d")).alias("_ds"))
-    clear = lambda df: df.where((F.size("_ds") < 2) | (F.get("_ds", F.lit(0)) < ratio * F.get("_ds", F.lit(1))))
-    left, right = clear(best("x")), clear(best("y"))
-    both = left.select(*on, F.col("_x").alias("a"), F.col("_best").alias("b"), F.get("_ds", F.lit(0)).alias("distance"))
-    return both.join(right.select(*on, F.col("_y").alias("b"), F.col("_best").alias("a")), [*on, "a", "b"])
+    """(on, a, b, distance) of descriptors (id, ...) that are each other's nearest within the same block ``on``, with the second
+    nearest at least 1 / ratio as far. Blocks bound what is compared: pairs are formed within one only, and of each
+    descriptor's pairs but two are kept before anything is shuffled for their sake."""
+    pairs = a.select(*on, F.struct(*a.columns).alias("x")).join(b.select(*on, F.struct(*b.columns).alias("y")), list(on)).select(*on, F.col("x.id").alias("a"), F.col("y.id").alias("b"), distance.alias("d"))
+
+    def clear(own: str, other: str) -> DataFrame:
+        nearest = W.partitionBy(*on, own).orderBy("d", other)
+        two = pairs.withColumn("_r", F.row_number().over(nearest)).where("_r <= 2")
+        best = two.groupBy(*on, own).agg(F.min_by(other, "_r").alias(other), F.min("d").alias("distance"), F.max(F.when(F.col("_r") == 2, F.col("d"))).alias("_next"))
+        return best.where(F.col("_next").isNull() | (F.col("distance") < ratio * F.col("_next"))).drop("_next")
+
+    return clear("a", "b").join(clear("b", "a").drop("distance"), [*on, "a", "b"])

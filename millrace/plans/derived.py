@@ -7,11 +7,12 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions import entries, frames, hashes, hls, library, markup, media, mime, names, urls
-from millrace.operators import duplicates, instances, reports, selection, sets, tree
+from millrace.functions import entries, frames, hashes, hls, images, library, markup, media, messages, mime, names, urls
+from millrace.operators import duplicates, gallery, instances, inventory, reports, selection, sets, tree
 from millrace.operators.hamming import links
 from millrace.plans.catalogue import query
-from millrace.sources import playlists, probes
+from millrace.plans.materialize import new_path
+from millrace.sources import playlists, probes, tables
 from millrace.sources.tables import load
 
 
@@ -802,3 +803,165 @@ def tree_cuts(spark: SparkSession, sf: str) -> DataFrame:
 SELECT '/' || array_to_string(path[1:k], '/') AS folder, count(*) AS lines FROM n, (SELECT unnest([0, 1, 2, 3, 4]) AS k) WHERE k < len(path) GROUP BY 1""")
 def tree_line_counts(spark: SparkSession, sf: str) -> DataFrame:
     return tree.line_counts(_deep_nodes(spark, sf)).select(F.concat(F.lit("/"), F.array_join("path", "/")).alias("folder"), "lines")
+
+
+# Found images, messages, paths ------------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH i AS (SELECT p_partkey AS k, 'u' || p_partkey AS url, p_size * 30 AS w, CAST(p_partkey % 1200 AS INT) AS h, p_partkey % 7 = 0 AS hidden FROM part), d AS (SELECT DISTINCT 'u' || c_custkey AS url FROM customer WHERE c_custkey % 3 = 0),
+s AS (SELECT * FROM i WHERE NOT hidden AND url NOT IN (SELECT url FROM d) AND greatest(w, h) >= 200)
+SELECT 'largest' AS mode, k FROM (SELECT k FROM s ORDER BY w * h DESC, k LIMIT 40) UNION ALL SELECT 'smallest', k FROM (SELECT k FROM s ORDER BY w * h, k LIMIT 40) UNION ALL SELECT 'newest', k FROM (SELECT k FROM s ORDER BY k LIMIT 40)
+UNION ALL SELECT 'large', k FROM s WHERE w >= 1000 OR h >= 1000 UNION ALL SELECT 'medium', k FROM s WHERE (w >= 500 OR h >= 500) AND w < 1000 AND h < 1000""")
+def gallery_images(spark: SparkSession, sf: str) -> DataFrame:
+    """Images that a gallery shows, by band and order."""
+    k = F.col("p_partkey")
+    images = load(spark, sf, "part").select(k.alias("k"), F.concat(F.lit("u"), k.cast("string")).alias("url"), (F.col("p_size") * 30).alias("w"), (k % 1200).cast("int").alias("h"), (k % 7 == 0).alias("hidden"))
+    done = load(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("url"))
+    band = lambda name: gallery.shown(images, done, "url", "hidden", "w", "h", 200, name)
+    first = [band("all").orderBy(*gallery.gallery_order(m, F.col("w"), F.col("h"), F.col("k"))).limit(40).select(F.lit(m).alias("mode"), "k") for m in ("largest", "smallest", "newest")]
+    return functools.reduce(DataFrame.unionByName, [*first, *(band(m).select(F.lit(m).alias("mode"), "k") for m in ("large", "medium"))])
+
+
+@query("""WITH r AS (SELECT o_orderkey AS k, o_custkey AS c, CASE WHEN o_orderkey % 3 = 0 THEN 'video' ELSE 'image' END AS kind, CASE WHEN o_orderkey % 11 > 0 THEN o_orderkey % 6000 END AS size FROM orders) SELECT k, c, kind, size FROM r WHERE c IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5) OR NOT (kind = 'image' AND coalesce(size, 9999) < 3072)""")
+def images_kept(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    rows = load(spark, sf, "orders").select(k.alias("k"), F.col("o_custkey").alias("c"), F.when(k % 3 == 0, "video").otherwise("image").alias("kind"), F.when(k % 11 > 0, k % 6000).alias("size"))
+    return gallery.worth_keeping(rows, load(spark, sf, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("c")), ["c"], "kind", "size")
+
+
+_BODY = Picked(["<a class=x id='redlib'><div id=\"posts\">", "<!-- <a id='redlib'> --><div id='posts'>", "<A x ID = \"Redlib\"><DIV y id='posts'><script>x <div id='error'> y</script>", "<a id='redlib'><div id='posts'><div z id='error'>", "<a id='redlib'>", None], "o_orderkey")
+_FINAL = Picked(["https://Red.example/r", "https://red.example", "https://other.example/r", None, "https://red.example:8443/"], "o_custkey")
+_HEADERS = Picked(["server: x\r\nContent-Type: text/html; charset=utf-8", "content-type: application/json", "Content-Type:text/htmlx", None, "content-type: text/html"], "o_orderkey + o_custkey")
+
+
+@query(rf"""WITH r AS (SELECT o_orderkey, {_BODY.sql} AS body, {_FINAL.sql} AS final, {_HEADERS.sql} AS headers, 150 + o_orderkey % 160 AS status FROM orders)
+SELECT o_orderkey, coalesce(status BETWEEN 200 AND 299 AND lower(regexp_extract(final, '^(https://[^/]*)', 1)) = 'https://red.example' AND regexp_matches(headers, '(?im)^content-type:\s*text/html\b')
+  AND regexp_matches(regexp_replace(body, '(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>', '', 'g'), '(?i)<a\b[^>]*\sid\s*=\s*["'']redlib["'']') AND contains(lower(regexp_replace(body, '(?is)<!--.*?-->', '')), 'posts') AND NOT regexp_matches(regexp_replace(body, '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g'), 'id=''error'''), false) AS valid FROM r""")
+def feed_checks(spark: SparkSession, sf: str) -> DataFrame:
+    rows = load(spark, sf, "orders").select("o_orderkey", _BODY.column.alias("body"), _FINAL.column.alias("final"), _HEADERS.column.alias("headers"), (150 + F.col("o_orderkey") % 160).alias("status"))
+    return rows.select("o_orderkey", messages.valid_feed(F.col("status"), F.col("final"), F.lit("https://red.example"), F.col("headers"), F.col("body")).alias("valid"))
+
+
+_ACTION = Picked(['"probe:media-play"', '"probe:mse-append"', '"other"', "7", '"probe:eme-detected"'], "o_orderkey")
+_WIDE = Picked(["640", '"640"', "null", "12.5", "true"], "o_custkey")
+_SORT = Picked(['"video"', '"blob"', "1", '"stream"'], "o_orderkey + o_custkey")
+
+
+@query(f"""WITH r AS (SELECT o_orderkey, o_custkey, {_ACTION.sql} AS a, {_WIDE.sql} AS w, {_SORT.sql} AS s FROM orders), k AS (SELECT *, a <> '7' AND o_orderkey % 13 > 0 AND o_orderkey % 17 > 0 AS ok FROM r)
+SELECT o_orderkey, CASE WHEN ok THEN trim(a, '"') END AS action, CASE WHEN ok THEN 'https://x/' || o_orderkey END AS url, CASE WHEN ok AND w IN ('640', '12.5') THEN CAST(w AS DOUBLE) END AS width, CASE WHEN ok AND s IN ('"video"', '"stream"') THEN trim(s, '"') END AS kind,
+  CASE WHEN ok THEN repeat('t', least(512, o_custkey)) END AS page_title, CASE WHEN ok THEN o_orderkey % 2 = 0 END AS is_drm, CASE WHEN ok THEN CASE a WHEN '"probe:media-play"' THEN 'played' WHEN '"probe:mse-append"' THEN 'mse-appended' WHEN '"probe:eme-detected"' THEN 'network' ELSE 'dom-attached' END END AS evidence FROM k""")
+def bridge_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages of pages as JSON, of which only the known shape is let in; some are no JSON or lack an address."""
+    k = F.col("o_orderkey")
+    address = F.when(k % 13 == 0, "5").otherwise(F.concat(F.lit('"https://x/'), k.cast("string"), F.lit('"')))
+    text = F.concat(F.lit('{"evidence": '), _ACTION.column, F.lit(', "url": '), address, F.lit(', "width": '), _WIDE.column, F.lit(', "kind": '), _SORT.column, F.lit(', "more": [1], "pageTitle": "'), F.repeat(F.lit("t"), F.col("o_custkey").cast("int")), F.lit('", "isDRM": '), F.when(k % 2 == 0, "true").when(k % 3 == 0, '"true"').otherwise("false"), F.when(k % 17 == 0, "").otherwise("}"))
+    rows = load(spark, sf, "orders").select("o_orderkey", messages.bridge_message(text).alias("m"))
+    return rows.select("o_orderkey", *(F.col(f"m.{c}").alias(c) for c in ("action", "url", "width", "kind", "page_title", "is_drm", "evidence")))
+
+
+_MIME_OUT, _KIND_OUT = Picked(["video/webm", None, "text/html", "image/png", None], "p_partkey"), Picked(["stream", "image", "audio", "video"], "p_size")
+_LAST, _TITLE = Picked(["master.m3u8", "clip.MOV?x", "123", "", "index", "a b.tar"], "p_partkey + p_size"), Picked(["My: Title. ", None, "  ", "CON"], "p_size // 4")
+
+
+@query(rf"""WITH r AS (SELECT p_partkey, {_MIME_OUT.sql} AS m, {_KIND_OUT.sql} AS k, 'https://x.example/v/' || {_LAST.sql} AS url, {_LAST.sql} AS last, {_TITLE.sql} AS title FROM part),
+s AS (SELECT *, CASE last WHEN 'master.m3u8' THEN 'master' WHEN 'clip.MOV?x' THEN 'clip' WHEN '' THEN 'v' WHEN 'a b.tar' THEN 'a b' ELSE last END AS stem FROM r)
+SELECT p_partkey, CASE WHEN k = 'stream' AND stem IN ('master', '123', 'index') AND title IN ('My: Title. ', 'CON') THEN CASE title WHEN 'CON' THEN '_CON' ELSE 'My_ Title' END ELSE stem END AS stem,
+  coalesce(CASE m WHEN 'video/webm' THEN 'webm' WHEN 'image/png' THEN 'png' END, CASE WHEN k = 'stream' THEN 'mp4' END, nullif(lower(regexp_extract(url, '(?i)\.([a-z0-9]{{2,5}})(?:$|[?#])', 1)), ''), CASE k WHEN 'image' THEN 'jpg' WHEN 'audio' THEN 'm4a' ELSE 'mp4' END) AS extension FROM s""")
+def output_names(spark: SparkSession, sf: str) -> DataFrame:
+    rows = load(spark, sf, "part").select("p_partkey", _MIME_OUT.column.alias("m"), _KIND_OUT.column.alias("k"), F.concat(F.lit("https://x.example/v/"), _LAST.column).alias("url"), Picked(_TITLE.values, "floor(p_size / 4)").column.alias("title"))
+    return rows.select("p_partkey", messages.output_name(F.col("m"), F.col("k"), F.col("url"), F.col("title")).alias("o")).select("p_partkey", "o.*")
+
+
+_SPELT = Picked([" /pics/%.JPG ", "/pics/./%.jpg", "\\pics\\x\\..\\%.jpeg", "/pics/%.txt", "", None, "/other/%.PNG", "/gone/%.png"], "o_orderkey")
+
+
+@query(f"""WITH r AS (SELECT o_orderkey AS k, replace({_SPELT.sql}, '%', '' || o_custkey) AS p, o_orderkey % 8 AS form, o_custkey AS c FROM orders),
+n AS (SELECT k, CASE form WHEN 0 THEN '/pics/' || c || '.JPG' WHEN 1 THEN '/pics/' || c || '.jpg' WHEN 2 THEN '/pics/' || c || '.jpeg' WHEN 6 THEN '/other/' || c || '.PNG' END AS path FROM r)
+SELECT arg_min(path, k) AS path, min(k) AS k FROM n WHERE path IS NOT NULL GROUP BY upper(path)""")
+def supported_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths of images as they were given, made plain, each once, of files that are there."""
+    rows = load(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.replace(_SPELT.column, F.lit("%"), F.col("o_custkey").cast("string")).alias("path"))
+    live = load(spark, sf, "customer").select(F.explode(F.array(*(F.concat(F.lit(p), F.col("c_custkey").cast("string"), F.lit(e)) for p in ("/pics/", "/other/") for e in (".jpg", ".JPEG", ".png")))).alias("path"))
+    return selection.supported_paths(rows, "path", [".jpg", ".jpeg", ".png"], F.col("k"), live=live).select("path", "k")
+
+
+@query(f"""WITH s AS (SELECT list_concat([{_TOP.sql}, {_MIDDLE.sql}, {_LOW.sql}, {_DEEP.sql}][1:1 + o_orderkey % 4], [{_FILE.sql}]) AS parts, o_orderkey FROM orders),
+f AS (SELECT *, list_transform(parts[1:len(parts) - 1], lambda x: lower(x)) AS low FROM s),
+t AS (SELECT *, CASE WHEN list_has_any(low, {_list(entries.COLLAPSED)}) OR (low[1] = '.claude' AND low[2] = 'worktrees') THEN 'collapsed' WHEN len(list_filter(parts, lambda x: x LIKE '.%')) > 0 THEN 'hidden' WHEN len(low) > 3 THEN 'deep'
+  WHEN NOT regexp_matches(lower(parts[-1]), '\\.(jpg|png|mp4)$') OR list_contains(list_transform(parts, lambda x: lower(x)), 'thumbs') THEN 'filtered' ELSE 'shown' END AS state FROM f)
+SELECT parts[1] AS folder, state, count(*) AS files, CAST(sum(o_orderkey % 100) AS BIGINT) AS bytes FROM t GROUP BY 1, 2""")
+def scan_states(spark: SparkSession, sf: str) -> DataFrame:
+    """What a scan shows of each top folder, and what it does not and why."""
+    deep, file = Picked(_DEEP.values, "floor(o_orderkey / 7)").column, Picked(_FILE.values, "floor(o_orderkey / 3)").column
+    inner = F.slice(F.array(_TOP.column, _MIDDLE.column, _LOW.column, deep), F.lit(1), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    rows = load(spark, sf, "orders").select(F.concat(inner, F.array(file)).alias("parts"), (F.col("o_orderkey") % 100).alias("size"))
+    return tables.scan_counts(tables.scanned(rows, "parts", ["*.jpg", "*.png", "*.mp4"], ["thumbs"], 3), "parts", "size")
+
+
+@query(f"""WITH h AS (SELECT CASE WHEN lower({_TRANSFER.sql}) = 'smpte2084' THEN 'HDR10' WHEN lower({_TRANSFER.sql}) = 'arib-std-b67' THEN 'HLG' ELSE 'SDR' END AS label FROM part)
+SELECT CAST(CASE label WHEN 'SDR' THEN 1 WHEN 'HDR10' THEN 2 WHEN 'HLG' THEN 3 END AS INT) AS place, label, count(*) AS n, false AS override FROM h GROUP BY 2
+UNION ALL SELECT 9, CASE p_size % 4 WHEN 0 THEN 'content_bars' WHEN 1 THEN 'metadata' WHEN 2 THEN 'unknown' ELSE 'content_edge' END AS label, count(*), label LIKE 'content%' FROM part GROUP BY 2""")
+def fixed_order_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Dynamic ranges in their fixed order, and the sources that decided on orientation."""
+    part = load(spark, sf, "part")
+    ranges = inventory.fixed_order_counts(part.select(media.hdr_label(_TRANSFER.column, F.lit(None)).alias("label")), "label", ["SDR", "HDR10", "HLG", "Dolby Vision"])
+    sources = inventory.source_counts(part.select(Picked(["content_bars", "metadata", None, "content_edge"], "p_size").column.alias("s")), "s")
+    return ranges.withColumn("override", F.lit(False)).unionByName(sources.select(F.lit(9).alias("place"), F.col("source").alias("label"), "n", "override"))
+
+
+@query("""WITH g AS (SELECT md5(text) AS id, count(*) AS members, min('d' || doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1), o AS (SELECT *, CASE WHEN length(first) % 2 = 0 THEN 'identical' ELSE 'similar' END AS label FROM g)
+SELECT 'groups' AS list, first FROM (SELECT first FROM o ORDER BY label <> 'identical', members DESC, lower(first) LIMIT 25) UNION ALL SELECT 'clusters', first FROM (SELECT first FROM o ORDER BY lower(first), id LIMIT 25)""")
+def group_orders(spark: SparkSession, sf: str) -> DataFrame:
+    docs = load(spark, sf, "documents").select(F.md5(F.col("text").cast("binary")).alias("id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"))
+    groups = docs.groupBy("id").agg(F.count(F.lit(1)).alias("members"), F.min("path").alias("first")).where("members > 1").withColumn("label", F.when(F.length("first") % 2 == 0, "identical").otherwise("similar"))
+    one = groups.orderBy(*duplicates.group_order(F.col("label"), F.col("members"), F.col("first"))).limit(25).select(F.lit("groups").alias("list"), "first")
+    return one.unionByName(groups.orderBy(*duplicates.cluster_order(F.col("first"), F.col("id"))).limit(25).select(F.lit("clusters").alias("list"), "first"))
+
+
+@query("""WITH p AS (SELECT page_id, unnest(regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1)) AS link FROM pages), c AS (SELECT page_id, link, 0 AS pass FROM p WHERE link LIKE 'http%' UNION ALL SELECT page_id, link, 1 FROM p)
+SELECT page_id, link, min(pass) AS pass FROM c GROUP BY 1, 2""")
+def links_united(spark: SparkSession, sf: str) -> DataFrame:
+    """Links of two passes over a page, each once, from the first that found it."""
+    links_ = load(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'<a[^>]*href="([^"]*)"'), F.lit(1))).alias("link"))
+    passes = [links_.where("link LIKE 'http%'").withColumn("pass", F.lit(0)), links_.withColumn("pass", F.lit(1))]
+    return sets.first_seen(passes, F.struct("page_id", "link"), "pass")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 OR p_size = 0 THEN NULL WHEN p_partkey % 4 = 0 THEN 'png' WHEN p_partkey % 4 = 1 THEN 'gif' ELSE 'jpeg' END AS format, CASE WHEN p_partkey % 4 < 3 THEN p_size * 9 END AS width, CASE WHEN p_partkey % 4 < 3 THEN CAST(1 + p_partkey % 700 AS INT) END AS height FROM part""")
+def image_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes of pictures from the first bytes of files; every fourth is none."""
+    k, w, h = F.col("p_partkey"), F.col("p_size") * 9, 1 + F.col("p_partkey") % 700
+    big = lambda c, n: F.lpad(F.hex(c.cast("bigint")), n, "0")
+    little = lambda c: F.concat(F.substring(big(c, 4), 3, 2), F.substring(big(c, 4), 1, 2))
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(w, 8), big(h, 8), F.lit("0806"))
+    jpeg = F.concat(F.lit("FFD8FFE0000400FFFFFFDB0003AAFFC2001108"), big(h, 4), big(w, 4), F.lit("0301"))
+    head = F.when(k % 4 == 0, png).when(k % 4 == 1, F.concat(F.lit("474946383961"), little(w), little(h), F.lit("F7"))).when(k % 4 == 2, jpeg).otherwise("25504446")
+    rows = load(spark, sf, "part").select("p_partkey", images.header_size(F.unhex(head)).alias("s"))
+    return rows.select("p_partkey", "s.*")
+
+
+@query()
+def edge_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of documents by their size and both ends."""
+    return load(spark, sf, "documents").select("doc_id", images.edge_fingerprint(64)(F.col("text").cast("binary")).alias("fingerprint"))
+
+
+@query("""WITH c AS (SELECT '' || l_orderkey AS a, '' || l_partkey AS b, ['duplicate', 'variant', 'different', 'different'][l_partkey % 4 + 1] AS label, l_returnflag AS v, format('{:.4f}', l_discount / 8) AS p, '' || l_linenumber AS n, format('{:.4f}', l_suppkey / 32) AS ca, format('{:.4f}', l_partkey / 65536) AS cb,
+  CASE WHEN l_partkey % 5 > 2 THEN format('{:.4f}', l_suppkey / 32) ELSE '' END AS r, CASE WHEN l_partkey % 3 > 0 THEN 'affine' ELSE '' END AS m FROM lineitem)
+SELECT 1 AS part, '<tr><td>' || array_to_string([a, b, label, 'geo', v, p, n, ca, cb, r, m], '</td><td>') || '</td></tr>' AS value FROM c UNION ALL SELECT 0, '<!doctype html><meta charset="utf-8"><title>Pairs</title><table>'
+UNION ALL SELECT 0, '<tr><th>a</th><th>b</th><th>label</th><th>match_kind</th><th>verification</th><th>phash_similarity</th><th>inliers</th><th>coverage_a</th><th>coverage_b</th><th>residual_median_px</th><th>model</th></tr>' UNION ALL SELECT 2, '</table>'""")
+def report_html(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.html_lines(_compared(spark, sf)).select("place.part", "value")
+
+
+@query("""WITH l AS (SELECT 'p' || page_id % 30 AS playlist, page_id AS k, CASE WHEN page_id % 2 = 0 THEN '#EXTINF:' || page_id % 500 || ',é ' || page_id END AS info, url FROM pages)
+SELECT playlist, url AS location, coalesce(info, '') AS comments, row_number() OVER (PARTITION BY playlist ORDER BY k) AS place FROM l""")
+def playlist_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Playlists written from pages as files, read back as entries."""
+    k = F.col("page_id")
+    rows = load(spark, sf, "pages").select(F.concat(F.lit("p"), (k % 30).cast("string")).alias("playlist"), "page_id", F.posexplode(F.array(F.when(k % 2 == 0, F.concat(F.lit("#EXTINF:"), (k % 500).cast("string"), F.lit(",é "), k.cast("string"))).otherwise(""), F.col("url"))).alias("i", "text"))
+    path = new_path(spark, "playlists")
+    playlists.write_files(rows, path, "playlist", "text", "page_id", "i")
+    found = playlists.entries(playlists.read_lines(spark, f"{path}/*/*.txt"))
+    place = F.row_number().over(Window.partitionBy("file").orderBy("line"))
+    return found.select(F.regexp_extract("file", "playlist=([^/]*)", 1).alias("playlist"), "location", F.array_join("comments", "|").alias("comments"), place.alias("place"))

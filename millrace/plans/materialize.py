@@ -49,6 +49,19 @@ def release(*tables: DataFrame) -> None:
             drop_path(df.sparkSession, path)
 
 
+def delete_stale(spark: SparkSession, folder: str, keep: list[str], suffix: str = "") -> list[str]:
+    """Delete what an earlier run left directly in a folder: names that end in ``suffix`` and are not to be kept. Returns the names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = []
+    for status in store.listStatus(target) if store.exists(target) else []:
+        name = status.getPath().getName()
+        if name.endswith(suffix) and name not in keep:
+            store.delete(status.getPath(), True)
+            gone.append(name)
+    return sorted(gone)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a table of :func:`materialize` through Hadoop's file system, whatever the store."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -14,6 +14,13 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("file", F.posexplode(F.split(F.regexp_replace(text, "^﻿", ""), r"\r\n|\r|\n")).alias("line", "text"))
 
 
+def write_files(lines: DataFrame, path: str, playlist: str, text: str, *order: str) -> None:
+    """Write lines as text, a folder ``playlist=name`` with one file a playlist, lines in order. A playlist is sorted by one task, which
+    spills what does not fit."""
+    rows = lines.select(F.col(playlist).alias("playlist"), *order, F.col(text).alias("value")).repartition("playlist").sortWithinPartitions("playlist", *order)
+    rows.select("playlist", "value").write.partitionBy("playlist").text(path)
+
+
 def entries(lines: DataFrame) -> DataFrame:
     """(file, line, location, comments): each line that is no comment, with the comments right before it; blank lines and
     the header are dropped."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import entries
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder; only the columns and row groups that a query asks for are read."""
@@ -36,6 +38,29 @@ def list_files(spark: SparkSession, folder: str, extensions: list[str] | None =
     return files
 
 
+def scanned(files: DataFrame, parts: str, include: list[str] | None = None, exclude: list[str] | None = None, depth: int | None = None, hidden: bool = False) -> DataFrame:
+    """``files`` (``parts``: the segments of their paths) with ``state``: why a file is not shown, or ``shown``.
+
+    In this order: below a ``collapsed`` folder, ``hidden`` (a segment that begins with a dot, unless hidden ones are
+    asked for), ``deep`` (more than ``depth`` folders down), ``filtered`` by globs (:func:`entries.kept_by_globs`). Nothing is dropped, so counts of what is not shown stay at hand (:func:`scan_counts`).
+    """
+    inner = F.slice(F.col(parts), F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
+    folders = F.transform(F.sequence(F.lit(1), F.greatest(F.size(inner), F.lit(1))), lambda k: F.slice(inner, F.lit(1), k))
+    out = F.when((F.size(inner) > 0) & F.exists(folders, entries.is_collapsed), "collapsed")
+    if not hidden:
+        out = out.when(F.exists(parts, lambda s: s.startswith(".")), "hidden")
+    if depth is not None:
+        out = out.when(F.size(inner) > depth, "deep")
+    if include or exclude:
+        out = out.when(~entries.kept_by_globs(F.array_join(parts, "/"), include or [], exclude or []), "filtered")
+    return files.withColumn("state", out.otherwise("shown"))
+
+
+def scan_counts(scan: DataFrame, parts: str, size: str) -> DataFrame:
+    """(folder, state, files, bytes) of each top folder, shown and not."""
+    return scan.groupBy(F.get(F.col(parts), F.lit(0)).alias("folder"), "state").agg(F.count(F.lit(1)).alias("files"), F.sum(size).alias("bytes"))
+
+
 def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as files (path, size): the folders are region, nation and customer, the size is the price in cents."""
     region, nation, customer = (load(spark, sf_dir, t) for t in ("region", "nation", "customer"))
