@@ -264,21 +264,42 @@ def _write_contexts(length: int, gram: int, bitmap, text_at: int):
     return run
 
 
+_LIVE = ["bucket", "h", "c1", "c2", "n", "context"]
+
+
 def _bucket_windows(length: int):
-    """Of live contexts (h, c1, c2, n) and their bytes (h, c1, c2, context; any number of copies, dead ones too) the runs
-    lo..hi of windows that are repeated."""
-
-    def run(live: pa.Table, contexts: pa.Table) -> pa.Table:
-        keys = lambda t: list(zip(*(t.column(c).to_pylist() for c in ("h", "c1", "c2")), strict=True))
-        many, text = dict(zip(keys(live), (live.column("n").to_numpy() > 1).tolist(), strict=True)), {}
-        for k, key in enumerate(keys(contexts)):
-            if key in many and key not in text:
-                text[key] = k
-        own = contexts.column("context").take(pa.array(list(text.values()), pa.int64()))
-        runs = [_ranges(flags | many[key]) for key, flags in zip(text, repeated_windows(own.to_pylist(), length) if text else [], strict=True)]
-        which = np.repeat(np.array(list(text.values()), np.int64), [len(s) for s, _ in runs])
-        lo, hi = (pa.array(np.concatenate([np.empty(0, np.int64), *(r[k] for r in runs)]).astype(np.int64)) for k in (0, 1))
-        return pa.table({c: contexts.column(c).take(pa.array(which)) for c in ("h", "c1", "c2")} | {"lo": lo, "hi": hi})
+    """Of rows (bucket, h, c1, c2, n, context) in the order of these the runs lo..hi of windows that are repeated. A live
+    context has a row with its number of places and no bytes, then rows with its bytes, as many as tasks that met it; bytes
+    without such a row are dead. Copies go by one at a time: what is held is a bucket's distinct live contexts."""
+
+    def settle(keys: list[tuple], texts: list[bytes], many: list[bool]):
+        runs = [_ranges(flags | m) for flags, m in zip(repeated_windows(texts, length), many, strict=True)] if texts else []
+        which = np.repeat(np.arange(len(runs)), [len(s) for s, _ in runs])
+        names = np.array(keys, np.int64).reshape(-1, 3)[which]
+        lo, hi = (np.concatenate([np.empty(0, np.int64), *(r[k] for r in runs)]).astype(np.int64) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([*(pa.array(names[:, k]) for k in range(3)), pa.array(lo), pa.array(hi)], names=["h", "c1", "c2", "lo", "hi"])
+
+    def run(batches):
+        bucket, wanted, places = None, None, 0
+        keys, texts, many = [], [], []
+        for b in batches:
+            numbers = zip(*(b.column(k).to_pylist() for k in range(5)), strict=True)
+            there = b.column(5).is_valid().to_pylist()
+            for k, (own, h, c1, c2, n) in enumerate(numbers):
+                if own != bucket:
+                    if texts:
+                        yield settle(keys, texts, many)
+                    bucket, wanted, keys, texts, many = own, None, [], [], []
+                if not there[k]:
+                    wanted, places = (h, c1, c2), n
+                elif wanted == (h, c1, c2):
+                    keys.append(wanted)
+                    texts.append(b.column(5)[k].as_py())
+                    many.append(places > 1)
+                    wanted = None
+        if texts:
+            yield settle(keys, texts, many)
+        give_back()
 
     return run
 
@@ -335,8 +356,11 @@ def repeat_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gram
     quiet, crowd = contexts, live.where("crowd")
     if size["crowd"]:
         quiet = contexts.join(crowd.select("h").distinct(), "h", "left_anti")
-    sides = live.where("not crowd").select(*key, "n", bucket).groupBy("bucket"), quiet.select(*key, "context", bucket).groupBy("bucket")
-    found = sides[0].cogroup(sides[1]).applyInArrow(_bucket_windows(length), "h long, c1 long, c2 long, lo long, hi long")
+    named = live.where("not crowd").select(bucket, *key, "n", F.lit(None).cast("binary").alias("context"))
+    dealt = named.unionByName(quiet.select(bucket, *key, F.lit(None).cast("long").alias("n"), "context")).select(*_LIVE)
+    # sorted, so that copies of a context follow each other and a task holds one
+    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", *key, F.col("context").isNotNull())
+    found = dealt.mapInArrow(_bucket_windows(length), "h long, c1 long, c2 long, lo long, hi long")
     if size["crowd"]:
         found = found.unionByName(_crowd_windows(contexts.join(crowd.select(*key, "n"), key).dropDuplicates(key), length))
     marks = materialize(found.groupBy(*key).agg(F.collect_list(F.struct("lo", "hi")).alias("parts")), "marks")

@@ -246,3 +246,22 @@ def test_stages_on_empty_tables(spark, tmp_path):
     for name, ddl in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], ddl).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_copies_of_a_context_pass_one_at_a_time(spark):
+    """A context that every task has met comes to its bucket as often; one copy is held, and dead contexts are none."""
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    passage = bytes(rng.randrange(97, 123) for _ in range(260))
+    other, dead = passage[:230] + b"x" * 40, bytes(rng.randrange(97, 123) for _ in range(300))
+    rows = [(0, 1, 1, 1, 500, None)] + [(0, 1, 1, 1, None, passage)] * 500 + [(0, 1, 2, 2, 1, None), (0, 1, 2, 2, None, other), (0, 5, 5, 5, None, dead), (0, 5, 5, 5, None, dead), (1, 9, 9, 9, 1, None), (1, 9, 9, 9, None, dead)]
+    schema = pa.schema([(c, pa.int64()) for c in suffix._LIVE[:5]] + [("context", pa.binary())])
+    batches = [pa.RecordBatch.from_pylist([dict(zip(suffix._LIVE, r, strict=True)) for r in rows[k : k + 7]], schema) for k in range(0, len(rows), 7)]
+    got = [tuple(r.values()) for b in suffix._bucket_windows(200)(iter(batches)) for r in b.to_pylist()]
+    # all windows of the context with 500 places, and those of the other one that it shares
+    assert sorted(got) == [(1, 1, 1, 0, 60), (1, 2, 2, 0, 30)]
+    text = passage.decode()
+    docs = spark.createDataFrame([(k, f"{k:06d} {text} {k * 7:07d}") for k in range(240)], "doc_id long, text string")
+    one, many = (Counter(tuple(r) for r in suffix.digests(docs.repartition(n)).collect()) for n in (1, 60))
+    assert one == many and sum(r[2] for r in one) >= 240 * 260
