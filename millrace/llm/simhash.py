@@ -27,8 +27,8 @@ from millrace.operators.graph import connected_components
 from millrace.plans.materialize import materialize, release
 
 WIDTH, RADIUS, SEED = 3, 3, 42
-#: Fingerprints that a shard is planned for, shards of a signature at least, and at most (4 * 10**9 distinct fingerprints;
-#: beyond that shards grow, and nothing is lost); sampled fingerprints a shard, and in all (32 MB).
+#: Fingerprints that a shard is planned for, shards of a signature at least, and twice as many as at most (2 * 10**9 distinct
+#: fingerprints; beyond that shards grow, and nothing is lost); sampled fingerprints a shard, and in all, about (32 MB).
 SHARD, LEAST, SHARDS, SAMPLE, SAMPLED = 65_536, 16, 1 << 16, 64, 1 << 22
 #: Fingerprints in a node of a shard's own tree that are compared one by one, and pairs that are compared at a time.
 FLAT, BLOCK = 96, 1 << 20
@@ -238,8 +238,13 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     leaves = {j: max(LEAST, min(SHARDS // 2, -(-n // SHARD))) for j, n in counts.items()}
     most = min(SAMPLED, SAMPLE * sum(leaves.values()))
     small_batches(spark)
-    some = fps.select("j", "fp").orderBy(F.xxhash64("j", "fp"), "j", "fp").limit(most).toArrow()
+    # rows below a bound of their hash: about as many as asked for, without a sort and whatever the number of tasks
+    share = most / max(1, sum(counts.values()))
+    bound = min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
+    some = fps.select("j", "fp").where(F.xxhash64("j", "fp") <= bound).toArrow()
     number, points = some.column("j").to_numpy(), some.column("fp").to_numpy().view(np.uint64)
+    order = np.lexsort((points, number))
+    number, points = number[order], points[order]
     trees = spark.sparkContext.broadcast({j: build_tree(points[number == j], leaves[j]) for j in counts})
 
     def deal(batches):

@@ -265,3 +265,17 @@ def test_copies_of_a_context_pass_one_at_a_time(spark):
     docs = spark.createDataFrame([(k, f"{k:06d} {text} {k * 7:07d}") for k in range(240)], "doc_id long, text string")
     one, many = (Counter(tuple(r) for r in suffix.digests(docs.repartition(n)).collect()) for n in (1, 60))
     assert one == many and sum(r[2] for r in one) >= 240 * 260
+
+
+def test_a_small_sample_gives_the_same_groups(spark, monkeypatch):
+    """The tree's sample decides how fingerprints are dealt out, never which of them are linked."""
+    rng = random.Random(17)
+    base = [prose(rng, 40) for _ in range(90)]
+    rows = [(k, t) for k, t in enumerate(base)] + [(100 + k, " ".join([*t.split()[:-1], "end"])) for k, t in enumerate(base[:60])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    groups = lambda: {r["doc_id"]: r["component"] for r in simhash.near_duplicates(docs).collect()}
+    want = groups()
+    monkeypatch.setattr(simhash, "SAMPLED", 40)
+    assert groups() == want
+    monkeypatch.setattr(simhash, "SAMPLED", 0)
+    assert groups() == want and len(set(want.values())) < 150
