@@ -144,3 +144,8 @@ def safe_similarity(phash: Column, inliers: Column, coverage_a: Column, coverage
 def match_verdict(score: Column) -> Column:
     """exact_dupe from 0.98 on, quality_dupe from 0.75, else null."""
     return F.when(score >= 0.98, "exact_dupe").when(score >= 0.75, "quality_dupe")
+
+
+def cluster_id(session: Column, *members: Column) -> Column:
+    """24 hex digits of a SHA-256 over a session and a cluster's members, a line each."""
+    return F.substring(F.sha2(F.concat_ws("\n", session, *(m.cast("string") for m in members)), 256), 1, 24)

@@ -7,11 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions import hashes, markup, media, mime, urls
-from millrace.operators import alike, duplicates, events, graph, inventory, selection, variants
+from millrace.operators import alike, duplicates, events, graph, inventory, ledgers, selection, variants
 from millrace.operators.collection import Collection
 from millrace.operators.hamming import links
 from millrace.operators.order import exact_median
 from millrace.plans.materialize import new_path
+from millrace.sources import probes
 from millrace.sources.tables import load, order_files
 
 QUERIES: dict = {}
@@ -430,8 +431,7 @@ def carry_forward(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'user') AS user_turns, CAST(sum(length(text)) AS BIGINT) AS chars, min(turn) AS first_turn, max(turn) AS last_turn FROM conversations GROUP BY 1")
 def conversation_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    rows = load(spark, sf, "conversations")
-    return rows.groupBy("conv_id").agg(_n(name="turns"), F.count_if(F.col("role") == "user").alias("user_turns"), F.sum(F.char_length("text")).alias("chars"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"))
+    return ledgers.conversations(load(spark, sf, "conversations"), "conv_id", "turn", "role", "text")
 
 
 # Pages, playlists, caches, samples ------------------------------------------------------------------------------------------
@@ -488,19 +488,19 @@ def playlist_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT d.doc_id, l.quality, l.doc_id IS NULL AS pending FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def cache_join(spark: SparkSession, sf: str) -> DataFrame:
-    docs, labels = load(spark, sf, "documents").select("doc_id"), load(spark, sf, "labels")
-    return docs.join(labels.select("doc_id", "quality", F.lit(False).alias("hit")), "doc_id", "left").select("doc_id", "quality", F.col("hit").isNull().alias("pending"))
+    docs, version = load(spark, sf, "documents").select("doc_id"), F.lit(1).alias("version")
+    hits, pending = probes.split_by_cache(docs, load(spark, sf, "labels").select("doc_id", "quality", version), 1, ("doc_id",))
+    return hits.select("doc_id", "quality", F.lit(False).alias("pending")).unionByName(pending.select("doc_id", F.lit(None).cast("int").alias("quality"), F.lit(True).alias("pending")))
 
 
 @query("SELECT doc_id, quality FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE n_chars >= 1000)")
 def cache_prune(spark: SparkSession, sf: str) -> DataFrame:
-    live = load(spark, sf, "documents").where("n_chars >= 1000")
-    return load(spark, sf, "labels").join(live, "doc_id", "left_semi").select("doc_id", "quality")
+    return probes.prune(load(spark, sf, "labels"), load(spark, sf, "documents").where("n_chars >= 1000"), "doc_id").select("doc_id", "quality")
 
 
 @query("SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents WHERE lang = 'en'")
 def stale_keys(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "labels").select("doc_id").join(load(spark, sf, "documents").where("lang = 'en'"), "doc_id", "left_anti").distinct()
+    return ledgers.not_done(load(spark, sf, "labels").select("doc_id"), load(spark, sf, "documents").where("lang = 'en'"), "doc_id").distinct()
 
 
 @query("SELECT source, sha256(CAST(sum(CAST('0x' || substr(sha256(doc_id || '|' || n_chars), 1, 15) AS BIGINT)) AS VARCHAR) || '|' || count(*)) AS digest, count(*) AS n FROM documents GROUP BY 1")
@@ -607,8 +607,8 @@ def protected_cards(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH e AS (SELECT o_custkey, o_orderdate, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) SELECT o_custkey, count(*) AS kept FROM e WHERE r <= 20 GROUP BY 1""")
 def bounded_retention(spark: SparkSession, sf: str) -> DataFrame:
-    newest = F.row_number().over(W.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))
-    return load(spark, sf, "orders").select("o_custkey", newest.alias("r")).where("r <= 20").groupBy("o_custkey").agg(_n(name="kept"))
+    kept = ledgers.newest(load(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_orderkey"), ["o_custkey"], 20, F.desc("o_orderdate"), F.desc("o_orderkey"))
+    return kept.groupBy("o_custkey").agg(_n(name="kept"))
 
 
 @query("""WITH e AS (SELECT user_id, event_type, count(*) AS n, min(ts) AS t FROM events GROUP BY 1, 2) SELECT user_id, arg_max(event_type, (n, -epoch_us(t))) AS method FROM e GROUP BY 1""")
@@ -619,6 +619,4 @@ def mode_of_methods(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH f AS (SELECT o_orderstatus AS code, count(*) AS n, list(o_orderkey ORDER BY o_orderkey)[1:3] AS s FROM orders GROUP BY 1) SELECT code, n, array_to_string(s, ',') AS samples FROM f""")
 def failure_causes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = load(spark, sf, "orders").select(F.col("o_orderstatus").alias("code"), "o_orderkey")
-    first = rows.withColumn("r", F.row_number().over(W.partitionBy("code").orderBy("o_orderkey"))).where("r <= 3").groupBy("code").agg(F.array_join(F.sort_array(F.collect_list("o_orderkey")), ",").alias("samples"))
-    return rows.groupBy("code").agg(_n()).join(first, "code")
+    return ledgers.causes(load(spark, sf, "orders").select(F.col("o_orderstatus").alias("code"), "o_orderkey"), "code", "o_orderkey")
\ No newline at end of file

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import pixels, urls
-from millrace.operators import events, instances, inventory, selection, sets, tree
+from millrace.functions import hashes, pixels, urls
+from millrace.operators import events, instances, inventory, ledgers, selection, sets, tree
 from millrace.plans.catalogue import query
 from millrace.sources.tables import load
 
@@ -40,17 +40,13 @@ def group_primaries(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT l_returnflag AS code, count(*) FILTER (l_quantity >= 25) AS ok, count(*) FILTER (l_quantity < 25) AS failed, CAST(sum(CASE WHEN l_quantity >= 25 THEN l_linenumber ELSE 0 END) AS BIGINT) AS selected FROM lineitem GROUP BY 1")
 def success_split(spark: SparkSession, sf: str) -> DataFrame:
-    good = F.col("l_quantity") >= 25
-    return load(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("code")).agg(F.count_if(good).alias("ok"), F.count_if(~good).alias("failed"), F.sum(F.when(good, F.col("l_linenumber")).otherwise(0)).alias("selected"))
+    return ledgers.outcomes(load(spark, sf, "lineitem").withColumnRenamed("l_returnflag", "code"), ["code"], F.col("l_quantity") >= 25, F.col("l_linenumber"))
 
 
 @query("""SELECT o_orderkey, o_custkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM orders""")
 def prefix_sums(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
-    run = F.sum("cents").over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(W.unboundedPreceding, 0))
-    return load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", cents.alias("cents")).select("o_orderkey", "o_custkey", "cents", run.alias("running"))
+    rows = load(spark, sf, "orders").withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("bigint"))
+    return ledgers.running_totals(rows, ["o_custkey"], "cents", "o_orderdate", "o_orderkey").select("o_orderkey", "o_custkey", "cents", "running")
 
 
 @query("SELECT user_id, min(ts) AS due FROM events WHERE event_type <> 'error' GROUP BY 1")
@@ -71,21 +67,19 @@ def state_alive(spark: SparkSession, sf: str) -> DataFrame:
 SELECT lang, class, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, min(doc_id) AS first, max(doc_id) AS last FROM d GROUP BY 1, 2""")
 def kind_counts(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("n_chars")
-    d = load(spark, sf, "documents").select("lang", "doc_id", "n_chars", F.when(n >= 4000, "large").when(n >= 1000, "medium").otherwise("small").alias("class"))
-    return d.groupBy("lang", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    docs = load(spark, sf, "documents").select("lang", "doc_id", n.alias("chars"), F.when(n >= 4000, "large").when(n >= 1000, "medium").otherwise("small").alias("class"))
+    return ledgers.kind_counts(docs, ["lang", "class"], "doc_id", "chars")
 
 
 @query("""SELECT doc_id, text_md5 FROM (SELECT doc_id, md5(text) AS text_md5, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS r FROM documents) WHERE r > 1""")
 def repeated_visits(spark: SparkSession, sf: str) -> DataFrame:
     docs = load(spark, sf, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
-    first = docs.groupBy("text_md5").agg(F.min("doc_id").alias("first"))
-    return docs.join(first, "text_md5").where("doc_id > first").select("doc_id", "text_md5")
+    return ledgers.repeats(docs, "text_md5", "doc_id").select("doc_id", "text_md5")
 
 
 @query("SELECT c_custkey, substr(sha256('s' || chr(10) || c_custkey || chr(10) || c_nationkey), 1, 24) AS id FROM customer")
 def cluster_ids(spark: SparkSession, sf: str) -> DataFrame:
-    members = F.concat_ws("\n", F.lit("s"), F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string"))
-    return load(spark, sf, "customer").select("c_custkey", F.substring(F.sha2(members, 256), 1, 24).alias("id"))
+    return load(spark, sf, "customer").select("c_custkey", hashes.cluster_id(F.lit("s"), F.col("c_custkey"), F.col("c_nationkey")).alias("id"))
 
 
 @query("SELECT p_partkey, p_name, CAST(p_size AS BIGINT) AS size FROM part ORDER BY p_size DESC, lower(p_name), p_partkey LIMIT 50")
@@ -111,8 +105,8 @@ def playlist_by_name(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH s AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2) SELECT source, sum(n) AS docs, arg_max(lang, (n, lang)) AS main_lang, count(*) AS langs FROM s GROUP BY 1""")
 def source_summary(spark: SparkSession, sf: str) -> DataFrame:
-    n = load(spark, sf, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
-    return n.groupBy("source").agg(F.sum("n").cast("decimal(38,0)").alias("docs"), F.max_by("lang", F.struct("n", "lang")).alias("main_lang"), F.count(F.lit(1)).alias("langs"))
+    found = ledgers.main_value(load(spark, sf, "documents"), "source", "lang")
+    return found.select("source", F.col("rows").cast("decimal(38,0)").alias("docs"), F.col("main").alias("main_lang"), F.col("values").alias("langs"))
 
 
 @query("""WITH p AS (SELECT lang, source, doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS a, count(*) OVER (PARTITION BY lang, source) AS n FROM documents) SELECT lang, source, doc_id FROM p WHERE n <= 9 OR a <= 5 OR a > n - 4""")
@@ -122,14 +116,13 @@ def sampled_names(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH s AS (SELECT page_id, html LIKE '%<html%' AS h FROM pages ORDER BY page_id LIMIT 24) SELECT count(*) AS sampled, count(*) FILTER (h) AS html, count(*) FILTER (h) * 2 > count(*) AS warn FROM s""")
 def preflight_warning(spark: SparkSession, sf: str) -> DataFrame:
-    s = load(spark, sf, "pages").orderBy("page_id").limit(24).select(F.contains("html", F.lit("<html")).alias("h"))
-    return s.agg(F.count(F.lit(1)).alias("sampled"), F.count_if("h").alias("html")).withColumn("warn", F.col("html") * 2 > F.col("sampled"))
+    return ledgers.preflight(load(spark, sf, "pages"), F.contains("html", F.lit("<html")), 24, F.col("page_id"))
 
 
 @query("""SELECT c_custkey, o_orderkey, o_totalprice FROM customer JOIN orders ON o_custkey = c_custkey AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'A')""")
 def history_misses(spark: SparkSession, sf: str) -> DataFrame:
-    done = load(spark, sf, "lineitem").where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
-    fresh = load(spark, sf, "orders").join(done, "o_orderkey", "left_anti")
+    done = load(spark, sf, "lineitem").where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("o_orderkey"))
+    fresh = ledgers.not_done(load(spark, sf, "orders"), done, "o_orderkey")
     return fresh.join(load(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", "o_orderkey", "o_totalprice")
 
 
@@ -142,9 +135,8 @@ def pixel_hashes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH f AS (SELECT ts, event_id, user_id, event_type FROM events WHERE event_type <> 'error'), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM f) SELECT event_id, user_id, event_type FROM r WHERE n = 1""")
 def once_per_key(spark: SparkSession, sf: str) -> DataFrame:
-    e = load(spark, sf, "events").where("event_type <> 'error'")
-    first = e.groupBy("user_id", "event_type").agg(F.min(F.struct("ts", "event_id")).alias("f"))
-    return first.select("f.event_id", "user_id", "event_type")
+    rows = load(spark, sf, "events").where("event_type <> 'error'").select("event_id", "user_id", "event_type", "ts")
+    return sets.first_seen([rows], F.struct("user_id", "event_type"), "ts", "event_id").select("event_id", "user_id", "event_type")
 
 
 @query("""WITH d AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), o AS (SELECT source, count(*) AS n FROM documents WHERE n_chars > 100 GROUP BY 1) SELECT d.source FROM d LEFT JOIN o USING (source) WHERE d.n IS DISTINCT FROM o.n""")
@@ -158,28 +150,28 @@ def changed_roots(spark: SparkSession, sf: str) -> DataFrame:
 SELECT DISTINCT e.user_id, CASE WHEN h.user_id IS NOT NULL THEN 'url' WHEN k.user_id IS NOT NULL THEN 'content' END AS reason FROM events e LEFT JOIN h USING (user_id) LEFT JOIN k ON e.user_id = k.user_id""")
 def history_reasons(spark: SparkSession, sf: str) -> DataFrame:
     e = load(spark, sf, "events").select("user_id", "event_type")
-    return e.groupBy("user_id").agg(F.when(F.max((F.col("event_type") == "purchase").cast("int")) == 1, "url").when(F.max((F.col("event_type") == "signup").cast("int")) == 1, "content").alias("reason"))
+    return ledgers.reasons(e, "user_id", (e.where("event_type = 'purchase'"), "url"), (e.where("event_type = 'signup'"), "content"))
 
 
 @query("""SELECT lang, source, count(*) FILTER (n_chars < 1000) AS omitted, count(*) AS n FROM documents GROUP BY 1, 2""")
 def omitted_by_category(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "documents").groupBy("lang", "source").agg(F.count_if(F.col("n_chars") < 1000).alias("omitted"), F.count(F.lit(1)).alias("n"))
+    return ledgers.omitted(load(spark, sf, "documents"), ["lang", "source"], F.col("n_chars") < 1000)
 
 
 @query("""SELECT l_orderkey, count(*) AS files, count(DISTINCT l_suppkey) AS folders, count(*) FILTER (l_linenumber > 1) AS moved FROM lineitem GROUP BY 1""")
 def move_plan_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("files"), F.count_distinct("l_suppkey").alias("folders"), F.count_if(F.col("l_linenumber") > 1).alias("moved"))
+    return ledgers.plan_counts(load(spark, sf, "lineitem"), "l_orderkey", "l_suppkey", F.col("l_linenumber") > 1)
 
 
 @query("""SELECT sha256(array_to_string(list_sort(list(coalesce(name, '') || '|' || n)), chr(10))) AS signature FROM (SELECT source AS name, count(*) AS n FROM documents GROUP BY 1)""")
 def source_signature(spark: SparkSession, sf: str) -> DataFrame:
     """Of the few sources of a table."""
     n = load(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    return n.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", F.coalesce("source", F.lit("")), F.col("n").cast("string")))), "\n"), 256).alias("signature"))
+    return ledgers.set_signature(n, "source", "n")
 
 
 @query("""WITH c AS (SELECT user_id, event_id, ts, CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END AS tier FROM events WHERE event_type IN ('purchase', 'click')) SELECT user_id, arg_min(event_id, (tier, -epoch_us(ts), event_id)) AS event_id FROM c GROUP BY 1""")
 def tiered_union(spark: SparkSession, sf: str) -> DataFrame:
-    e = load(spark, sf, "events").where("event_type IN ('purchase', 'click')")
-    rank = F.struct(F.when(F.col("event_type") == "purchase", 0).otherwise(1), -F.unix_micros(F.col("ts").cast("timestamp")), "event_id")
-    return e.groupBy("user_id").agg(F.min_by("event_id", rank).alias("event_id"))
+    e = load(spark, sf, "events").select("user_id", "event_id", "event_type", (-F.unix_micros(F.col("ts").cast("timestamp"))).alias("age"))
+    tiers = [e.where(F.col("event_type") == kind) for kind in ("purchase", "click")]
+    return sets.first_seen(tiers, F.col("user_id"), "age", "event_id").select("user_id", "event_id")
\ No newline at end of file
