@@ -6,29 +6,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.functions import media
+
+def after(state: tuple, started: int, ended: int, ok: bool, base: int = 60, most: int = 1800, cap: int = 10) -> tuple:
+    """The state (ok_at, failed_at, failures, retry_at) after a result.
+
+    A result is stale, and ignored, if it failed and the last one ended after the check began, or if it passed and the last one
+    was a failure that ended after it began. A pass resets; the n-th failure in a row waits base * 2 ** (n - 1) seconds, ``most`` at
+    the longest."""
+    ok_at, failed_at, failures, _ = state
+    if failed_at > started or (not ok and ok_at > started):
+        return state
+    if ok:
+        return ended, 0, 0, 0
+    n = min(failures + 1, cap)
+    return 0, ended, n, ended + min(base * 2 ** (n - 1), most)
 
 
 def health(checks: DataFrame, key: str, started: str, ended: str, ok: str, base: int = 60, most: int = 1800, cap: int = 10) -> DataFrame:
-    """(key, ok_at, failed_at, failures, retry_at) after all checks, in the order in which they ended.
+    """(key, ok_at, failed_at, failures, retry_at) after all checks, in the order in which they ended (:func:`after`). Times are
+    seconds.
 
-    A result is stale, and ignored, if it failed and the key's last result ended after the check began, or if it passed and
-    the last result was a failure that ended after it began. A pass resets; the n-th failure in a row waits base * 2 ** (n - 1)
-    seconds, ``most`` at the longest. Times are seconds. The checks of one key are one row's array, so keys are bounded: an
-    instance's recent checks.
+    Each result depends on the one before, so a key's checks pass one task in order; they are sorted by Spark, which spills,
+    and only the state is held. As a stream there is ``streaming.health``.
     """
-    seen = F.sort_array(F.collect_list(F.struct(F.col(ended).cast("bigint").alias("e"), F.col(started).cast("bigint").alias("s"), F.col(ok).alias("ok"))))
-    zero = F.lit(0).cast("bigint")
-    start = F.struct(zero.alias("ok_at"), zero.alias("failed_at"), zero.alias("failures"), zero.alias("retry_at"))
-
-    def step(a: Column, x: Column) -> Column:
-        n = F.least(a["failures"] + 1, F.lit(cap).cast("bigint"))
-        passed = F.struct(x["e"].alias("ok_at"), zero.alias("failed_at"), zero.alias("failures"), zero.alias("retry_at"))
-        failed = F.struct(zero.alias("ok_at"), x["e"].alias("failed_at"), n.alias("failures"), (x["e"] + media.cooldown(n, base, most)).alias("retry_at"))
-        stale = F.when(x["ok"], a["failed_at"] > x["s"]).otherwise((a["ok_at"] > x["s"]) | (a["failed_at"] > x["s"]))
-        return F.when(stale, a).when(x["ok"], passed).otherwise(failed)
-
-    return checks.groupBy(key).agg(seen.alias("seen")).select(key, F.aggregate("seen", start, step).alias("h")).select(key, "h.*")
+    rows = checks.select(F.col(key).alias("k"), F.col(started).cast("bigint").alias("s"), F.col(ended).cast("bigint").alias("e"), F.col(ok).alias("ok")).dropna(subset=["s", "e", "ok"])
+    kind = rows.schema["k"].dataType
+
+    def fold(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        def done(keys: list, states: list):
+            return pa.RecordBatch.from_arrays([pa.array(keys, to_arrow_type(kind)), *(pa.array([x[k] for x in states], pa.int64()) for k in range(4))], names=["k", "ok_at", "failed_at", "failures", "retry_at"])
+
+        last, state, seen = None, (0, 0, 0, 0), False
+        for b in batches:
+            keys, states = [], []
+            for k, s, e, good in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if seen and k != last:
+                    keys.append(last)
+                    states.append(state)
+                    state = (0, 0, 0, 0)
+                last, seen, state = k, True, after(state, s, e, good, base, most, cap)
+            yield done(keys, states)
+        if seen:
+            yield done([last], [state])
+
+    ordered = rows.repartition("k").sortWithinPartitions("k", "e", "s", "ok")
+    return ordered.mapInArrow(fold, f"k {kind.simpleString()}, ok_at long, failed_at long, failures long, retry_at long").withColumnRenamed("k", key)
 
 
 def candidates(instances: DataFrame, state: DataFrame, key: str, score: str, now: int, last: str | None = None, excluded: list | None = None, ignore_cooldown: bool = False) -> DataFrame:

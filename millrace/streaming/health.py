@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from millrace.operators import instances
+
 #: The first cooldown, the longest one and the failures that are counted, in seconds and results.
 COOLDOWN, LONGEST, COUNTED = 60, 1800, 10
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -22,18 +24,8 @@ _STATE = "ok_at long, failed_at long, failures long, retry_at long, seen long"
 
 
 def after(state: tuple, started: int, ended: int, ok: bool) -> tuple:
-    """The state (ok_at, failed_at, failures, retry_at, seen) after a result.
-
-    A result is stale if it failed and the last one ended after the check began, or if it passed and the last one was a failure
-    that ended after it began. A pass resets; the n-th failure in a row waits twice as long as the one before."""
-    ok_at, failed_at, failures, retry_at, seen = state
-    seen = max(seen, ended)
-    if failed_at > started or (not ok and ok_at > started):
-        return ok_at, failed_at, failures, retry_at, seen
-    if ok:
-        return ended, 0, 0, 0, seen
-    n = min(failures + 1, COUNTED)
-    return 0, ended, n, ended + min(COOLDOWN * 2 ** (n - 1), LONGEST), seen
+    """The state (ok_at, failed_at, failures, retry_at, seen) after a result; see :func:`instances.after`."""
+    return *instances.after(state[:4], started, ended, ok, COOLDOWN, LONGEST, COUNTED), max(state[4], ended)
 
 
 class _Health(StatefulProcessor):

@@ -1,9 +1,11 @@
 """Health as streaming state: stale results, cooldowns that end, forgetting, and a restart from the checkpoint."""
 
+import random
 from datetime import datetime, timezone
 
 import pytest
 
+from millrace.operators import instances
 from millrace.streaming import health
 
 
@@ -34,6 +36,19 @@ def test_the_state_after_each_result():
     assert failed[2] == health.COUNTED and failed[3] - failed[1] == health.LONGEST
 
 
+def test_a_table_of_checks(spark):
+    """A hot key and many small ones, folded in the order in which checks ended."""
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot", "hot", f"k{rng.randrange(40)}", None]), s, s + rng.randrange(90), rng.random() < 0.4) for s in (rng.randrange(3000) for _ in range(3000))]
+    want = {}
+    for k, s, e, ok in sorted(rows, key=lambda r: (r[2], r[1], r[3])):
+        want[k] = instances.after(want.get(k, (0, 0, 0, 0)), s, e, ok)
+    df = spark.createDataFrame(rows, "k string, s int, e int, ok boolean").repartition(6)
+    got = {r["k"]: tuple(r)[1:] for r in instances.health(df, "k", "s", "e", "ok").collect()}
+    assert got == want and len(got) > 30
+    assert instances.health(df.limit(0), "k", "s", "e", "ok").count() == 0
+
+
 def test_a_stream_of_checks(rocksdb, tmp_path):
     spark, src, out, mark = rocksdb, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/mark"
     schema = "origin string, began timestamp, ended timestamp, ok boolean"
