@@ -110,3 +110,8 @@ def kept_by_globs(path: Column, include: list[str], exclude: list[str]) -> Colum
         fits = fits | name.rlike(glob_pattern(g))
     barred = "|".join(f"(?:{glob_pattern(g)})" for g in exclude)
     return fits & ~F.exists(parts, lambda p: p.rlike(barred)) if exclude else fits
+
+
+def folder_first(is_folder: Column, name: Column) -> list[Column]:
+    """Sort columns of a folder's entries: folders before files, names in any case."""
+    return [is_folder.desc(), F.lower(name).asc()]

@@ -35,3 +35,11 @@ def gallery_order(mode: str, width: Column, height: Column, found: Column) -> li
     """Sort columns of a mode: smallest, newest (the order in which images were found), or largest; ties as found."""
     area = F.coalesce(width, F.lit(0)) * F.coalesce(height, F.lit(0))
     return [*{"smallest": [area.asc()], "newest": []}.get(mode, [area.desc()]), found.asc()]
+
+
+def largest(images: DataFrame, key: Column, area: str, thumb: str, found: str) -> DataFrame:
+    """(key, ...): of all forms of an image the largest, the first found of equals; where it has no thumbnail, that of the
+    largest form that has one."""
+    rank = F.struct(F.coalesce(area, F.lit(0)).alias("a"), (-F.col(found)).alias("f"))
+    best = images.groupBy(key.alias("key")).agg(F.max_by(F.struct(*images.columns), rank).alias("_b"), F.max_by(thumb, F.when(F.col(thumb).isNotNull(), rank)).alias("_t"))
+    return best.select("key", *(F.coalesce(F.col(f"_b.{c}"), "_t").alias(c) if c == thumb else F.col(f"_b.{c}").alias(c) for c in images.columns))

@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions import entries, frames, hashes, hls, images, library, markup, media, messages, mime, names, urls
+from millrace.functions import entries, frames, hashes, hls, images, library, markup, media, messages, mime, names, pixels, urls
 from millrace.operators import duplicates, gallery, instances, inventory, reports, selection, sets, tree
 from millrace.operators.hamming import links
 from millrace.plans.catalogue import query
@@ -965,3 +965,46 @@ def playlist_files(spark: SparkSession, sf: str) -> DataFrame:
     found = playlists.entries(playlists.read_lines(spark, f"{path}/*/*.txt"))
     place = F.row_number().over(Window.partitionBy("file").orderBy("line"))
     return found.select(F.regexp_extract("file", "playlist=([^/]*)", 1).alias("playlist"), "location", F.array_join("comments", "|").alias("comments"), place.alias("place"))
+
+
+# Tags, identifiers, identities -----------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH r AS (SELECT o_orderkey AS k, o_orderkey % 6 AS f, 'https://i.example/' || o_custkey AS u FROM orders)
+SELECT k, CASE f WHEN 0 THEN u || '-o.jpg' WHEN 1 THEN u || CASE WHEN k % 2 = 0 THEN '-b.jpg' ELSE '-a.jpg' END WHEN 2 THEN u || '-s.jpg' WHEN 3 THEN u || '-s.jpg' WHEN 4 THEN u || '-w3.jpg' ELSE u || '-link.PNG?x' END AS image,
+  CASE WHEN k % 3 = 0 THEN lower(lpad(printf('%x', k), 8, '0')) || '-1111-2222-3333-444455556666' END AS conversation, '/folder/' || CASE WHEN length('n' || k || repeat('x', CAST(k % 20 AS INT)) || '.mp4') + 8 <= 24 THEN 'n' || k || repeat('x', CAST(k % 20 AS INT)) ELSE left('n' || k || repeat('x', CAST(k % 20 AS INT)), 12) END || '.mp4' AS path FROM r""")
+def image_tags(spark: SparkSession, sf: str) -> DataFrame:
+    """The best address that image tags name, conversations in addresses, and paths cut to a length."""
+    k, u = F.col("o_orderkey"), F.concat(F.lit("https://i.example/"), F.col("o_custkey").cast("string"))
+    made = lambda *parts: F.concat(*(u if p is None else F.lit(p) for p in parts))
+    twice = F.when(k % 2 == 0, made('<img src="', None, '-s.jpg" srcset="', None, '-a.jpg 1x, ', None, '-b.jpg 2x">')).otherwise(made('<img src="', None, '-s.jpg" srcset="', None, '-a.jpg 100w, ', None, '-b.jpg 50w">'))
+    forms = [made('<IMG SRC="', None, "-s.jpg\" data-original='", None, "-o.jpg'>"), twice, made('<img src="', None, '-s.jpg">'), made('<img data-src="data:image/x" src="', None, '-s.jpg">'), made('<img data-srcset="', None, "-w1.jpg 10w, ", None, "-w3.jpg 30w, ", None, '-w2.jpg 20w" src="x">'), made('<img src="', None, '-s.jpg">')]
+    tag = F.get(F.array(*forms), (k % 6).cast("int"))
+    link = F.when(k % 6 == 5, made(None, "-link.PNG?x")).when(k % 6 == 2, made(None, "/page.html"))
+    chat = F.concat(F.lit("https://x.example/c/"), F.when(k % 3 == 0, F.concat(F.lpad(F.hex(k), 8, "0"), F.lit("-1111-2222-3333-444455556666"))).otherwise("none"))
+    path = F.concat(F.lit("/folder/n"), k.cast("string"), F.repeat(F.lit("x"), (k % 20).cast("int")), F.lit(".mp4"))
+    return load(spark, sf, "orders").select(k.alias("k"), markup.full_image(tag, link).alias("image"), markup.conversation_id(chat).alias("conversation"), markup.clamped_path(path, 24).alias("path"))
+
+
+@query("""WITH s AS (SELECT vec_id, array_to_string(list_transform(embedding[1:6], lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS id FROM embeddings), g AS (SELECT vec_id, count(*) OVER (PARTITION BY id) AS n, min(vec_id) OVER (PARTITION BY id) AS first FROM s) SELECT vec_id, n, first FROM g WHERE n > 1""")
+def pixel_identity(spark: SparkSession, sf: str) -> DataFrame:
+    """Pictures with equal pixels, however they are stored: here those of the signs of six numbers, as pictures of 3 x 2."""
+    picture = F.transform(F.slice("embedding", 1, 6), lambda x: (x > 0).cast("double"))
+    rows = load(spark, sf, "embeddings").select("vec_id", pixels.content_signature(picture, F.lit(3)).alias("signature"))
+    return duplicates.exact_groups(rows, F.col("signature"), "vec_id").select("vec_id", "n", "first")
+
+
+@query("""SELECT p_partkey, p_name, p_size % 5 = 0 AS folder FROM part ORDER BY p_size % 5 <> 0, lower(p_name), p_partkey LIMIT 80""")
+def entries_sorted(spark: SparkSession, sf: str) -> DataFrame:
+    rows = load(spark, sf, "part").select("p_partkey", "p_name", (F.col("p_size") % 5 == 0).alias("folder"))
+    return rows.orderBy(*entries.folder_first(F.col("folder"), F.col("p_name")), "p_partkey").limit(80)
+
+
+@query("""WITH r AS (SELECT page_id, 'https://i.example/' || page_id % 60 || CASE page_id % 3 WHEN 0 THEN '-100x80.jpg' WHEN 1 THEN '.jpg?w=9' ELSE '.jpg' END AS url, 'https://i.example/' || page_id % 60 || '.jpg' AS key, page_id * 7 % 90 AS area, CASE WHEN page_id % 4 = 0 THEN 't' || page_id END AS thumb FROM pages)
+SELECT key, arg_max(url, (area, -page_id)) AS url, max(area) AS area, coalesce(arg_max(thumb, (area, -page_id)), arg_max(thumb, (area, -page_id)) FILTER (thumb IS NOT NULL)) AS thumb FROM r GROUP BY 1""")
+def largest_images(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each image the largest form, with a thumbnail of another form where it has none."""
+    k = F.col("page_id")
+    tail = F.when(k % 3 == 0, "-100x80.jpg").when(k % 3 == 1, ".jpg?w=9").otherwise(".jpg")
+    rows = load(spark, sf, "pages").select("page_id", F.concat(F.lit("https://i.example/"), (k % 60).cast("string"), tail).alias("url"), (k * 7 % 90).alias("area"), F.when(k % 4 == 0, F.concat(F.lit("t"), k.cast("string"))).alias("thumb"))
+    return gallery.largest(rows, urls.image_key(F.col("url")), "area", "thumb", "page_id").select("key", "url", "area", "thumb")
