@@ -422,7 +422,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     on 64-bit hashes. A SimHash of 64 bits is some 10 bits off at that similarity, where no tree prunes, so candidates
     come from bands of minimum hashes: a pair at the similarity is one with probability 1 - (1 - SIMILARITY ** ROWS) **
     BANDS = 0.9996, and the more similar the surer. Null and empty texts are one group. Of rows with equal key and text
-    one stays, whatever their other columns hold.
+    the one with the least other columns stays (columns of a type without an order, maps, are not taken).
     """
     digest = F.unhex(F.md5(F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary"))))
     own = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), digest.alias("node"))
@@ -443,5 +443,5 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     full = docs.select(F.struct("*").alias("row"), F.col(key).alias("k"), digest.alias("node"))
     kept = full.join(losers, F.col("k").eqNullSafe(F.col("lk")) & (F.col("node") == F.col("lnode")), "left_anti")
     if rows.groupBy("k", "node").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["k", "node"])
+        kept = kept.groupBy("k", "node").agg(F.min("row").alias("row"))
     return kept.select("row.*")

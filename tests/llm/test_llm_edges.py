@@ -279,3 +279,11 @@ def test_a_small_sample_gives_the_same_groups(spark, monkeypatch):
     assert groups() == want
     monkeypatch.setattr(simhash, "SAMPLED", 0)
     assert groups() == want and len(set(want.values())) < 150
+
+
+def test_of_equal_keys_and_texts_the_least_row_stays(spark):
+    text = prose(random.Random(3), 30)
+    rows = [(1, text, v, "x") for v in (5, 3, 9)] + [(2, text, 0, "x"), (None, "alone", 7, "b"), (None, "alone", 7, "a")]
+    for n in (1, 4):
+        got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, v int, w string").repartition(n)).collect()
+        assert sorted(map(tuple, got), key=str) == sorted([(1, text, 3, "x"), (None, "alone", 7, "a")], key=str)

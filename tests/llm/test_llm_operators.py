@@ -384,7 +384,7 @@ def test_pipeline(spark, tmp_path):
         kept[name] = {r["doc_id"]: r["text"] for r in docs.collect()}
     clean = {i for i in range(300) if i % 5}
     assert len(clean - set(kept["toxicity"])) <= 2 and len(set(kept["toxicity"]) - clean) <= 3
-    assert 1 in kept["simhash_near_dedup"] and 2 not in kept["simhash_near_dedup"]
+    assert 1 in kept["near_dedup"] and 2 not in kept["near_dedup"]
     assert passage[50:-50] not in kept["suffix_array_dedup"][3] and kept["suffix_array_dedup"][3].startswith(rows[3][1][:100])
     assert 6 not in kept["benchmark_decontamination"] and 7 in kept["benchmark_decontamination"]
     final = corpus_pipeline.run(spark, str(tmp_path)).collect()
