@@ -25,10 +25,12 @@ def variant_pairs(items: DataFrame, item: str, grid: str, side: int, radius: int
     Candidates are pairs whose hashes come within the radius in any of the eight turns (:func:`hamming.array_pairs`; no
     pair of items that is further apart is ever formed); pairs (a, b) of ``known`` are skipped. A candidate is verified with b turned as the
     nearest hash says (:func:`hashes.grid_match`): its matches must confirm the geometry, and the composite score must
-    reach the threshold and stay below 1. Pictures of another size or with nulls take no part.
+    reach the threshold and stay below 1. Equal pictures are one: the first item stands for its copies
+    (:func:`one_of_each` names them). Pictures of another size or with nulls take no part.
     """
     whole = items.where((F.size(grid) == side * side) & ~F.exists(grid, lambda x: x.isNull() | F.isnan(x)))
-    rows = whole.select(F.col(item).alias("id"), F.col(grid).alias("grid")).withColumn("turns", hashes.turned_bits(F.col("grid"), side))
+    one = whole.groupBy(F.col(grid).alias("grid")).agg(F.min(item).alias("id"))
+    rows = one.select("id", "grid").withColumn("turns", hashes.turned_bits(F.col("grid"), side))
     rows = rows.withColumn("plain", F.slice("turns", 1, 1))
     near = array_pairs(rows, "id", "plain", "turns", radius)
     if known is not None:

@@ -290,8 +290,8 @@ _TURNED = f"""t AS (SELECT {_TURNS} AS turns),
 v AS (SELECT vec_id, embedding AS g, list_transform(turns, lambda t: array_to_string(list_transform(t, lambda i: CASE WHEN embedding[i + 1] > 0 THEN '1' ELSE '0' END), '') :: BIT) AS h FROM embeddings, t)"""
 
 
-@query(f"""WITH {_TURNED},
-c AS (SELECT l.vec_id AS a, r.vec_id AS b, l.g AS ga, r.g AS gb, list_transform(r.h, lambda y: CAST(bit_count(xor(l.h[1], y)) AS INT)) AS ds FROM v l JOIN v r ON l.vec_id < r.vec_id),
+@query(f"""WITH {_TURNED}, o AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY g ORDER BY vec_id) = 1),
+c AS (SELECT l.vec_id AS a, r.vec_id AS b, l.g AS ga, r.g AS gb, list_transform(r.h, lambda y: CAST(bit_count(xor(l.h[1], y)) AS INT)) AS ds FROM o l JOIN o r ON l.vec_id < r.vec_id),
 p AS (SELECT a, b, ga, gb, list_min(ds) AS distance, CAST(list_position(ds, list_min(ds)) - 1 AS INT) AS turn FROM c WHERE list_min(ds) <= 20),
 z AS (SELECT a, b, distance, turn, list_transform(range(64), lambda i: {{'a': CAST(ga[i + 1] AS DOUBLE), 'b': CAST(gb[turns[turn + 1][i + 1] + 1] AS DOUBLE)}}) AS cells FROM p, t),
 f AS (SELECT *, list_filter(cells, lambda c: abs(c.a - c.b) <= 0.15) AS inside FROM z),

@@ -178,6 +178,8 @@ def test_variant_pairs(spark):
         t = pixels.turned(np.array(rows[b][1]).reshape(8, 8))[r["turn"]].ravel()
         gap = np.abs(np.array(rows[a][1]) - t)
         assert r["inliers"] == (gap <= 0.2).sum() and abs(r["residual"] - gap[gap <= 0.2].mean() / 0.2) < 1e-9
+    copies = df.unionByName(df.where("id < 24").withColumn("id", F.col("id") + 500))
+    assert {(r["a"], r["b"]) for r in variants.variant_pairs(copies, "id", "grid", 8, 16, 0.75, 0.2).collect()} == want
     known = spark.createDataFrame([(12, 0)], "a int, b int")
     assert variants.variant_pairs(df, "id", "grid", 8, 16, 0.75, 0.2, known).count() == len(want) - 1
     heads, members = variants.one_of_each(df.where("id < 3").unionByName(df.where("id = 0").withColumn("id", F.lit(-5))), "id", F.col("grid"))
