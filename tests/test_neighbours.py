@@ -36,7 +36,7 @@ def distance(a, b):
     return ((a ^ b) & ALL).bit_count()
 
 
-@pytest.mark.parametrize("radius", [0, 1, 5, 8, 11, 16, 24])
+@pytest.mark.parametrize("radius", [0, 5, 11, 24])
 def test_bands_find_all_pairs(spark, radius):
     """Every way of cutting that a plan may choose is complete and finds each pair once."""
     rng = random.Random(radius)

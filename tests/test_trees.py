@@ -35,7 +35,7 @@ def plain_cuts(nodes, tiers, most):
         cut[best] = (tiers[best], below(best))
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_cuts_keep_the_serial_order(spark, seed):
     rng = random.Random(seed)
     folders = {()}
@@ -49,7 +49,7 @@ def test_cuts_keep_the_serial_order(spark, seed):
     total, below = plain_lines(nodes, {})
     assert tree.drawn_lines(df) == total
     assert {tuple(r["path"]): r["lines"] for r in tree.line_counts(df).collect()} == {p: below(p) for p in [*folders, ()] if below(p)}
-    for most in (total, total * 2 // 3, total // 4, 1):
+    for most in (total, total // 2, 1):
         got = {tuple(r["path"]): (r["tier"], r["lines"]) for r in tree.cut_to_budget(df, most).collect()}
         assert got == plain_cuts(nodes, tiers, most)
     assert tree.cut_to_budget(df.limit(0), 5).count() == 0
