@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import hashes, pixels, urls
-from millrace.operators import events, instances, inventory, ledgers, selection, sets, tree
+from millrace.operators import instances, inventory, ledgers, selection, sets, tree
 from millrace.plans.catalogue import query
 from millrace.sources.tables import load
+from millrace.streaming import events
 
 
 @query("""SELECT id, first_page, pages FROM (SELECT lower(regexp_extract(url, '://([^/?#]*)', 1)) AS id, min(page_id) AS first_page, count(*) AS pages FROM pages GROUP BY 1)""")
