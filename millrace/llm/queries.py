@@ -78,13 +78,13 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def looped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every tenth text, by h = CRC-32 of the key, with its words from number a on replaced by a loop over the first p of
-    them: with g = h // 10 and n words a is g % n, p is 1 + (n - a) // (3 + g % 8)."""
+    them: with g = h // 10 and n words a is g % n, p is 1 + (n - a) // (3 + g % 8). A text without words stays as it is."""
     words = F.filter(F.split(F.coalesce(F.col("_text"), F.lit("")), r"[ \t-\r]+"), lambda w: w != "")
     loop = F.transform("_words", lambda w, i: F.when(i < F.col("_a"), w).otherwise(F.get("_words", (F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int"))))
     h, g = F.crc32(F.col(key).cast("string").cast("binary")), F.floor(F.col("_h") / 10)
     found = docs.select(*(c for c in docs.columns if c != text), F.col(text).alias("_text")).withColumn("_h", h)
     found = found.withColumn("_words", F.when(F.col("_h") % 10 == 0, words)).withColumn("_n", F.size("_words"))
-    found = found.withColumn("_a", g % F.col("_n")).withColumn("_p", 1 + F.floor((F.col("_n") - F.col("_a")) / (3 + g % 8)))
+    found = found.withColumn("_a", F.try_mod(g, F.col("_n"))).withColumn("_p", 1 + F.floor((F.col("_n") - F.col("_a")) / (3 + g % 8)))
     return found.select(*(c for c in docs.columns if c != text), F.when(F.col("_n") > 0, F.array_join(loop, " ")).otherwise(F.col("_text")).alias(text))
 
 

@@ -103,8 +103,8 @@ def _found(ids: np.ndarray, starts: np.ndarray, least: int, attempt: int) -> np.
         after = _longest(end - i - p, lambda n, i=i, p=p: hashes.equal(i, p, n))
         ahead_of = _longest(i - first, lambda n, i=i, p=p: hashes.equal(i - n, p, n))
         long = after + ahead_of >= need
-        out.append(np.stack([(i - ahead_of)[long], (i + p + after)[long], p[long]], 1))
-        if len(out) > 64:
+        out.append(_smallest(np.stack([(i - ahead_of)[long], (i + p + after)[long], p[long]], 1)))
+        if len(out) > 64 or sum(map(len, out[1:])) > PAIRS:
             out = [_smallest(np.concatenate(out))]
     return _smallest(np.concatenate(out))
 

@@ -187,6 +187,15 @@ def test_runs_of_odd_rows(spark):
     assert [tuple(r) for r in null_key] == [(None, "z", "a b c"), (None, "z", None)]
 
 
+def test_runs_query_of_rows_without_words(spark, tmp_path):
+    keys = [k for k in range(200) if zlib.crc32(str(k).encode()) % 10 == 0]
+    texts = [None, "", " \t\n", "one"]
+    rows = list(zip(keys, texts, strict=False))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: tuple(r)[1:] for r in queries.op12_periodic_runs(spark, str(tmp_path)).collect()}
+    assert got == {k: (0, None, None, None, None, sha(""), sha((t or "").strip())) for k, t in rows}
+
+
 # languages
 
 
