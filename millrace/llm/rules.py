@@ -4,8 +4,10 @@ Statistics of every whole text are computed in the JVM. A list of rules is learn
 sequential covering: a rule is a conjunction of thresholds that is grown by information gain on one part of the rows and
 pruned on another. A threshold, grown at the edge of a bin, then moves out to the middle between the bad rows that it
 covers and the nearest good row. What a rule covers is set aside and the next one is learnt on the rest; a rule that fails
-where it is pruned bars the threshold that it began with, and covering ends when none is left. Each step is one aggregation
-of (statistic, bin, label) counts, of bounded size. The list comes out as one ordered Spark conditional.
+where it is pruned bars the threshold that it began with, and covering ends when none is left. Rows are dealt out to their
+(statistic, bin) pairs once; each step is one aggregation of (statistic, bin, label) counts over these, of bounded size, and
+what all rows that are left count is taken once for all rules that are tried on them. The list comes out as one ordered
+Spark conditional.
 """
 
 from __future__ import annotations
@@ -140,6 +142,9 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     binned = materialize(rows.select("bad", (F.pmod(F.xxhash64("k"), F.lit(3)) == 0).alias("prune"), *FEATURES, *bins), "binned-statistics")
     release(rows)
     bad = F.col("bad").cast("int")
+    stack = ", ".join(f"'{f}', `b_{f}`" for f in FEATURES)
+    pairs = binned.where(~F.col("prune")).select(bad.alias("y"), *FEATURES, *(f"b_{f}" for f in FEATURES), F.expr(f"stack({len(FEATURES)}, {stack}) as (f, b)"))
+    pairs = materialize(pairs, "statistic-bins")
 
     def covers(conditions) -> Column:
         """Of (feature, up, bin)."""
@@ -150,14 +155,13 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> list[Rule]:
 
     def counts(where: Column) -> dict:
         """Bad and good rows by feature and bin."""
-        stack = ", ".join(f"'{f}', `b_{f}`" for f in FEATURES)
-        got = binned.where(where & ~F.col("prune")).select(bad.alias("y"), F.expr(f"stack({len(FEATURES)}, {stack}) as (f, b)")).groupBy("f", "b").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n")).collect()
+        got = pairs.where(where).groupBy("f", "b").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n")).collect()
         return {(r["f"], r["b"]): (r["p"], r["n"]) for r in got}
 
-    def grow(left: Column, barred: set) -> list[tuple[str, bool, int]]:
+    def grow(left: Column, whole: dict, barred: set) -> list[tuple[str, bool, int]]:
         grown: list[tuple[str, bool, int]] = []
         while len(grown) < CONDITIONS:
-            have = counts(left & covers(grown))
+            have = counts(left & covers(grown)) if grown else whole
             first = next(iter(FEATURES))
             total = [sum(v[k] for (f, _), v in have.items() if f == first) for k in (0, 1)]
             if not total[0] or not total[1]:
@@ -192,7 +196,8 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> list[Rule]:
 
     found: list[Rule] = []
     left, barred = F.lit(True), set()
-    while grown := grow(left, barred):
+    whole = counts(left)
+    while grown := grow(left, whole, barred):
         tests = [F.sum((covers(grown[: k + 1]) & (bad == y)).cast("int")).alias(f"c{k}{y}") for k in range(len(grown)) for y in (1, 0)]
         got = binned.where(left & F.col("prune")).agg(*tests).first()
         worth = [((got[f"c{k}1"] or 0) - (got[f"c{k}0"] or 0)) / max(1, (got[f"c{k}1"] or 0) + (got[f"c{k}0"] or 0)) for k in range(len(grown))]
@@ -204,7 +209,8 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> list[Rule]:
         rule = settled(left, grown[: keep + 1])
         left = left & ~rule.column(of=F.col)
         found.append(rule)
-        barred = set()
+        whole, barred = counts(left), set()
+    release(binned, pairs)
     return found
 
 

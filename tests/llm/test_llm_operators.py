@@ -363,6 +363,18 @@ def test_quality_rules(spark, docs, texts, none):
     assert "Python" not in plan and "Arrow" not in rules.judge(df, labels)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_quality_rules_deal_rows_out_once(spark, monkeypatch):
+    rng = random.Random(9)
+    spoil = [lambda w: w + "##", str.upper, lambda w: w + "!", str]
+    rows = [(i, " ".join(map(spoil[min(3, i % 9)], prose(rng, 60).split()))) for i in range(450)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 9 < 3) for i in range(450)], "k long, bad boolean")
+    dealt, expr = [], rules.F.expr
+    monkeypatch.setattr(rules.F, "expr", lambda x: (dealt.append(x), expr(x))[1])
+    assert len(rules.learn(rules.statistics(df).join(known, "k"))) == 2
+    assert sum(x.startswith("stack") for x in dealt) == 1
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
