@@ -11,11 +11,14 @@
 
 The pairs that count are exactly those at the radius or closer; nothing is approximate after the fingerprints.
 
-The pipeline's stage (:func:`one_of_each`) asks for a similarity of texts, not of fingerprints: see there.
+The pipeline's stage (:func:`one_of_each`) asks for a similarity of texts, not of fingerprints: it verifies on the texts what
+trees over several SimHashes link, and completes what lies beyond their radius, see there.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,6 +37,10 @@ SHARD, LEAST, SHARDS, SAMPLE, SAMPLED = 65_536, 16, 1 << 16, 64, 1 << 22
 FLAT, BLOCK = 96, 1 << 20
 #: The pipeline's stage: words of a shingle, the Jaccard similarity that links (a fraction), bands, minimum hashes a band.
 STAGE_WIDTH, TOP, BOTTOM, BANDS, ROWS = 5, 4, 5, 20, 5
+#: Its SimHashes, their radius, and fingerprints of a signature and size that a shard is planned for.
+SIGNATURES, STAGE_RADIUS, STAGE_SHARD = 8, 5, SHARD
+#: Logarithm of the widest ratio of sizes that can link, and a little more; size classes at most.
+_CLASS, _CLASSES = math.log(1.01 * BOTTOM / TOP), 128
 SIMILARITY = TOP / BOTTOM
 #: Sets of a band that are paired by a join at most; sets, and hashes in them, of a block of a larger band; columns at a time.
 FEW, MANY, WEIGHT, COLUMNS = 16, 512, 1 << 21, 8_192
@@ -42,6 +49,20 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def _add_bits(ones: np.ndarray, h: np.ndarray) -> None:
+    """Count the bits of hashes for each signature: the first takes them as they are, each further one a fixed mix."""
+    for at in range(0, len(h), BLOCK >> 4):
+        part = h[at : at + (BLOCK >> 4)]
+        for k in range(len(ones)):
+            ones[k] += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            part = (part ^ (part >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+            part ^= part >> np.uint64(29)
+
+
+def _majority(ones: np.ndarray, n: int) -> np.ndarray:
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view(np.uint64)[:, 0] if n else np.zeros(len(ones), np.uint64)
+
+
 def simhashes(text: bytes | None, width: int = WIDTH, signatures: int = 1) -> np.ndarray:
     """64-bit SimHashes of the text's word shingles, A-Z lower-cased: a bit is 1 if set in over half of the shingles'
     hashes. The first signature takes XXH64 (seed 42), each further one a fixed mix of that. A null text and one without
@@ -50,14 +71,9 @@ def simhashes(text: bytes | None, width: int = WIDTH, signatures: int = 1) -> np
     digest = xxhash.xxh64_intdigest
     for shingles in shingle_pieces((text or b"").lower(), width):
         h = np.fromiter((digest(s, SEED) for s in shingles), np.uint64, len(shingles))
-        for at in range(0, len(h), BLOCK >> 4):
-            part = h[at : at + (BLOCK >> 4)]
-            for k in range(signatures):
-                ones[k] += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-                part = (part ^ (part >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-                part ^= part >> np.uint64(29)
+        _add_bits(ones, h)
         n += len(h)
-    return np.packbits(2 * ones > n, axis=1, bitorder="little").view(np.uint64)[:, 0] if n else np.zeros(signatures, np.uint64)
+    return _majority(ones, n)
 
 
 def simhash(text: bytes | None, width: int = WIDTH) -> int:
@@ -230,12 +246,12 @@ def _shard_edges(radius: int):
     return run
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD, least: int = LEAST) -> DataFrame:
     """Edges (j, src, dst) that join distinct fingerprints of each signature j into the same groups as all pairs of that
-    signature within the radius do. ``fps`` (j, fp) should be a written table: it is counted, sampled and read again."""
+    signature within the radius do; shards are planned for ``shard`` fingerprints, and ``least`` at least. ``fps`` (j, fp) should be a written table: it is counted, sampled and read again."""
     spark = fps.sparkSession
     counts = {r["j"]: r["count"] for r in fps.groupBy("j").count().collect()}
-    leaves = {j: max(LEAST, min(SHARDS // 2, -(-n // SHARD))) for j, n in counts.items()}
+    leaves = {j: max(least, min(SHARDS // 2, -(-n // shard))) for j, n in counts.items()}
     most = min(SAMPLED, SAMPLE * sum(leaves.values()))
     small_batches(spark)
     # rows below a bound of their hash: about as many as asked for, without a sort and whatever the number of tasks
@@ -284,6 +300,29 @@ def shingle_hashes(text: bytes | None, width: int = STAGE_WIDTH) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
 
 
+def set_simhashes(hashes: np.ndarray, signatures: int = SIGNATURES) -> np.ndarray:
+    """The SimHashes of a set of shingle hashes."""
+    ones = np.zeros((signatures, 64), np.int64)
+    _add_bits(ones, hashes)
+    return _majority(ones, len(hashes))
+
+
+def tree_pairs(sets: DataFrame, radius: int = STAGE_RADIUS) -> DataFrame:
+    """Pairs (src, dst), src > dst, of the ids of ``sets`` (id, n, fps) that span what vantage-point trees link: a tree for
+    each signature and size. A set lies in two neighbouring classes of sizes, so sets that can be similar share one."""
+    size = F.least(F.floor(F.log(F.greatest("n", F.lit(1))) / _CLASS), F.lit(_CLASSES - 2)).cast("int")
+    at = sets.select("id", size.alias("size"), F.posexplode("fps").alias("s", "fp"))
+    at = at.select("id", "fp", F.explode(F.array(*(F.col("s") * _CLASSES + F.col("size") + k for k in (0, 1)))).alias("j"))
+    own = materialize(at.groupBy("j", "fp").agg(F.min("id").alias("low"), F.max("id").alias("high")), "set-fingerprints")
+    same = at.join(own.where("low < high").select("j", "fp", "low"), ["j", "fp"]).select("id", "low")
+    a, b = (own.select("j", F.col("fp").alias(c), F.col("low").alias(name)) for c, name in (("src", "id"), ("dst", "low")))
+    found = links(own.select("j", "fp"), radius, STAGE_SHARD, 1).join(a, ["j", "src"]).join(b, ["j", "dst"]).select("id", "low")
+    found = found.unionByName(same).where("id != low").select(F.greatest("id", "low").alias("src"), F.least("id", "low").alias("dst"))
+    out = materialize(found.distinct(), "tree-pairs")
+    release(own)
+    return out
+
+
 def band_keys(hashes: np.ndarray) -> np.ndarray:
     """A 64-bit key for each of BANDS bands of ROWS minimum hashes; two sets of Jaccard similarity s agree on a band with
     probability s ** ROWS."""
@@ -301,16 +340,19 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """Of ``docs`` (k, node, t): k, node, the 64-bit digest ``id`` of the set of shingles, its size n and its band keys."""
+    """Of ``docs`` (k, node, t): k, node, the 64-bit digest ``id`` of the set of shingles, its size n, its SimHashes ``fps``
+    and its band keys."""
 
     def make(texts):
         sets = [shingle_hashes(t.as_py(), width) for t in texts]
         ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-        keys = np.concatenate([band_keys(s) for s in sets]).view(np.int64)
-        ends = np.arange(0, BANDS * len(sets) + 1, BANDS, dtype=np.int32)
-        return [pa.array(ids), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))]
+        lists = []
+        for each, of in ((SIGNATURES, set_simhashes), (BANDS, band_keys)):
+            flat, ends = np.concatenate([of(s) for s in sets]).view(np.int64), np.arange(0, each * len(sets) + 1, each, dtype=np.int32)
+            lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+        return [pa.array(ids), pa.array([len(s) for s in sets], pa.int64()), *lists]
 
-    return map_texts(docs.select("k", "node", "t"), "t", make, {"id": "long", "n": "long", "bands": "array<long>"}, drop=("t",), binary=True)
+    return map_texts(docs.select("k", "node", "t"), "t", make, {"id": "long", "n": "long", "fps": "array<long>", "bands": "array<long>"}, drop=("t",), binary=True)
 
 
 def _hashed(texts: DataFrame, width: int) -> DataFrame:
@@ -374,22 +416,26 @@ def _linked(table: pa.Table) -> pa.Table:
 
 
 def similar(rows: DataFrame, texts, width: int = STAGE_WIDTH) -> DataFrame:
-    """(node, component) of the sets of ``rows`` (id, n, bands) that are linked by pairs which share a band and have a
-    Jaccard similarity of SIMILARITY or more. ``texts`` gives (id, t) for a table of ids.
+    """(node, component) of the sets of ``rows`` (id, n, fps, bands) that are linked by pairs which the trees find or which
+    share a band, and have a Jaccard similarity of SIMILARITY or more. ``texts`` gives (id, t) for a table of ids.
 
-    Every set is compared with the least of each of its bands first, so a dense group does not yield its pairs. Sets of a
-    band that this leaves in different groups are then all compared with each other, so no link is lost by the order: those
+    What the trees link is verified first. For pairs beyond their radius every set is compared with the least of each of
+    its bands, so a dense group does not yield its pairs. Sets of a band that this leaves in different groups are then all compared with each other, so no link is lost by the order: those
     of a small band by a join, those of a larger one inside tasks, block by block, which return no pairs but edges that join
     groups.
     """
-    at = rows.dropDuplicates(["id"]).select("id", "n", F.explode("bands").alias("band"))
+    one = materialize(rows.select("id", "n", "fps", "bands").dropDuplicates(["id"]), "distinct-sets")
+    near = tree_pairs(one)
+    at = one.select("id", "n", F.explode("bands").alias("band"))
     crowd = at.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "n")).alias("rep")).where("m > 1").select("band", "rep")
     at = materialize(at.join(crowd, "band"), "bands")
     fit = lambda a, b: (BOTTOM * a >= TOP * b) & (BOTTOM * b >= TOP * a)
     stars = at.where((F.col("id") != F.col("rep.id")) & fit(F.col("n"), F.col("rep.n")))
-    stars = materialize(stars.select(F.col("id").alias("src"), F.col("rep.id").alias("dst")).distinct(), "stars")
-    sets = materialize(_hashed(texts(at.select("id").distinct()), width).dropDuplicates(["id"]), "sets")
-    first = materialize(_verified(stars, sets), "verified")
+    stars = stars.select(F.col("id").alias("src"), F.col("rep.id").alias("dst")).distinct()
+    stars = materialize(stars.join(near, ["src", "dst"], "left_anti"), "stars")
+    ids = at.select("id").unionByName(near.select(F.explode(F.array("src", "dst")).alias("id"))).distinct()
+    sets = materialize(_hashed(texts(ids), width).dropDuplicates(["id"]), "sets")
+    first = materialize(_verified(near.unionByName(stars), sets), "verified")
     linked = first.where("ok").select("src", "dst")
     groups = materialize(connected_components(linked), "groups")
     named = at.join(groups.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("label"))
@@ -406,7 +452,7 @@ def similar(rows: DataFrame, texts, width: int = STAGE_WIDTH) -> DataFrame:
     dealt = dealt.select("band", "id", "label", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j")).join(sets, "id")
     many = dealt.groupBy("band", "i", "j").applyInArrow(_linked, "src long, dst long")
     more = materialize(few.unionByName(many), "cross-links")
-    release(at, stars, sets, named, some)
+    release(one, near, at, stars, sets, named, some)
     if not more.limit(1).count():
         return groups
     out = materialize(connected_components(linked.unionByName(more)), "groups")
@@ -419,8 +465,9 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     smallest text digest.
 
     Texts are linked if the sets of their word shingles have a Jaccard similarity of SIMILARITY or more, compared exactly
-    on 64-bit hashes. A SimHash of 64 bits is some 10 bits off at that similarity, where no tree prunes, so candidates
-    come from bands of minimum hashes: a pair at the similarity is one with probability 1 - (1 - SIMILARITY ** ROWS) **
+    on 64-bit hashes. Candidates are what vantage-point trees over SIGNATURES SimHashes link at STAGE_RADIUS bits. A SimHash
+    of 64 bits is some 10 bits off at the similarity itself, where no tree prunes, so the rest of the candidates come from
+    bands of minimum hashes: a pair at the similarity is one with probability 1 - (1 - SIMILARITY ** ROWS) **
     BANDS = 0.9996, and the more similar the surer. Null and empty texts are one group. Of rows with equal key and text
     the one with the least other columns stays (columns of a type without an order, maps, are not taken).
     """

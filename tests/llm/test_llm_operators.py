@@ -96,6 +96,22 @@ def test_simhash_one_of_each(docs, texts, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_stage_links_by_simhash_trees(spark):
+    rng = random.Random(23)
+    base = [prose(rng, rng.randrange(100, 400)) for _ in range(30)]
+    texts = base + [t + " end" for t in base] + [prose(rng, 200) for _ in range(30)]
+    sets = [simhash.shingle_hashes(t.encode()) for t in texts]
+    fps = [simhash.set_simhashes(s).view(np.int64).tolist() for s in sets]
+    # no two sets share a band: only the trees can find the copies
+    rows = spark.createDataFrame([(i, len(sets[i]), fps[i], [i]) for i in range(90)], "id long, n long, fps array<long>, bands array<long>")
+    pairs = {(r["src"], r["dst"]) for r in simhash.tree_pairs(rows).collect()}
+    near = {(i + 30, i) for i in range(30) if min(int(np.bitwise_count(np.uint64(a % 2**64) ^ np.uint64(b % 2**64))) for a, b in zip(fps[i], fps[i + 30], strict=True)) <= simhash.STAGE_RADIUS}
+    assert pairs == near and len(near) > 25
+    known = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = simhash.similar(rows, lambda ids: known.join(ids, "id")).collect()
+    assert {(r["node"], r["component"]) for r in got} == near | {(b, b) for _, b in near}
+
+
 def test_simhash_one_of_each_is_exact_in_similarity(spark):
     rng = random.Random(12)
     rows = []
