@@ -213,10 +213,12 @@ def cooldown(failures: Column, base: int = 60, most: int = 1800) -> Column:
     return F.when(failures > 0, F.least(F.lit(base) * F.pow(F.lit(2), failures - 1), F.lit(most)).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
 
 
-def byte_text(size: Column) -> Column:
-    """Bytes, whole KB, MB with one decimal, GB with two; empty for null."""
+def byte_text(size: Column, largest: str = "GB") -> Column:
+    """Bytes, whole KB, MB with one decimal, GB with two; empty for null. ``largest`` (GB or MB) is the last unit: larger
+    sizes stay in it."""
     text = F.when(size < KB, F.concat(size.cast("string"), F.lit(" B")))
-    for limit, unit, form in ((MB, KB, "%.0f KB"), (GB, MB, "%.1f MB"), (None, GB, "%.2f GB")):
+    rest = (None, MB, "%.1f MB") if largest == "MB" else (GB, MB, "%.1f MB")
+    for limit, unit, form in ((MB, KB, "%.0f KB"), rest, *([] if largest == "MB" else [(None, GB, "%.2f GB")])):
         value = F.format_string(form, size / unit)
         text = text.when(size < limit, value) if limit else text.when(size.isNotNull(), value)
     return F.coalesce(text, F.lit(""))
