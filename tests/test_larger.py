@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions import messages
 from millrace.plans import catalogue, derived
 from tests.test_catalogue import rows
 
@@ -28,3 +29,13 @@ def test_media_texts_of_large_keys(spark, equal_to_sql):
     ids = spark.range(400).select((F.col("id") * 3001).alias("p"), (F.col("id") % 7 + 1).alias("n"), (F.col("id") % 50 + 1).alias("q"))
     found = equal_to_sql("media_texts", lineitem=ids.select(F.col("p").alias("l_orderkey"), F.col("n").cast("int").alias("l_linenumber"), F.col("p").alias("l_partkey"), F.col("n").alias("l_suppkey"), F.col("q").cast("double").alias("l_quantity")))
     assert found["bytes"].str.endswith(" MB").sum() > 100 and found["bytes"].str.len().max() == len("2861.0 MB")
+
+
+def test_a_message_is_parsed_once(spark):
+    text = F.concat(F.lit('{"evidence": "x", "url": "u", "pageTitle": "'), F.repeat(F.lit("t"), F.col("id").cast("int")), F.lit('"}'))
+    df = spark.range(600).select(messages.bridge_message(text).alias("m")).select("m.*")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("pageTitle\": \"") == 1
+    assert sorted(len(r["page_title"]) for r in df.collect()) == [min(k, 512) for k in range(600)]
+    empty = spark.createDataFrame([(None,), ("[1",), ("7",)], "t string").select(messages.bridge_message(F.col("t")).alias("m"))
+    assert [r["m"] for r in empty.collect()] == [None] * 3
