@@ -1,10 +1,12 @@
 """Queries against their SQL on small tables that hold what only large ones hold, and what keeps their work in bounds."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import messages
+from millrace.operators import hamming
 from millrace.plans import catalogue, derived
 from tests.test_catalogue import rows
 
@@ -39,3 +41,40 @@ def test_a_message_is_parsed_once(spark):
     assert sorted(len(r["page_title"]) for r in df.collect()) == [min(k, 512) for k in range(600)]
     empty = spark.createDataFrame([(None,), ("[1",), ("7",)], "t string").select(messages.bridge_message(F.col("t")).alias("m"))
     assert [r["m"] for r in empty.collect()] == [None] * 3
+
+
+def bits_of(n, seed):
+    return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64)
+
+
+@pytest.mark.parametrize("page", [7, 64])
+def test_pairs_by_pages(spark, monkeypatch, page):
+    """At a large radius pages of hashes are compared: groups of many pages, many groups in a page, copies."""
+    monkeypatch.setattr(hamming, "PAGE", page)
+    h, g = bits_of(200, 3), [k * k % 400 // 60 if k % 3 else None for k in range(200)]
+    h[150:160] = h[10]
+    df = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(zip(h.view(np.int64).tolist(), g, strict=True))], "id long, bits long, g int").repartition(5)
+    assert hamming.dense(hamming.plan(24, 200)) and not hamming.dense(hamming.plan(3, 200))
+    far = lambda i, j: int(np.bitwise_count(h[i] ^ h[j]))
+    want = {(i, j, far(i, j)) for j in range(200) for i in range(j) if far(i, j) <= 24}
+    got = [tuple(r) for r in hamming.item_pairs(df, "id", "bits", 24).collect()]
+    assert set(got) == want and len(got) == len(want) > 400
+    own = [tuple(r) for r in hamming.item_pairs(df, "id", "bits", 24, ("g",)).collect()]
+    assert set(own) == {(i, j, d) for i, j, d in want if g[i] == g[j]} and len(own) == len(set(own)) > 60
+    near, _ = hamming.links(df, "id", "bits", 24)
+    first = {int(x): k for k, x in reversed(list(enumerate(h)))}
+    assert {tuple(r) for r in near.collect()} == {(i, j, d) for i, j, d in want if d and i == first[int(h[i])] and j == first[int(h[j])]}
+
+
+def test_variant_pairs_by_pages(spark, equal_to_sql, monkeypatch):
+    """Pictures are matched in the tasks that compare their hashes; no join carries them."""
+    monkeypatch.setattr(hamming, "PAGE", 50)
+    grid = np.random.default_rng(8).normal(size=(180, 64)).astype(np.float32) / 8
+    grid[90:100] = -grid[:10] * 0.97
+    grid[100:110] = np.rot90(grid[:10].reshape(-1, 8, 8), axes=(1, 2)).reshape(-1, 64) * 1.01
+    grid[110:115] = grid[:5]
+    df = spark.createDataFrame([(k, x.tolist(), k % 3) for k, x in enumerate(grid)], "vec_id long, embedding array<float>, label int")
+    found = equal_to_sql("variant_pairs", embeddings=df)
+    assert len(found) > 100
+    plan = catalogue.variants.variant_pairs(df, "vec_id", "embedding", 8, 20, 0.6, 0.15)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan
