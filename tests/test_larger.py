@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import messages
-from millrace.operators import hamming
+from millrace.operators import graph, hamming
 from millrace.plans import catalogue, derived
 from tests.test_catalogue import rows
 
@@ -78,3 +78,30 @@ def test_variant_pairs_by_pages(spark, equal_to_sql, monkeypatch):
     assert len(found) > 100
     plan = catalogue.variants.variant_pairs(df, "vec_id", "embedding", 8, 20, 0.6, 0.15)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan
+
+
+@pytest.mark.parametrize("kind", ["int", "long"])
+def test_small_graphs_are_searched_in_tasks(spark, monkeypatch, kind):
+    """The same distances as by a join a hop: a large component, chains and pairs; more sources than are searched from at a time."""
+    rng = np.random.default_rng(6)
+    edges = [*rng.integers(0, 150, (220, 2)).tolist(), *([200 + k, 201 + k] for k in range(20)), *([300 + 2 * k, 301 + 2 * k] for k in range(40)), [7, 7], [9, None]]
+    df = spark.createDataFrame([(a, b) for a, b in edges], f"a {kind}, b {kind}").repartition(3)
+    monkeypatch.setattr(graph, "SOURCES", 64)
+    got = graph.hop_distances(df, "a", "b")
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString() and got.schema["source"].dataType == df.schema["a"].dataType
+    found = sorted(map(tuple, got.collect()))
+    sums = {r["node"]: r["hops"] for r in graph.hop_sums(df, "a", "b").collect()}
+    monkeypatch.setattr(graph, "SMALL", 0)
+    want = sorted(map(tuple, graph.hop_distances(df, "a", "b").collect()))
+    assert found == want and max(k for _, _, k in want) == 20
+    assert sums == {r["node"]: r["hops"] for r in graph.hop_sums(df, "a", "b").collect()}
+
+
+def test_components_of_dense_graphs_are_folded_first(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    edges = [(g * 1000 + int(a), g * 1000 + int(b)) for g in range(3) for a, b in rng.integers(0, 40, (600, 2))] + [(5000, 5001), (39, 5001)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    want = {tuple(r) for r in graph.connected_components(df, "a", "b").collect()}
+    monkeypatch.setattr(graph, "MANY", 100)
+    got = [tuple(r) for r in graph.connected_components(df, "a", "b").collect()]
+    assert set(got) == want and len(got) == len(want) == 122 and {c for _, c in want} == {min(n for n, d in want if d == c) for _, c in want}
