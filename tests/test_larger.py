@@ -105,3 +105,18 @@ def test_components_of_dense_graphs_are_folded_first(spark, monkeypatch):
     monkeypatch.setattr(graph, "MANY", 100)
     got = [tuple(r) for r in graph.connected_components(df, "a", "b").collect()]
     assert set(got) == want and len(got) == len(want) == 122 and {c for _, c in want} == {min(n for n, d in want if d == c) for _, c in want}
+
+
+def test_near_pairs_of_members_are_made_once(spark, equal_to_sql):
+    """What follows from the pairs reads them as written."""
+    rng = np.random.default_rng(11)
+    sign = rng.choice([-1.0, 1.0], (3, 64))[np.arange(150) % 3]
+    for row in sign:
+        row[rng.choice(64, 11, False)] *= -1
+    df = spark.createDataFrame([(k, x.tolist(), 0) for k, x in enumerate(sign)], "vec_id long, embedding array<float>, label int")
+    linked = equal_to_sql("links_of_members", embeddings=df)
+    assert set(linked["link"]) == {"representative", "direct", "indirect"}
+    folder = f"{spark.conf.get('spark.checkpoint.dir')}/made-once"
+    df.write.parquet(f"{folder}/embeddings.parquet")
+    assert hasattr(derived._linked(spark, folder), "_written_to")
+    assert catalogue.QUERIES["summaries_of_clusters"](spark, folder).agg(F.sum("members")).first()[0] == len(linked)
