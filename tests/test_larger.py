@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import messages
-from millrace.operators import graph, hamming
+from millrace.operators import graph, hamming, sets
 from millrace.plans import catalogue, derived
 from tests.test_catalogue import rows
 
@@ -22,6 +22,7 @@ def equal_to_sql(spark, tmp_path):
         assert rows(got) == rows(want)
         return got
 
+    check.folder = tmp_path
     return check
 
 
@@ -120,3 +121,17 @@ def test_near_pairs_of_members_are_made_once(spark, equal_to_sql):
     df.write.parquet(f"{folder}/embeddings.parquet")
     assert hasattr(derived._linked(spark, folder), "_written_to")
     assert catalogue.QUERIES["summaries_of_clusters"](spark, folder).agg(F.sum("members")).first()[0] == len(linked)
+
+
+@pytest.mark.parametrize("page", [3, 8192])
+def test_mutual_nearest_forms_no_pairs(spark, equal_to_sql, monkeypatch, page):
+    """Neighbours by value, over pages, with many equal values, blocks of one side and long runs of one side."""
+    monkeypatch.setattr(sets, "PAGE", page)
+    rng = np.random.default_rng(page)
+    some = [(k, f"b{k % 7 if k % 3 else 0}", float(rng.choice([rng.integers(0, 40), rng.uniform(0, 300)]))) for k in range(240)]
+    runs = [(1000 + 2 * k, "run", k * 1.5) for k in range(20)] + [(1101, "run", 40.0), (1103, "run", 7.6), (1205, "odd", 1.0), (1207, "odd", 2.0), (1300, "two", 5.0), (1301, "two", 5.0), (1400, "one", 5.0), (1401, "one", 9.0)]
+    df = spark.createDataFrame([*some, *runs], "p_partkey long, p_brand string, p_retailprice double").repartition(5)
+    found = equal_to_sql("nearest_mutual", part=df)
+    assert len(found) > 20 and {0.0, 4.0} <= set(found["distance"]) and {"run", "two", "one"} <= set(found["brand"])
+    plan = catalogue.QUERIES["nearest_mutual"](spark, f"{equal_to_sql.folder}")._jdf.queryExecution().optimizedPlan().toString()
+    assert "abs(" not in plan
