@@ -5,8 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions import messages
-from millrace.operators import graph, hamming, sets
+from millrace.functions import hashes, messages
+from millrace.operators import duplicates, graph, hamming, sets
 from millrace.plans import catalogue, derived
 from tests.test_catalogue import rows
 
@@ -135,3 +135,21 @@ def test_mutual_nearest_forms_no_pairs(spark, equal_to_sql, monkeypatch, page):
     assert len(found) > 20 and {0.0, 4.0} <= set(found["distance"]) and {"run", "two", "one"} <= set(found["brand"])
     plan = catalogue.QUERIES["nearest_mutual"](spark, f"{equal_to_sql.folder}")._jdf.queryExecution().optimizedPlan().toString()
     assert "abs(" not in plan
+
+
+@pytest.mark.parametrize("head", [5, 4096])
+def test_leaders_of_crowded_groups_in_rounds(spark, equal_to_sql, monkeypatch, head):
+    """Where a good part of all pairs is near, leaders are found without pairs, in the serial order."""
+    monkeypatch.setattr(duplicates, "HEAD", head)
+    monkeypatch.setattr(duplicates, "CROWD", 0.5)
+    monkeypatch.setattr(duplicates, "links", lambda *a: pytest.fail("pairs are made"))
+    rng = np.random.default_rng(head)
+    grid = rng.normal(size=(300, 64)).astype(np.float32)
+    grid[200:280] = grid[rng.integers(0, 200, 80)]
+    df = spark.createDataFrame([(k, x.tolist(), k % 4 if k < 290 else None) for k, x in enumerate(grid)], "vec_id long, embedding array<float>, label int").repartition(4)
+    rows = df.where("label is not null")
+    found = equal_to_sql("leader_stacks", embeddings=rows)
+    assert 8 < found["leader"].nunique() < 200
+    bits = df.select("vec_id", "label", hashes.sign_bits(F.col("embedding")).alias("bits")).unionByName(spark.createDataFrame([(999, 1, None)], "vec_id long, label int, bits long"))
+    every = {r["vec_id"]: r["leader"] for r in duplicates.leaders(bits, "vec_id", "bits", ["label"], 24).collect()}
+    assert every[999] == 999 and every[290] == 290 and len(every) == 301 and all(every[k] == v for k, v in zip(found["vec_id"], found["leader"]))
